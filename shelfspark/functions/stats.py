@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, with_scalars
+from shelfspark.session import written
 
 SMALL = 100_000  # below this many values a single sorted run is cheaper than a bracket
 SLACK = 0.001  # half width of the rank bracket, ten times the sketch error
@@ -100,27 +101,44 @@ def mode_of(df: DataFrame, c: str) -> Column:
     return top.select(c).scalar()
 
 
-def ranked_values(df: DataFrame, c: str, cuts: int = 200) -> DataFrame:
-    """Distinct values of a column with their position in sorted order, from 0.
+def ranked_values(df: DataFrame, cols: list[str], cuts: int = 200) -> DataFrame:
+    """Distinct values of text columns with their position in sorted order, from 0: (name, value, code).
 
-    The values are split at `cuts` boundaries drawn by hash (the smallest hashes, so a
-    rerun draws the same ones); each range is numbered on its own and shifted by the
-    size of the ranges before it. No task sees more than about 1/cuts of the values.
+    Each column's values are split at up to `cuts` of them, drawn as one minimum hash per
+    hash bucket (a rerun draws the same ones). Every range is numbered on its own and
+    shifted by the size of the ranges before it, so no task sees more than about 1/cuts
+    of the values and a hot value is one row.
     """
-    vals = df.select(c).where(F.col(c).isNotNull()).distinct()
-    picks = vals.orderBy(F.xxhash64(c), c).limit(cuts).agg(F.sort_array(F.collect_list(c)).alias("cuts"))
-    ranged = with_scalars(vals, picks).select(c, F.size(F.filter("cuts", lambda x: x <= F.col(c))).alias("part"))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most cuts + 1 rows
-    shift = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("part").orderBy(c)
+    items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cols])
+    vals = df.select(F.explode(items).alias("x")).select("x.name", "x.value").where("value IS NOT NULL").distinct()
+    h = F.xxhash64("value")
+    picks = vals.groupBy("name", F.pmod(h, F.lit(cuts)).alias("b")).agg(F.min_by("value", F.struct(h, "value")).alias("cut"))
+    picks = picks.groupBy("name").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    # one row per column with at most `cuts` values
+    ranged = vals.join(F.broadcast(picks), "name").select(
+        "name", "value", F.size(F.filter("cuts", lambda x: x <= F.col("value"))).alias("part")
+    )
+    sizes = ranged.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("name", "part").orderBy("value")
     return (
         ranged.withColumn("pos", F.row_number().over(inside) - 1)
-        .join(F.broadcast(shift), "part")
-        .select(c, (F.col("pos") + F.col("shift")).cast("bigint").alias("code"))
+        .join(F.broadcast(shift), ["name", "part"])
+        .select("name", "value", (F.col("pos") + F.col("shift")).cast("bigint").alias("code"))
     )
 
 
+def sized_join(df: DataFrame, side: DataFrame, on, how: str = "left", max_rows: int = 500_000) -> DataFrame:
+    """Join a derived side that is usually short.
+
+    The side is written once and counted from the file footers. Up to `max_rows` it is
+    broadcast; a longer one takes a shuffle join, where adaptive execution splits hot keys.
+    """
+    side = written(side, "side")
+    return df.join(F.broadcast(side) if side.count() <= max_rows else side, on, how)
+
+
 def ols(y: Column, x: Column) -> tuple[Column, Column]:
     """Slope and intercept of y on x as aggregate expressions."""
     return F.regr_slope(y, x), F.regr_intercept(y, x)

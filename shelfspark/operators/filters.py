@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.expr import clip_col, flag, safe_divide, with_scalars
-from shelfspark.functions.stats import quantile_row, ranked_values
+from shelfspark.functions.stats import quantile_row, ranked_values, sized_join
+from shelfspark.session import written
 
 # Id columns tried in order, code-like product patterns, months of each season.
 ID_COLUMNS = ["product_id", "product_name", "product", "sku", "item_id", "item_name"]
@@ -159,12 +160,12 @@ def format_report(df: DataFrame) -> DataFrame:
 
 def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Position of each value in sorted distinct order; nulls are encoded as the text 'nan'."""
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols}
+    codes = written(ranked_values(df.select(*[t.alias(c) for c, t in texts.items()]), cols), "codes")
     out = df
     for c in cols:
-        text = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        keyed = out.withColumn("__k", text)
-        codes = ranked_values(keyed.select("__k"), "__k").withColumnRenamed("code", f"{c}_encoded")
-        out = keyed.join(codes, "__k", "left").drop("__k")
+        one = codes.filter(F.col("name") == c).select(F.col("value").alias("__v"), F.col("code").alias(f"{c}_encoded"))
+        out = sized_join(out, one, texts[c] == F.col("__v")).drop("__v")
     return out
 
 
@@ -172,6 +173,6 @@ def frequency_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per value on every row: counts are pre-aggregated, so a hot value is one row."""
     out = df
     for c in cols:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_frequency"))
-        out = out.join(counts.withColumnRenamed(c, "__c"), F.col(c).eqNullSafe(F.col("__c")), "left").drop("__c")
+        counts = df.groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias(f"{c}_frequency"))
+        out = sized_join(out, counts, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
     return out

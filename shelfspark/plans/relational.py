@@ -125,7 +125,7 @@ query("binary_flags", "product_name, week_start:d, promotion:i, holiday_flag:i,
       """SELECT product_name, week_start, COALESCE(promotion, 0) AS promotion, COALESCE(holiday_flag, 0) AS holiday_flag,
                 COALESCE(availability, 0) AS availability FROM holey""")
 
-query("interactions", "product_name, week_start:d, price_promotion_interaction:6, holiday_season_interaction:i, stock_availability_interaction:6, price_stock_interaction:4",
+query("interactions", "product_name, week_start:d, price_promotion_interaction, holiday_season_interaction:i, stock_availability_interaction:6, price_stock_interaction",
       lambda t: P.interactions(P.label_encode(P.season_from_month(t.panel), ["season"])),
       f"""WITH s AS (SELECT *, {SEASON_SQL} AS season FROM panel)
          SELECT product_name, week_start, price * promotion AS price_promotion_interaction,
