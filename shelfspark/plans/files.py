@@ -1 +1,74 @@
-"""Pending."""
+"""Source and sink queries. Files are written from the given tables into the shared work folder."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from shelfspark.functions.expr import KEY, TIME
+from shelfspark.operators import inventory as I
+from shelfspark.plans.registry import query
+from shelfspark.session import new_path
+from shelfspark.sources import files as S
+
+SMALL = "product_name, week_start:d, sales_qty, price, promotion:i"
+COLS = [KEY, TIME, "sales_qty", "price", "promotion"]
+SQL = "SELECT product_name, week_start, sales_qty, price, promotion FROM panel"
+
+
+def _csv(t):
+    path = new_path(t.spark, "scan-csv")
+    t.panel.select(*COLS).write.option("header", True).csv(path)
+    return S.scan_csv(t.spark, path, t.panel.select(*COLS).schema)
+
+
+def _inferred(t):
+    path = new_path(t.spark, "infer-csv")
+    t.panel.select(*COLS).write.option("header", True).csv(path)
+    return S.scan_csv(t.spark, path)
+
+
+query("scan_csv", SMALL, _csv, SQL)
+query("scan_csv_inferred", SMALL, _inferred, SQL)
+query("scan_parquet", "o_orderkey:i, o_custkey:i, o_orderstatus, o_totalprice", lambda t: S.scan_parquet(t.spark, f"{t.sf_dir.rstrip('/')}/orders.parquet"),
+      "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+
+
+def messy(t):
+    """The panel as an upload with odd headers, day-first dates and text in the quantity."""
+    qty = F.when(F.col("promotion") == 1, F.col("sales_qty").cast("bigint").cast("string")).otherwise(F.col("sales_qty").cast("string"))
+    odd = (F.col("holiday_flag") == 1) & (F.col("promotion") == 1)
+    out = t.panel.select(
+        F.date_format(TIME, "dd/MM/yyyy").alias("Week-Start"), F.date_format(TIME, "yyyy").alias("Year / Week"),
+        F.col(KEY).alias(" Item Name"), F.when(odd, "sold out").otherwise(qty).alias("Order Quantity"),
+        F.col("price").alias("Unit Price"), F.col("category").alias("Dept"),
+    )
+    path = new_path(t.spark, "upload")
+    out.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return path
+
+
+query("ingest_canonical", "date:d, product, sales_qty, price, stock_on_hand, category, store", lambda t: S.ingest_canonical(t.spark, messy(t)),
+      """WITH m AS (SELECT week_start, strftime(week_start, '%d/%m/%Y') AS s, * EXCLUDE (week_start) FROM panel),
+              d AS (SELECT *, CAST(try_strptime(s, '%m/%d/%Y') AS DATE) AS md FROM m)
+         SELECT CASE WHEN (SELECT AVG(CASE WHEN md IS NULL THEN 1.0 ELSE 0.0 END) FROM d) > 0.5 THEN week_start ELSE md END AS date, product_name AS product,
+                CASE WHEN holiday_flag = 1 AND promotion = 1 THEN 0 ELSE sales_qty END AS sales_qty, price, CAST(NULL AS DOUBLE) AS stock_on_hand, category, CAST(NULL AS VARCHAR) AS store FROM d""")
+
+query("sink_csv", SMALL, lambda t: S.sink_csv(t.panel.select(*COLS), new_path(t.spark, "sink-csv")), SQL)
+query("sink_json", "product_name, urgency, current_stock, weeks_remaining:6, suggested_order:i",
+      lambda t: S.sink_json(I.alerts_weeks(t.panel).select(KEY, "urgency", "current_stock", "weeks_remaining", "suggested_order"), new_path(t.spark, "sink-json")),
+      "SELECT product_name, urgency, current_stock, weeks_remaining, suggested_order FROM al_weeks")
+query("sink_by_product", SMALL, lambda t: S.sink_by_product(t.panel.select(*COLS), new_path(t.spark, "by-product")), SQL)
+
+
+def _fresh(t):
+    """Two batches of files; only the ones written after the run started are read."""
+    path = new_path(t.spark, "fresh")
+    t.panel.select(*COLS).filter("promotion = 1").write.parquet(f"{path}/run=1")
+    started = datetime.datetime.now(datetime.timezone.utc)
+    t.panel.select(*COLS).filter("promotion = 0").write.parquet(f"{path}/run=2")
+    return S.fresh_files(t.spark, path, started)
+
+
+query("fresh_files", SMALL, _fresh, SQL + " WHERE promotion = 0")

@@ -313,14 +313,14 @@ CTES["r_opt"] = rec_sql("optimization", f"""SELECT * FROM (SELECT *, 0.6 * ((p -
 CTES["r_multi"] = rec_sql("multi_objective", grid_sql("0.5 * ((p - base_cost) * dm) + 0.3 * (p * dm) + 0.2 * (dm / (demand_forecast * 1.2 + 1e-6)) * 10000"))
 CTES["r_seg"] = rec_sql("customer_segmentation", "SELECT *, CASE WHEN own_segments THEN (current_price * 1.3 + current_price * 0.9) / 2 ELSE (current_price * 1.2 + current_price + current_price * 0.8) / 3 END AS p FROM ctxe")
 
-_state = """CASE WHEN stock > qty * 2 THEN 'high' WHEN stock > qty THEN 'medium' ELSE 'low' END || '_' || CASE WHEN qty > stock * 0.7 THEN 'high' WHEN qty > stock * 0.3 THEN 'medium' ELSE 'low' END
+STATE_SQL = """CASE WHEN stock > qty * 2 THEN 'high' WHEN stock > qty THEN 'medium' ELSE 'low' END || '_' || CASE WHEN qty > stock * 0.7 THEN 'high' WHEN qty > stock * 0.3 THEN 'medium' ELSE 'low' END
   || '_' || CASE WHEN price > cp THEN 'above' WHEN ABS(price - cp) < 0.5 THEN 'at' ELSE 'below' END"""
 CTES["qtable"] = f"""
 WITH h AS (SELECT stock_on_hand AS stock, sales_qty AS qty, price, cp, price / LAG(price) OVER (PARTITION BY product_name ORDER BY week_start) - 1 AS dp
            FROM panel JOIN (SELECT category, AVG(price) AS cp FROM panel GROUP BY 1) USING (category))
-SELECT {_state} AS state, GREATEST(0, LEAST(6, ROUND(dp / 0.05) + 3)) AS step, AVG(price * qty / 1000.0) AS value FROM h WHERE dp IS NOT NULL GROUP BY 1, 2"""
+SELECT {STATE_SQL} AS state, GREATEST(0, LEAST(6, ROUND(dp / 0.05) + 3)) AS step, AVG(price * qty / 1000.0) AS value FROM h WHERE dp IS NOT NULL GROUP BY 1, 2"""
 CTES["r_state"] = rec_sql("reinforcement_learning", f"""
-  WITH s AS (SELECT *, {_state.replace('stock', 'current_stock').replace('qty', 'demand_forecast').replace('price', 'current_price').replace('cp', 'competitor_price')} AS state FROM ctxe),
+  WITH s AS (SELECT *, {STATE_SQL.replace('stock', 'current_stock').replace('qty', 'demand_forecast').replace('price', 'current_price').replace('cp', 'competitor_price')} AS state FROM ctxe),
        a AS (SELECT s.*, i, COALESCE(q.value, 0) AS v FROM s CROSS JOIN range(7) r(i) LEFT JOIN qtable q ON q.state = s.state AND q.step = i),
        b AS (SELECT * FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY v DESC, i) = 1)
   SELECT *, LEAST(GREATEST(current_price * (1 + (i - 3) * 0.05), lo), hi) AS p FROM b""")
