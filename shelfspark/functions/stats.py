@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expr import KEY, with_scalars
+from shelfspark.functions.expr import with_scalars
 from shelfspark.session import written
 
 SMALL = 100_000  # below this many values a single sorted run is cheaper than a bracket
@@ -139,10 +139,11 @@ def sized_join(df: DataFrame, side: DataFrame, on, how: str = "left", max_rows:
     return df.join(F.broadcast(side) if side.count() <= max_rows else side, on, how)
 
 
-def ols(y: Column, x: Column) -> tuple[Column, Column]:
-    """Slope and intercept of y on x as aggregate expressions."""
-    return F.regr_slope(y, x), F.regr_intercept(y, x)
+def corr(a: str, b: str) -> Column:
+    """Pearson correlation of the rows that have both values; null when one of them is constant.
 
-
-def per_product(df: DataFrame, **aggs: Column) -> DataFrame:
-    return df.groupBy(KEY).agg(*[c.alias(n) for n, c in aggs.items()])
+    The built-in `corr` raises a division error on constant columns in ANSI mode.
+    """
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)

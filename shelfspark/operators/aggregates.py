@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.expr import KEY, TIME, one_row, pct, safe_divide, stacked, with_scalars
-from shelfspark.functions.stats import quantile_row, quantiles
+from shelfspark.functions.stats import corr, quantile_row, quantiles
 from shelfspark.operators.filters import season_from_month
 
 
@@ -90,7 +90,7 @@ def stock_overview(panel: DataFrame) -> DataFrame:
     return wide.agg(
         F.avg("stock_on_hand").alias("avg_stock"),
         F.max("low_threshold").alias("low_threshold"),
-        F.corr("stock_on_hand", "sales_qty").alias("corr_stock_sales"),
+        corr("stock_on_hand", "sales_qty").alias("corr_stock_sales"),
         F.count_if(F.col("stock_on_hand") <= F.col("low_threshold")).alias("low_stock_rows"),
     )
 
@@ -107,7 +107,7 @@ def monthly_stock_trend(panel: DataFrame) -> DataFrame:
 
 
 def price_sales_corr(panel: DataFrame) -> DataFrame:
-    out = panel.agg(F.corr("price", "sales_qty").alias("corr"))
+    out = panel.agg(corr("price", "sales_qty").alias("corr"))
     c = F.col("corr")
     return out.withColumn(
         "relation", F.when(c < -0.2, "negative").when(c > 0.2, "positive").otherwise("weak")
@@ -122,7 +122,7 @@ def corr_matrix(df: DataFrame, max_cols: int = 20) -> DataFrame:
     """Pearson matrix of the first numeric columns in long form, one pass over the data."""
     cols = numeric_columns(df)[:max_cols]
     pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = [((a, b), F.col(f"c{i}")) for i, (a, b) in enumerate(pairs)]
     cells += [((b, a), F.col(f"c{i}")) for i, (a, b) in enumerate(pairs)]
     cells += [((a, a), F.lit(1.0)) for a in cols]
@@ -130,9 +130,9 @@ def corr_matrix(df: DataFrame, max_cols: int = 20) -> DataFrame:
     return one.select(F.explode(items).alias("x")).select("x.a", "x.b", "x.corr")
 
 
-def corr_strong_pairs(corr: DataFrame, cut: float = 0.5) -> DataFrame:
+def corr_strong_pairs(matrix: DataFrame, cut: float = 0.5) -> DataFrame:
     return (
-        corr.filter((F.col("a") < F.col("b")) & (F.abs("corr") > cut))
+        matrix.filter((F.col("a") < F.col("b")) & (F.abs("corr") > cut))
         .withColumn("abs_corr", F.abs("corr"))
         .orderBy(F.col("abs_corr").desc(), "a", "b")
     )
@@ -429,7 +429,7 @@ def category_seasonality(panel: DataFrame) -> DataFrame:
 
 def flag_correlations(panel: DataFrame) -> DataFrame:
     return panel.groupBy(KEY).agg(
-        F.corr("sales_qty", "promotion").alias("promotion_corr"), F.corr("sales_qty", "holiday_flag").alias("holiday_corr")
+        corr("sales_qty", "promotion").alias("promotion_corr"), corr("sales_qty", "holiday_flag").alias("holiday_corr")
     )
 
 
@@ -535,8 +535,8 @@ def join_anomaly_context(anoms: DataFrame, panel: DataFrame) -> DataFrame:
         rows.groupBy(KEY)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.corr("deviation_pct", "price").alias("price_corr"),
-            F.corr("deviation_pct", "stock_on_hand").alias("stock_corr"),
+            corr("deviation_pct", "price").alias("price_corr"),
+            corr("deviation_pct", "stock_on_hand").alias("stock_corr"),
         )
         .filter("n > 3")
     )

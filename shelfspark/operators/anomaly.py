@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME, by, rows, with_scalars
-from shelfspark.functions.stats import quantile_row
+from shelfspark.functions.stats import corr, quantile_row
 from shelfspark.operators.aggregates import join_first_match, sort_abs
 from shelfspark.operators.cleaning import carried, carried_back
 from shelfspark.operators.windows import full, tail_per_group
@@ -159,7 +159,7 @@ def anomaly_one_class(df: DataFrame, cols: list[str], nu: float = 0.05) -> DataF
     a, b = cols
     m = df.agg(
         F.avg(a).alias("__ma"), F.avg(b).alias("__mb"), F.stddev_samp(a).alias("__sa"), F.stddev_samp(b).alias("__sb"),
-        F.corr(a, b).alias("__r"),
+        corr(a, b).alias("__r"),
     )
     out = with_scalars(df, m)
     za, zb = (F.col(a) - F.col("__ma")) / F.col("__sa"), (F.col(b) - F.col("__mb")) / F.col("__sb")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME, by, each, pct, safe_divide
+from shelfspark.functions.stats import corr
 from shelfspark.operators.aggregates import month_means
 from shelfspark.operators.windows import change
 
@@ -136,7 +137,7 @@ def price_sensitivity(panel: DataFrame) -> DataFrame:
         F.min_by("category", TIME).alias("category"),
         F.count(F.lit(1)).alias("n"),
         F.stddev_samp("price").alias("price_std"),
-        F.corr("price", "sales_qty").alias("corr"),
+        corr("price", "sales_qty").alias("corr"),
         F.max_by("price", TIME).alias("current_price"),
         F.avg("sales_qty").alias("avg_sales"),
     )

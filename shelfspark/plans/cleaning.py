@@ -139,7 +139,7 @@ query("smooth_blend", "product_name, week_start:d, sales_qty:6", lambda t: C.smo
       f"""SELECT product_name, week_start, 0.8 * AVG(sales_qty) OVER ({_w} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) + 0.2 * sales_qty AS sales_qty FROM panel""")
 
 _sf, _sb = _fb("sales_qty", "date")
-query("preprocess_series", "product_name, date:d, sales_qty:6, price:9, stock_on_hand, promotion:i, holiday_flag:i",
+query("preprocess_series", "product_name, date:d, sales_qty:6, price, stock_on_hand, promotion:i, holiday_flag:i",
       lambda t: C.preprocess_series(t.daily.select(KEY, "date", "sales_qty", "price", "stock_on_hand", "promotion", "holiday_flag")),
       f"""WITH s AS (SELECT s.product_name, s.date, c.* EXCLUDE (product_name, date) FROM day_spine s LEFT JOIN capped c USING (product_name, date)),
               f AS (SELECT * REPLACE (COALESCE({_sf}, {_sb}, 0) AS sales_qty, COALESCE({_fb('price', 'date')[0]}, QUANTILE_CONT(price, 0.5) OVER (PARTITION BY product_name)) AS price,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME, ordered, stacked
+from shelfspark.functions.stats import corr
 from shelfspark.operators import aggregates as A
 from shelfspark.operators import filters as P
 from shelfspark.plans.registry import CTES, query
@@ -49,6 +50,9 @@ def product_key(t):
 PRODUCT_KEY = """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name, p_brand AS sku,
                  p_size, p_retailprice FROM part"""
 
+SEASON_SQL = """CASE WHEN MONTH(week_start) IN (12, 1, 2) THEN 'Winter' WHEN MONTH(week_start) <= 5 THEN 'Spring'
+                     WHEN MONTH(week_start) <= 8 THEN 'Summer' ELSE 'Fall' END"""
+
 # ---- filters and projections
 
 query("filter_product", PANEL, lambda t: P.filter_product(t.panel, "Brand#11"),
@@ -115,9 +119,6 @@ query("season_flags", "product_name, date:d, is_year_end:i, is_year_start:i, is_
                 CAST(QUARTER(date) = 3 AS INT) AS is_q3, CAST(QUARTER(date) = 4 AS INT) AS is_q4,
                 CAST(ISODOW(date) >= 6 AS INT) AS is_weekend FROM daily""")
 
-SEASON_SQL = """CASE WHEN MONTH(week_start) IN (12, 1, 2) THEN 'Winter' WHEN MONTH(week_start) <= 5 THEN 'Spring'
-                     WHEN MONTH(week_start) <= 8 THEN 'Summer' ELSE 'Fall' END"""
-
 query("season_from_month", "product_name, week_start:d, season", lambda t: P.season_from_month(t.panel),
       f"SELECT product_name, week_start, {SEASON_SQL} AS season FROM panel")
 
@@ -133,10 +134,11 @@ query("interactions", "product_name, week_start:d, price_promotion_interaction,
                 stock_on_hand * availability AS stock_availability_interaction,
                 price * stock_on_hand AS price_stock_interaction FROM s""")
 
-query("one_hot", "product_name, week_start:d, weather_A:i, weather_N:i, weather_R:i", lambda t: P.one_hot(holey(t), ["weather"]),
-      """SELECT product_name, week_start, CASE WHEN weather = 'A' THEN 1 ELSE 0 END AS weather_A,
-                CASE WHEN weather = 'N' THEN 1 ELSE 0 END AS weather_N,
-                CASE WHEN weather = 'R' THEN 1 ELSE 0 END AS weather_R FROM holey""")
+query("one_hot", "product_name, week_start:d, season_Fall:i, season_Spring:i, season_Summer:i, season_Winter:i",
+      lambda t: P.one_hot(P.season_from_month(t.panel), ["season"]),
+      f"""SELECT product_name, week_start, CAST(s = 'Fall' AS INT) AS season_Fall, CAST(s = 'Spring' AS INT) AS season_Spring,
+                 CAST(s = 'Summer' AS INT) AS season_Summer, CAST(s = 'Winter' AS INT) AS season_Winter
+          FROM (SELECT *, {SEASON_SQL} AS s FROM panel)""")
 
 query("clip", "product_name, week_start:d, sales_qty", lambda t: P.clip(holey(t), "sales_qty", 50.0, 600.0),
       """SELECT product_name, week_start, CASE WHEN sales_qty < 50 THEN 50 WHEN sales_qty > 600 THEN 600
@@ -244,7 +246,7 @@ query("price_sales_corr", "corr:6, relation", lambda t: A.price_sales_corr(t.pan
 
 NUM = ["sales_qty", "price", "stock_on_hand", "promotion", "holiday_flag", "availability"]
 CTES["corr_long"] = " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0 AS corr" if a == b else f"CORR({a}, {b}) AS corr FROM panel") for a in NUM for b in NUM
+    f"SELECT '{a}' AS a, '{b}' AS b, " + ("1.0 AS corr" if a == b else f"CASE WHEN isfinite(CORR({a}, {b})) THEN CORR({a}, {b}) END AS corr FROM panel") for a in NUM for b in NUM
 )
 query("corr_matrix", "a, b, corr:6", lambda t: A.corr_matrix(t.panel), "SELECT * FROM corr_long")
 query("corr_strong_pairs", "a, b, corr:6, abs_corr:6", lambda t: A.corr_strong_pairs(A.corr_matrix(t.panel)),
@@ -381,8 +383,8 @@ query("flag_correlations", "product_name, promotion_corr:6, holiday_corr:6", lam
 
 def _importances(t):
     """|correlation| of each driver with quantity per category, as a long importance table."""
-    corr = t.panel.groupBy(F.col("category").alias("model")).agg(*[F.abs(F.corr("sales_qty", c)).alias(c) for c in NUM[1:5]])
-    return stacked(corr, "feature", "importance", [(c, F.col(c)) for c in NUM[1:5]], keep=["model"])
+    found = t.panel.groupBy(F.col("category").alias("model")).agg(*[F.abs(corr("sales_qty", c)).alias(c) for c in NUM[1:5]])
+    return stacked(found, "feature", "importance", [(c, F.col(c)) for c in NUM[1:5]], keep=["model"])
 
 
 CTES["imps"] = " UNION ALL ".join(
@@ -488,7 +490,7 @@ query("scalar_statistics", "product_name, mean:6, sd:6, sdp:6, q1:6, med:6, mode
       lambda t: t.panel.groupBy(KEY).agg(
           F.avg("price").alias("mean"), F.stddev_samp("sales_qty").alias("sd"), F.stddev_pop("sales_qty").alias("sdp"),
           F.percentile("sales_qty", F.lit(0.25)).alias("q1"), F.median("sales_qty").alias("med"), F.mode("weather", True).alias("mode"),
-          F.corr("price", "sales_qty").alias("corr"), F.regr_slope("sales_qty", "price").alias("slope")),
+          corr("price", "sales_qty").alias("corr"), F.regr_slope("sales_qty", "price").alias("slope")),
       """SELECT product_name, AVG(price) AS mean, STDDEV_SAMP(sales_qty) AS sd, STDDEV_POP(sales_qty) AS sdp,
                 QUANTILE_CONT(sales_qty, 0.25) AS q1, MEDIAN(sales_qty) AS med,
                 (SELECT weather FROM panel i WHERE i.product_name = panel.product_name GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1) AS mode,
