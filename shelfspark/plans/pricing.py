@@ -358,7 +358,7 @@ STRATEGIES = {
     "strategy_state_action": (lambda t: S.strategy_state_action(contexts(t), S.learned_steps(history(t)), eps=0.0), "r_state"),
     "strategy_bandit": (lambda t: S.strategy_bandit(contexts(t), S.arm_results(contexts(t), sales_history(t))), "r_bandit"),
 }
-REC = "product_id, current_price:9, recommended_price:6, expected_demand:6, expected_revenue:3, expected_profit:3, expected_market_share:6, confidence_score:2, strategy_used, risk_assessment"
+REC = "product_id, current_price:9, recommended_price:6, expected_demand:6, expected_revenue:6, expected_profit:6, expected_market_share:6, confidence_score:2, strategy_used, risk_assessment"
 for _name, (_build, _view) in STRATEGIES.items():
     query(_name, REC, _build, f"SELECT * FROM {_view}")
 
@@ -389,7 +389,7 @@ def ensemble(t):
 
 
 query("strategy_ensemble", REC, ensemble, "SELECT * FROM r_ens")
-query("batch_pricing", "product_id, current_price:9, recommended_price:6, change_pct:6, expected_demand:6, expected_revenue:3, expected_profit:3, confidence_score:2, risk_assessment, strategy_used, top_features",
+query("batch_pricing", "product_id, current_price:9, recommended_price:6, change_pct:6, expected_demand:6, expected_revenue:6, expected_profit:6, confidence_score:2, risk_assessment, strategy_used, top_features",
       lambda t: S.batch_pricing(ensemble(t)),
       "SELECT *, (recommended_price - current_price) / current_price * 100 AS change_pct, 'ensemble_diversity' AS top_features FROM r_ens")
 query("pricing_report", "products:i, avg_price_change:6, revenue_lift:6, profit_lift:6, avg_confidence:6, risk_low:i, risk_medium:i, risk_high:i, top_opportunities",
