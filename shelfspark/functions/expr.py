@@ -32,7 +32,13 @@ def up_to_now(key=KEY, order=TIME) -> WindowSpec:
 
 
 def from_now(key=KEY, order=TIME) -> WindowSpec:
-    return ordered(key, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """The row and all later ones, newest first.
+
+    Written as a growing frame in reverse order, which costs one step per row; a frame
+    that ends at UNBOUNDED FOLLOWING is evaluated anew for every row. The value nearest to
+    the row is therefore the frame's last one.
+    """
+    return by(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def newest_first(key=KEY, order=TIME) -> WindowSpec:

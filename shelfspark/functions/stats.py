@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from shelfspark.functions.expr import with_scalars
 from shelfspark.session import written
 
-SMALL = 100_000  # below this many values a single sorted run is cheaper than a bracket
+SMALL = 100_000  # up to this many rows one task may hold a column
 SLACK = 0.001  # half width of the rank bracket, ten times the sketch error
 ACCURACY = 10_000
 
 
+def _percentile(c: str, p: float) -> Column:
+    return F.percentile(F.col(c).cast("double"), F.lit(float(p)))
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns: (name, prob, value).
 
-    A mergeable sketch first brackets each wanted rank. The second pass counts the
-    values below the bracket on the map side and shuffles only the distinct values
+    The rows are counted first, which reads no column. Up to SMALL rows take one
+    aggregate; more go through a bracket: a mergeable sketch brackets each wanted
+    rank, then a second pass counts the values below the bracket on the map side and shuffles only the distinct values
     inside it, which a spillable running sum ranks. The share that reaches one task
     is at most 2 * SLACK of the distinct values, whatever the size of the column.
     """
+    if df.count() <= SMALL:
+        wanted = [(c, float(p)) for c in cols for p in probs]
+        one = df.agg(*[_percentile(c, p).alias(f"q{i}") for i, (c, p) in enumerate(wanted)])
+        cells = [F.struct(F.lit(c).alias("name"), F.lit(p).alias("prob"), F.col(f"q{i}").alias("value")) for i, (c, p) in enumerate(wanted)]
+        return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value IS NOT NULL")
     items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(F.explode(items).alias("x")).select("x.name", "x.v").where("v IS NOT NULL")
     lo = [max(0.0, p - SLACK) for p in probs]
@@ -65,6 +75,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row with a column per wanted (source column, probability)."""
+    if df.count() <= SMALL:
+        return df.agg(*[_percentile(c, p).alias(out) for out, (c, p) in wanted.items()])
     cols = sorted({c for c, _ in wanted.values()})
     probs = sorted({p for _, p in wanted.values()})
     q = quantiles(df, cols, probs)
@@ -102,7 +114,8 @@ def mode_of(df: DataFrame, c: str) -> Column:
 
 
 def ranked_values(df: DataFrame, cols: list[str], cuts: int = 200) -> DataFrame:
-    """Distinct values of text columns with their position in sorted order, from 0: (name, value, code).
+    """Distinct values of text columns with their position in sorted order, from 0, and their row
+    count: (name, value, code, n).
 
     Each column's values are split at up to `cuts` of them, drawn as one minimum hash per
     hash bucket (a rerun draws the same ones). Every range is numbered on its own and
@@ -110,13 +123,15 @@ def ranked_values(df: DataFrame, cols: list[str], cuts: int = 200) -> DataFrame:
     of the values and a hot value is one row.
     """
     items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cols])
-    vals = df.select(F.explode(items).alias("x")).select("x.name", "x.value").where("value IS NOT NULL").distinct()
+    long = df.select(F.explode(items).alias("x")).select("x.name", "x.value").where("value IS NOT NULL")
+    vals = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    vals = written(vals, "values")  # feeds three branches
     h = F.xxhash64("value")
     picks = vals.groupBy("name", F.pmod(h, F.lit(cuts)).alias("b")).agg(F.min_by("value", F.struct(h, "value")).alias("cut"))
     picks = picks.groupBy("name").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     # one row per column with at most `cuts` values
     ranged = vals.join(F.broadcast(picks), "name").select(
-        "name", "value", F.size(F.filter("cuts", lambda x: x <= F.col("value"))).alias("part")
+        "name", "value", "rows", F.size(F.filter("cuts", lambda x: x <= F.col("value"))).alias("part")
     )
     sizes = ranged.groupBy("name", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +140,7 @@ def ranked_values(df: DataFrame, cols: list[str], cuts: int = 200) -> DataFrame:
     return (
         ranged.withColumn("pos", F.row_number().over(inside) - 1)
         .join(F.broadcast(shift), ["name", "part"])
-        .select("name", "value", (F.col("pos") + F.col("shift")).cast("bigint").alias("code"))
+        .select("name", "value", (F.col("pos") + F.col("shift")).cast("bigint").alias("code"), F.col("rows").alias("n"))
     )
 
 
@@ -135,8 +150,12 @@ def sized_join(df: DataFrame, side: DataFrame, on, how: str = "left", max_rows:
     The side is written once and counted from the file footers. Up to `max_rows` it is
     broadcast; a longer one takes a shuffle join, where adaptive execution splits hot keys.
     """
-    side = written(side, "side")
-    return df.join(F.broadcast(side) if side.count() <= max_rows else side, on, how)
+    return df.join(sized(written(side, "side"), max_rows), on, how)
+
+
+def sized(side: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A written side with a broadcast hint when it is short enough."""
+    return F.broadcast(side) if side.count() <= max_rows else side
 
 
 def corr(a: str, b: str) -> Column:

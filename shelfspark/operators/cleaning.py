@@ -78,7 +78,7 @@ def carried(c: str, key=KEY, order=TIME) -> Column:
 
 
 def carried_back(c: str, key=KEY, order=TIME) -> Column:
-    return F.first(c, ignorenulls=True).over(from_now(key, order))
+    return F.last(c, ignorenulls=True).over(from_now(key, order))
 
 
 def ffill_bfill(df: DataFrame, key, cols: list[str], order: str = TIME) -> DataFrame:
@@ -150,8 +150,8 @@ def interpolate_linear(
             "__pv": F.last(value, ignorenulls=True).over(back),
             "__pt": F.last(F.when(known, F.col(order)), ignorenulls=True).over(back),
             "__pn": F.last(F.when(known, F.col("__rn")), ignorenulls=True).over(back),
-            "__nv": F.first(value, ignorenulls=True).over(ahead),
-            "__nt": F.first(F.when(known, F.col(order)), ignorenulls=True).over(ahead),
+            "__nv": F.last(value, ignorenulls=True).over(ahead),
+            "__nt": F.last(F.when(known, F.col(order)), ignorenulls=True).over(ahead),
         }
     )
     share = F.try_divide(F.datediff(order, "__pt").cast("double"), F.datediff("__nt", "__pt"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.expr import clip_col, flag, safe_divide, with_scalars
-from shelfspark.functions.stats import quantile_row, ranked_values, sized_join
+from shelfspark.functions.stats import quantile_row, ranked_values, sized
 from shelfspark.session import written
 
 # Id columns tried in order, code-like product patterns, months of each season.
@@ -158,21 +158,26 @@ def format_report(df: DataFrame) -> DataFrame:
     )
 
 
-def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Position of each value in sorted distinct order; nulls are encoded as the text 'nan'."""
+def encode(df: DataFrame, labels: list[str], frequencies: list[str]) -> DataFrame:
+    """Label codes and row counts of category columns, attached from one pass over the values."""
+    cols = sorted({*labels, *frequencies})
     texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols}
-    codes = written(ranked_values(df.select(*[t.alias(c) for c, t in texts.items()]), cols), "codes")
+    table = written(ranked_values(df.select(*[t.alias(c) for c, t in texts.items()]), cols), "codes")
+    short = sized(table) is not table  # all columns together are short enough to broadcast
     out = df
     for c in cols:
-        one = codes.filter(F.col("name") == c).select(F.col("value").alias("__v"), F.col("code").alias(f"{c}_encoded"))
-        out = sized_join(out, one, texts[c] == F.col("__v")).drop("__v")
+        new = [F.col("code").alias(f"{c}_encoded")] if c in labels else []
+        new += [F.col("n").alias(f"{c}_frequency")] if c in frequencies else []
+        side = table.filter(F.col("name") == c).select(F.col("value").alias("__v"), *new)
+        out = out.join(F.broadcast(side) if short else side, texts[c] == F.col("__v"), "left").drop("__v")
     return out
 
 
+def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Position of each value in sorted distinct order; nulls are encoded as the text 'nan'."""
+    return encode(df, cols, [])
+
+
 def frequency_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per value on every row: counts are pre-aggregated, so a hot value is one row."""
-    out = df
-    for c in cols:
-        counts = df.groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias(f"{c}_frequency"))
-        out = sized_join(out, counts, F.col(c).eqNullSafe(F.col("__v"))).drop("__v")
-    return out
+    return encode(df, [], cols)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.expr import KEY, TIME, by, flag, newest_first, ordered, rows, with_scalars
 from shelfspark.functions.stats import fill_median, quantile_row, sized_join
 from shelfspark.operators.cleaning import carried, carried_back
-from shelfspark.operators.filters import frequency_encode, interactions, label_encode, season_from_month
+from shelfspark.operators.filters import encode, interactions, season_from_month
 from shelfspark.session import written
 
 EPS = 1e-6
@@ -261,15 +261,21 @@ def rich_features(df: DataFrame, price: bool = True, order: str = TIME) -> DataF
 def feature_table(df: DataFrame) -> DataFrame:
     """All 51 model features in one table.
 
-    One shuffle on the product feeds every window. The windowed table is written once, so
-    the passes that find the column medians scan a file instead of repeating the windows.
+    Category codes, counts and means are small tables attached to the rows first; one
+    shuffle on the product then feeds every window. The result is written once, so that
+    finding all medians is a column scan and not a second run of the windows.
     """
-    base = with_category_price(season_from_month(df))
+    base = encode(season_from_month(df), ["category", "product_name", "season", "weather"], ["category", "product_name"])
+    base = time_features(with_category_price(base))
     windowed = {**lag_columns(), **strict_columns(), **price_columns(), **inventory_columns()}
-    wide = with_stock_level(time_features(base).withColumns(windowed), df)
-    filled = fill_median(written(wide, "features"), [*windowed, "price_relative_to_category"])
-    coded = label_encode(filled, ["category", "product_name", "season", "weather"])
-    return interactions(frequency_encode(coded, ["category", "product_name"]))
+    wide = written(interactions(base.withColumns(windowed)), "features")
+    filled = [*windowed, "price_relative_to_category"]
+    medians = quantile_row(wide, {f"__m_{c}": (c, 0.5) for c in [*filled, "stock_on_hand"]})
+    out = with_scalars(wide, medians)
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in filled})
+    stock, mid = F.col("stock_on_hand"), F.col("__m_stock_on_hand")
+    out = out.withColumns({"low_stock": flag(stock < mid * 0.5), "high_stock": flag(stock > mid * 2)})
+    return out.drop(*medians.columns)
 
 
 def split_chronological(df: DataFrame, f: float = 0.8, key=KEY, order: str = TIME) -> DataFrame:

@@ -10,6 +10,7 @@ from shelfspark.operators import pricing as E
 from shelfspark.operators import strategies as S
 from shelfspark.operators.windows import change
 from shelfspark.plans.registry import CTES, query
+from shelfspark.session import written
 
 _w = "PARTITION BY product_name ORDER BY week_start"
 
@@ -367,9 +368,9 @@ query("strategy_bandit_draw", REC, lambda t: S.strategy_bandit(contexts(t), S.ar
 query("strategy_state_action_explore", REC, lambda t: S.strategy_state_action(contexts(t), S.learned_steps(history(t)), eps=0.1))
 
 
-def members(t):
+def members(t, ctx):
     """Member strategies by name, each a function of the context rows."""
-    table, arms = S.learned_steps(history(t)), S.arm_results(contexts(t), sales_history(t))
+    table, arms = S.learned_steps(history(t)), S.arm_results(ctx, sales_history(t))
     return {
         "rule_based": S.strategy_rule_based, "elasticity": S.strategy_elasticity, "optimization": S.strategy_optimization,
         "multi_objective": S.strategy_multi_objective, "customer_segmentation": S.strategy_segments,
@@ -385,7 +386,8 @@ CTES["r_ens"] = rec_sql("ensemble", f"""SELECT ctxe.*, p FROM ctxe JOIN (SELECT
 
 
 def ensemble(t):
-    return S.strategy_ensemble(contexts(t), members(t))
+    ctx = written(contexts(t), "contexts")  # read by the members and by the arm results
+    return S.strategy_ensemble(ctx, members(t, ctx))
 
 
 query("strategy_ensemble", REC, ensemble, "SELECT * FROM r_ens")

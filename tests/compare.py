@@ -65,7 +65,7 @@ def compare(spark, con, key, build, sql, sf_dir=SF):
     if c1 != c2:
         return False, f"columns {c1} != {c2}"
     if r1 == r2:
-        return bool(r1), f"{len(r1)} rows, {took:.1f}s vs {duck:.1f}s"
+        return True, f"{len(r1)} rows, {took:.1f}s vs {duck:.1f}s" + ("" if r1 else " EMPTY")
     s1, s2 = set(r1), set(r2)
     bad1, bad2 = [x for x in r1 if x not in s2], [x for x in r2 if x not in s1]
     return False, f"rows {len(r1)} vs {len(r2)}, differing {len(bad1)}/{len(bad2)}\n   cols  {c1}\n   spark {bad1[:3]}\n   sql   {bad2[:3]}"
