@@ -341,21 +341,23 @@ def beta_draws(seed: int):
 
 
 def strategy_ensemble(
-    ctx: DataFrame, members: dict[str, Callable[[DataFrame], DataFrame]], weights: dict[str, float] | None = None
+    ctx: DataFrame, members: dict[str, Column | Callable[[DataFrame], DataFrame]], weights: dict[str, float] | None = None
 ) -> DataFrame:
     """Confidence-weighted mean price of the member strategies.
 
-    Members add their price to the same context rows one after the other, so the blend is
-    a row expression: no union, no second read of the contexts, no grouping.
+    A member is a price expression, or a function that adds `recommended_price` where it
+    needs learned tables. All of them work on the same context rows, so the blend is a row
+    expression: no union, no second read of the contexts, no grouping.
     """
     weights = weights or WEIGHTS
-    df = ctx
+    df = strategy_elasticity_prior(ctx)
+    df = df.withColumns({f"__p_{n}": m for n, m in members.items() if isinstance(m, Column)})
     for name, member in members.items():
-        df = member(df).select(*df.columns, C("recommended_price").alias(f"__p_{name}"))
+        if not isinstance(member, Column):
+            df = member(df).select(*df.columns, C("recommended_price").alias(f"__p_{name}"))
     w = {name: weights[name] * CONFIDENCE[name] for name in members}
-    total = sum((C(f"__p_{n}") * x for n, x in list(w.items())[1:]), C(f"__p_{next(iter(w))}") * next(iter(w.values())))
-    price = total / (sum(w.values()) + 1e-9)
-    df = strategy_elasticity_prior(df)
+    votes = [C(f"__p_{n}") * x for n, x in w.items()]
+    price = sum(votes[1:], votes[0]) / (sum(w.values()) + 1e-9)
     out = _result(df, "ensemble", price, lambda p: F.greatest(F.lit(0.0), _at(p)), F.lit("Weighted strategies"),
                   _map(ensemble_diversity=F.lit(95)), (0.12, 0.25))
     prices = [C(f"__p_{n}") for n in members]

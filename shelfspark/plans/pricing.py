@@ -369,11 +369,11 @@ query("strategy_state_action_explore", REC, lambda t: S.strategy_state_action(co
 
 
 def members(t, ctx):
-    """Member strategies by name, each a function of the context rows."""
+    """Member strategies by name: price expressions, and functions of the context rows."""
     table, arms = S.learned_steps(history(t)), S.arm_results(ctx, sales_history(t))
     return {
-        "rule_based": S.strategy_rule_based, "elasticity": S.strategy_elasticity, "optimization": S.strategy_optimization,
-        "multi_objective": S.strategy_multi_objective, "customer_segmentation": S.strategy_segments,
+        "rule_based": S.rule_price(), "elasticity": S.elasticity_price(), "optimization": S.optimization_price(),
+        "multi_objective": S.multi_objective_price(), "customer_segmentation": S.segments_price(),
         "reinforcement_learning": lambda df: S.strategy_state_action(df, table, eps=0.0),
         "multi_armed_bandit": lambda df: S.strategy_bandit(df, arms),
     }
