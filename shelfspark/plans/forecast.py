@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expr import KEY, TIME, newest_first
+from shelfspark.functions.expr import KEY, newest_first
 from shelfspark.operators import anomaly as N
 from shelfspark.operators import cleaning as C
 from shelfspark.operators import forecast as O
@@ -12,6 +12,7 @@ from shelfspark.operators import inventory as I
 from shelfspark.operators import pricing as E
 from shelfspark.operators.windows import latest_row
 from shelfspark.plans.registry import CTES, query
+from shelfspark.session import written
 
 _w = "PARTITION BY product_name ORDER BY week_start"
 _d = "PARTITION BY product_name ORDER BY date"
@@ -94,6 +95,11 @@ def fc(t):
     return O.forecast_trend_season(t.panel, 60, "monthly")
 
 
+def stored(t):
+    """The forecast as a written table, for reports that read it several times."""
+    return written(fc(t), "forecast")
+
+
 query("forecast_trend", FC, lambda t: O.forecast_trend_season(t.panel, 60, "trend"), "SELECT * FROM fct")
 query("forecast_trend_monthly", FC, fc, "SELECT * FROM fc")
 query("forecast_trend_season", FC, lambda t: O.forecast_trend_season(t.panel, 52, "harmonic"))
@@ -214,7 +220,7 @@ SELECT f.*, recent AS mean_last_4, stock, (next_mean - recent) / (recent + 1e-6)
        mape, LEAST(100, GREATEST(0, 100 - mape)) AS confidence
 FROM f JOIN stock_now USING (product_name) JOIN fpeaks USING (product_name) JOIN (SELECT product_name, mape FROM scores WHERE model = 'trend') USING (product_name)"""
 query("forecast_kpis", "product_name, growth_pct:6, next_month:6, next_quarter:6, peak, low, stockout_risk:6, confidence:6",
-      lambda t: O.forecast_kpis(t.panel, fc(t), latest_row(t.panel), trend_scores(t)), "SELECT * FROM fkpis")
+      lambda t: O.forecast_kpis(t.panel, stored(t), latest_row(t.panel), trend_scores(t)), "SELECT * FROM fkpis")
 
 
 def _daily_fc(t):
@@ -238,7 +244,7 @@ query("topk_weeks", "product_name, date:d, rank:i, yhat:6, ci_range:6, growth_pc
          SELECT *, (yhat - recent) / (recent + 1e-6) * 100 AS growth_pct, LEAST(100, GREATEST(0, 100 - ci_range / (yhat + 1e-6) * 100)) AS confidence_pct FROM r WHERE rank <= 5""")
 
 query("forecast_narrative", "product_name, trend, trend_pct:6, season, quarter_growth:6, risk, price, accuracy, recommendations",
-      lambda t: O.forecast_narrative(t.panel, fc(t), trend_scores(t), E.elasticity_gated(t.panel), latest_row(t.panel)),
+      lambda t: O.forecast_narrative(t.panel, stored(t), trend_scores(t), E.elasticity_gated(t.panel), latest_row(t.panel)),
       """WITH q AS (SELECT product_name, SUM(sales_qty) FILTER (age <= 13) AS lq, COUNT(*) AS hist FROM recent GROUP BY 1),
               k AS (SELECT fkpis.*, lq, hist, elasticity FROM fkpis JOIN q USING (product_name) JOIN elas USING (product_name))
          SELECT product_name, CASE WHEN next_mean > mean_last_4 * 1.1 THEN 'rise' WHEN next_mean < mean_last_4 * 0.9 THEN 'decline' ELSE 'stable' END AS trend, (next_mean - mean_last_4) / mean_last_4 * 100 AS trend_pct,
@@ -247,7 +253,7 @@ query("forecast_narrative", "product_name, trend, trend_pct:6, season, quarter_g
                 CASE WHEN mape < 10 THEN 'excellent' WHEN mape < 20 THEN 'good' ELSE 'moderate' END AS accuracy,
                 concat_ws('; ', CASE WHEN stockout_risk > 40 THEN 'Reorder inventory' END, CASE WHEN horizon >= 52 THEN 'Plan promotions for ' || peak END, CASE WHEN elasticity < -1 THEN 'Consider price reduction' END, 'Update the model monthly') AS recommendations FROM k""")
 
-query("insight_cards", "product_name, growth_month, growth_pct:6, top_date:d, top_value:6, savings:6, confidence:6", lambda t: O.insight_cards(fc(t), trend_scores(t)),
+query("insight_cards", "product_name, growth_month, growth_pct:6, top_date:d, top_value:6, savings:6, confidence:6", lambda t: O.insight_cards(stored(t), trend_scores(t)),
       f"""WITH t AS (SELECT product_name, date AS top_date, yhat AS top_value FROM fc QUALIFY ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY yhat DESC, date) = 1)
           SELECT fkpis.product_name, peak AS growth_month, (peak_value - month_mean) / (month_mean + 1e-6) * 100 AS growth_pct, top_date, top_value, CASE WHEN mape < 15 THEN next_quarter * 0.05 END AS savings, 100 - mape AS confidence
           FROM fkpis JOIN fpeaks USING (product_name) JOIN t USING (product_name)""")

@@ -197,7 +197,7 @@ query("cross_scalar", "product_name, week_start:d, last_week:d, mean_qty:6",
                 (SELECT AVG(sales_qty) FROM panel) AS mean_qty FROM panel""")
 
 query("distinct_name_map", "p_partkey:i, p_name", lambda t: A.distinct_name_map(
-          t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")), "p_partkey", "p_name"),
+          t.lineitem.select("l_partkey").distinct().join(t.part, F.col("l_partkey") == F.col("p_partkey")), "p_partkey", "p_name"),
       "SELECT DISTINCT p_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
 
 # ---- aggregates

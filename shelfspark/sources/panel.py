@@ -15,16 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _measures(size_sum, n) -> list:
-    return [
-        F.sum("qty").alias("qty"),
-        F.sum("amount").alias("amount"),
-        size_sum.alias("size_sum"),
-        F.sum("disc").alias("disc"),
-        n.alias("n"),
-        F.max("weather").alias("weather"),
-        F.max("availability").alias("availability"),
-    ]
+SUMS = ["qty", "amount", "size_sum", "disc", "n"]
+
+
+def _sums() -> list:
+    return [*[F.sum(c).alias(c) for c in SUMS], F.max("availability").alias("availability")]
 
 
 def rollup(lineitem: DataFrame, part: DataFrame, grain: str = "week", part_rows: int = PART_ROWS) -> DataFrame:
@@ -36,26 +31,32 @@ def rollup(lineitem: DataFrame, part: DataFrame, grain: str = "week", part_rows:
     period before the join on the part key.
     """
     day = F.col("l_shipdate").cast("date")
-    period = day if grain == "day" else F.date_trunc("week", "l_shipdate").cast("date")
+    period = day if grain == "day" else F.trunc(day, "week")
     lines = lineitem.select(
         F.col("l_partkey").alias("partkey"),
         period.alias("period"),
         F.col("l_quantity").alias("qty"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
-        F.round(F.col("l_discount") * 100).cast("bigint").alias("disc"),
+        # whole cents and whole percents: exact sums on primitive longs
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("amount"),
+        F.floor(F.col("l_discount") * 100 + 0.5).alias("disc"),
         F.col("l_returnflag").alias("weather"),
         F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("availability"),
     )
     dim = part.select(
         F.col("p_partkey").alias("partkey"), F.col("p_brand").alias("product_name"), F.col("p_size").alias("size")
     )
+    lines = lines.withColumn("n", F.lit(1).cast("bigint"))
+    # the text column is a grouping key of the first sum: a maximum of text would turn the
+    # hash aggregate over the lines into a sort
     if part.count() <= part_rows:
-        joined = lines.join(F.broadcast(dim), "partkey")
-        summed = joined.groupBy("product_name", "period").agg(*_measures(F.sum("size"), F.count(F.lit(1))))
+        joined = lines.join(F.broadcast(dim), "partkey").withColumn("size_sum", F.col("size").cast("bigint"))
     else:
-        first = lines.groupBy("partkey", "period").agg(*_measures(F.count(F.lit(1)), F.count(F.lit(1))))
-        joined = first.join(dim, "partkey").withColumn("size_sum", F.col("size") * F.col("n"))
-        summed = joined.groupBy("product_name", "period").agg(*_measures(F.sum("size_sum"), F.sum("n")))
+        lines = lines.withColumn("size_sum", F.lit(0).cast("bigint"))
+        joined = lines.groupBy("partkey", "period", "weather").agg(*_sums()).join(dim, "partkey")
+        joined = joined.withColumn("size_sum", F.col("size") * F.col("n"))
+    keys = ["product_name", "period"]
+    summed = joined.groupBy(*keys, "weather").agg(*_sums())
+    summed = summed.groupBy(*keys).agg(*_sums(), F.max("weather").alias("weather"))
     return summed.select(
         "product_name",
         F.concat(
@@ -63,7 +64,7 @@ def rollup(lineitem: DataFrame, part: DataFrame, grain: str = "week", part_rows:
         ).alias("category"),
         F.col("period").alias("week_start" if grain == "week" else "date"),
         F.col("qty").cast("double").alias("sales_qty"),
-        F.try_divide(F.col("amount").cast("double"), F.col("qty")).alias("price"),
+        F.try_divide(F.col("amount") / 100, F.col("qty")).alias("price"),
         F.col("size_sum").cast("double").alias("stock_on_hand"),
         F.when(F.col("disc") > 5 * F.col("n"), 1).otherwise(0).alias("promotion"),
         F.when(F.month("period").isin(11, 12), 1).otherwise(0).alias("holiday_flag"),
