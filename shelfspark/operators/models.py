@@ -18,7 +18,7 @@ from shelfspark.functions.stats import fill_median, quantile_row
 from shelfspark.operators import strategies as S
 from shelfspark.operators.filters import label_encode, project_numeric
 from shelfspark.operators.forecast import (
-    BASE_WEIGHTS, Z80, Z95, fold_rows, fold_summary, metrics, trend_fit, trend_value,
+    BASE_WEIGHTS, Z80, Z95, ensemble_weights, fold_rows, fold_summary, metrics, trend_fit, trend_value,
 )
 from shelfspark.operators.windows import cyclic, full, rolling_pair_smooth, split_chronological, weekly_features
 from shelfspark.session import written
@@ -143,26 +143,45 @@ def _step_features(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def _blend(feats: DataFrame, model, fit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weight of the seasonal line per product, and the deviation of the blend's residuals.
+
+    The line is scored on all weeks, the boosted model on the held-out ones; a product
+    without held-out weeks keeps the base weights.
+    """
+    rows = _scored(model, feats, WEEKLY, "boosted").join(fit, KEY)
+    rows = written(rows.select(KEY, "split", F.col("sales_qty").alias("actual"), "boosted", trend_value(TIME, True).alias("line")), "scored")
+    line = metrics(rows.select(KEY, "actual", F.col("line").alias("predicted"), F.lit("line").alias("model")))
+    test = rows.filter("split = 'test'")
+    trees = metrics(test.select(KEY, "actual", F.col("boosted").alias("predicted"), F.lit("boosted").alias("model")))
+    base = {"line": BASE_WEIGHTS["prophet"], "boosted": BASE_WEIGHTS["xgb"] + BASE_WEIGHTS["lgbm"]}
+    scores = line.select(KEY, "model", "rmse").unionByName(trees.select(KEY, "model", "rmse"))
+    weights = ensemble_weights(scores, base).filter("model = 'line'").select(KEY, F.col("weight").alias("line_share"))
+    blend = F.col("line_share") * F.col("line") + (1 - F.col("line_share")) * F.greatest(F.lit(0.0), F.col("boosted"))
+    sd = rows.join(weights, KEY).groupBy(KEY).agg(F.stddev_pop(F.col("actual") - blend).alias("sd"))
+    return weights, sd
+
+
 def forecast_recursive(panel: DataFrame, horizon: int = 12, trees: int = TREES, keep: int = 26) -> DataFrame:
     """Week-by-week forecast of all products: each blended value joins the history of the next step.
 
-    One pooled boosted model and the seasonal line are blended by the base weights. The
-    history a step needs is the last `keep` values in an array column, so a step is a
+    One pooled boosted model and the seasonal line are blended per product by
+    `ensemble_weights`. The history a step needs is the last `keep` values in an array column, so a step is a
     projection and a model call for all products at once. The plan is cut every few steps.
     """
     if not 1 <= horizon <= 156:
         raise ValueError("horizon must be between 1 and 156 weeks")
-    feats = written(lagged_features(panel), "weekly")
-    model = fit_boosted(feats, WEEKLY, "sales_qty", trees)
+    feats = written(split_chronological(lagged_features(panel), 0.85), "weekly")
+    model = fit_boosted(feats.filter("split = 'train'"), WEEKLY, "sales_qty", trees)
     fit = trend_fit(panel, True)
-    sd = _scored(model, feats, WEEKLY, "p").groupBy(KEY).agg(F.stddev_pop(F.col("sales_qty") - F.col("p")).alias("sd"))
+    weights, sd = _blend(feats, model, fit)
     recent = panel.withColumn("age", F.row_number().over(newest_first())).filter(F.col("age") <= keep)
     hist = recent.groupBy(KEY).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("age")).alias("k"), F.col("sales_qty").alias("v")))).alias("h")  # at most `keep` values
     )
-    state = hist.select(KEY, F.col("h.v").alias("hist")).join(fit, KEY).join(sd, KEY)
+    state = hist.select(KEY, F.col("h.v").alias("hist")).join(fit, KEY).join(weights, KEY).join(sd, KEY)
     state = written(state.withColumn("path", F.array().cast("array<double>")), "state")
-    share = BASE_WEIGHTS["prophet"]
+    share = F.col("line_share")
     base = state.columns
     for step in range(1, horizon + 1):
         df = _step_features(state.withColumn("date", F.date_add("last", 7 * step)))
