@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME
+from shelfspark.functions.stats import sized_join
 from shelfspark.operators import anomaly as N
 from shelfspark.operators import inventory as I
 from shelfspark.operators import models as M
@@ -26,7 +27,7 @@ def past(t):
     p = t.panel
     cat = p.groupBy("category").agg(F.avg("price").alias("competitor_price"))
     prod = p.groupBy(KEY).agg(F.avg("sales_qty").alias("mq"))
-    rows = p.join(cat, "category").join(prod, KEY)
+    rows = sized_join(p, cat, "category", "inner").join(prod, KEY)
     none = F.lit(None).cast("double")
     names = F.when(F.col("category") == "CAT0", "luxury").when(F.col("category") == "CAT1", "necessity").when(
         F.col("category") == "CAT3", "discretionary").when(F.col("category") == "CAT4", "commodity").otherwise("general")

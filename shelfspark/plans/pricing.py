@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME, by
+from shelfspark.functions.stats import sized_join
 from shelfspark.operators import aggregates as A
 from shelfspark.operators import pricing as E
 from shelfspark.operators import strategies as S
@@ -254,7 +255,7 @@ def contexts(t):
     cat = t.panel.groupBy("category").agg(F.avg("price").alias("cp"), F.sum("sales_qty").alias("cq"))
     prod = t.panel.groupBy(KEY).agg(F.avg("sales_qty").alias("mq"), F.sum("sales_qty").alias("tq"))
     est = E.elasticity_simple(t.panel).select(KEY, F.col("elasticity").alias("est"))
-    rows = latest.join(cat, "category").join(prod, KEY).join(est, KEY)
+    rows = sized_join(latest, cat, "category", "inner").join(prod, KEY).join(est, KEY)
     dom = F.day(TIME)
     names = F.when(F.col("category") == "CAT0", "luxury").when(F.col("category") == "CAT1", "necessity").when(
         F.col("category") == "CAT2", "general").when(F.col("category") == "CAT3", "discretionary").otherwise("commodity")
@@ -336,7 +337,7 @@ CTES["r_bandit"] = rec_sql("multi_armed_bandit", """
 def history(t):
     """Past weeks as contexts with the price change and the revenue they saw."""
     cat = t.panel.groupBy("category").agg(F.avg("price").alias("competitor_price"))
-    return t.panel.withColumn("price_change", change("price")).join(cat, "category").select(
+    return sized_join(t.panel.withColumn("price_change", change("price")), cat, "category", "inner").select(
         F.col("stock_on_hand").alias("current_stock"), F.col("sales_qty").alias("demand_forecast"),
         F.col("price").alias("current_price"), "competitor_price", "price_change",
         (F.col("price") * F.col("sales_qty")).alias("revenue"),

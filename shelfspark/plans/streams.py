@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME
+from shelfspark.functions.stats import sized_join
 from shelfspark.operators import strategies as S
 from shelfspark.operators.windows import change
 from shelfspark.plans.pricing import STATE_SQL, price_tests
@@ -57,7 +58,7 @@ query("stream_bandit_counts", "product_id, price, wins:i, losses:i",
 def _outcomes(t):
     """Every week as a state, the price step it took and the revenue it brought."""
     cat = t.panel.groupBy("category").agg(F.avg("price").alias("competitor_price"))
-    rows = t.panel.withColumn("price_change", change("price")).filter("price_change IS NOT NULL").join(cat, "category")
+    rows = sized_join(t.panel.withColumn("price_change", change("price")).filter("price_change IS NOT NULL"), cat, "category", "inner")
     rows = rows.withColumns({"current_stock": F.col("stock_on_hand"), "demand_forecast": F.col("sales_qty"), "current_price": F.col("price")})
     step = F.greatest(F.lit(0.0), F.least(F.lit(6.0), F.round(F.col("price_change") / 0.05) + 3)).cast("int")
     return rows.select(S.state_of().alias("state"), step.alias("step"), F.col(TIME).cast("timestamp").alias("ts"),
