@@ -9,8 +9,8 @@ from shelfspark.functions.expr import with_scalars
 from shelfspark.session import written
 
 SMALL = 100_000  # up to this many rows one task may hold a column
-SLACK = 0.001  # half width of the rank bracket, ten times the sketch error
-ACCURACY = 10_000
+SLACK = 0.0025  # half width of the rank bracket, five times the sketch error
+ACCURACY = 2_000
 
 
 def _percentile(c: str, p: float) -> Column:
@@ -22,55 +22,62 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 
     The rows are counted first, which reads no column. Up to SMALL rows take one
     aggregate; more go through a bracket: a mergeable sketch brackets each wanted
-    rank, then a second pass counts the values below the bracket on the map side and shuffles only the distinct values
-    inside it, which a spillable running sum ranks. The share that reaches one task
-    is at most 2 * SLACK of the distinct values, whatever the size of the column.
+    rank, then a second pass counts the values below the bracket on the map side and
+    shuffles only the distinct values inside it, which a spillable running sum ranks. The
+    share that reaches one task is at most 2 * SLACK of the distinct values, whatever the
+    size of the column.
     """
     if df.count() <= SMALL:
         wanted = [(c, float(p)) for c in cols for p in probs]
         one = df.agg(*[_percentile(c, p).alias(f"q{i}") for i, (c, p) in enumerate(wanted)])
         cells = [F.struct(F.lit(c).alias("name"), F.lit(p).alias("prob"), F.col(f"q{i}").alias("value")) for i, (c, p) in enumerate(wanted)]
         return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value IS NOT NULL")
-    items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = df.select(F.explode(items).alias("x")).select("x.name", "x.v").where("v IS NOT NULL")
-    lo = [max(0.0, p - SLACK) for p in probs]
-    hi = [min(1.0, p + SLACK) for p in probs]
-    sketch = long.groupBy("name").agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("mn"),
-        F.max("v").alias("mx"),
-        F.percentile_approx("v", lo + hi, ACCURACY).alias("q"),
-    )
-    small = F.col("n") <= SMALL
-    spans = F.array(
+    return _bracketed(df, cols, [float(p) for p in probs])
+
+
+def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    wanted = [(j, c, i, p) for j, c in enumerate(cols) for i, p in enumerate(probs)]
+    vals = df.select(*[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(cols)])
+    points = [max(0.0, p - SLACK) for p in probs] + [min(1.0, p + SLACK) for p in probs]
+    sketch = vals.agg(
         *[
             F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.when(small, F.col("mn")).otherwise(F.col("q")[i]).alias("lo"),
-                F.when(small, F.col("mx")).otherwise(F.col("q")[len(probs) + i]).alias("hi"),
-            )
-            for i, p in enumerate(probs)
+                F.count(f"v{j}").alias("n"), F.min(f"v{j}").alias("mn"), F.max(f"v{j}").alias("mx"),
+                F.percentile_approx(f"v{j}", points, ACCURACY).alias("q"),
+            ).alias(f"s{j}")
+            for j in range(len(cols))
         ]
     )
-    spans = sketch.select("name", "n", F.explode(spans).alias("s")).select("name", "n", "s.*")
-    # one row per column and probability: bounded by the call, not by the data
-    counted = (
-        long.join(F.broadcast(spans), "name")
-        .where(F.col("v") <= F.col("hi"))
-        .withColumn("v", F.when(F.col("v") >= F.col("lo"), F.col("v")))
-        .groupBy("name", "prob", "n", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    run = Window.partitionBy("name", "prob").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("cum", F.sum("c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    found = sketch.first()  # one row: a few numbers per column
+    bracket = []
+    for j, _, i, _ in wanted:
+        at = found[f"s{j}"]
+        few = at["n"] <= SMALL  # a column that is mostly null
+        lo, hi = (at["mn"], at["mx"]) if few else (at["q"][i], at["q"][len(probs) + i])
+        bracket.append((at["n"], F.lit(lo).cast("double"), F.lit(hi).cast("double")))
+    below = vals.agg(*[F.count_if(F.col(f"v{j}") < bracket[k][1]).alias(f"b{k}") for k, (j, _, _, _) in enumerate(wanted)])
+    # one row per wanted quantile: bounded by the call
+    cells = [
+        F.struct(F.lit(k).alias("k"), F.lit(c).alias("name"), F.lit(p).alias("prob"), F.lit(bracket[k][0]).alias("n"), F.col(f"b{k}").alias("b"))
+        for k, (_, c, _, p) in enumerate(wanted)
+    ]
+    asked = below.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    hits = [
+        F.when(F.col(f"v{j}").between(bracket[k][1], bracket[k][2]), F.struct(F.lit(k).alias("k"), F.col(f"v{j}").alias("v")))
+        for k, (j, _, _, _) in enumerate(wanted)
+    ]
+    inside = vals.select(F.explode(F.array_compact(F.array(*hits))).alias("x")).select("x.k", "x.v")
+    counted = inside.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("cum", F.sum("c").over(run)).join(F.broadcast(asked), "k")
     pos = F.col("prob") * (F.col("n") - 1)
-    low, high = F.floor(pos) + 1, F.ceil(pos) + 1
-    picked = ranked.groupBy("name", "prob", "n").agg(
-        F.min(F.when(F.col("cum") >= low, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("cum") >= high, F.col("v"))).alias("b"),
+    rank = F.col("cum") + F.col("b")
+    picked = ranked.groupBy("k", "name", "prob", "n").agg(
+        F.min(F.when(rank >= F.floor(pos) + 1, F.col("v"))).alias("lower"),
+        F.min(F.when(rank >= F.ceil(pos) + 1, F.col("v"))).alias("upper"),
     )
-    frac = pos - F.floor(pos)
-    return picked.select("name", "prob", (F.col("a") + (F.col("b") - F.col("a")) * frac).alias("value"))
+    part = pos - F.floor(pos)
+    return picked.select("name", "prob", (F.col("lower") + (F.col("upper") - F.col("lower")) * part).alias("value"))
 
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
