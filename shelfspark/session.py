@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "shelfspark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -56,3 +58,14 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that Python functions import it there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="shelfspark-ship-"), os.path.basename(root))
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+        _SHIPPED.add(app)
+    return spark
