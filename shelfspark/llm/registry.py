@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import toxicity
+from shelfspark.llm import simhash, toxicity
 
 QUERIES = {
+    "op5_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {}
