@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import simhash, toxicity
+from shelfspark.llm import contamination, simhash, toxicity
 
 QUERIES = {
     "op5_simhash": simhash.query,
+    "op10_decontaminate": contamination.query,
     "op7_toxicity": toxicity.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": contamination.ORACLE,
+}
