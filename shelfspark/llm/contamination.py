@@ -25,25 +25,26 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, -1), "")
 
 
-def windows(w: str, first: Column, starts: Column, size: int) -> Column:
-    """Windows of `size` words of the array column `w` at its first `starts` positions: array of (pos, n, win)."""
+def windows(w: str, starts: Column, size: int) -> Column:
+    """Windows of `size` words of the array column `w` at its first `starts` positions: array of (i, n, h), h a hash of the words."""
     last = F.least(starts, F.size(w) - size + 1)
 
     def one(i: Column) -> Column:
-        text = F.concat_ws(" ", *[F.element_at(w, i + k) for k in range(size)])
-        return F.struct((first + i - 1).alias("pos"), F.lit(size).alias("n"), text.alias("win"))
+        return F.struct(i.alias("i"), F.lit(size).alias("n"), F.xxhash64(*[F.element_at(w, i + k) for k in range(size)]).alias("h"))
 
-    none = F.array().cast("array<struct<pos:int,n:int,win:string>>")
+    none = F.array().cast("array<struct<i:int,n:int,h:bigint>>")
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), one)).otherwise(none)
 
 
 def test_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item, n, win) of every benchmark item with words, written; a null id is the empty id."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words().alias("w"))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.size("w").alias("n"), F.array_join("w", " ").alias("win")))
-    wins = F.when(F.size("w") < size, whole).otherwise(windows("w", F.lit(0), F.size("w"), size))
-    found = items.where(F.size("w") > 0).select("item", F.explode(wins).alias("x")).select("item", "x.n", "x.win").distinct()
-    return written(found, "windows")
+    """(item, n, h, win) of every benchmark item with words, written; a null id is the empty id."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words().alias("w")).where(F.size("w") > 0)
+    every = F.lit(None).cast("array<struct<i:int,n:int,h:bigint>>")
+    for n in range(1, size):
+        every = F.when(F.size("w") == n, windows("w", F.lit(1), n)).otherwise(every)
+    every = F.when(F.size("w") >= size, windows("w", F.size("w"), size)).otherwise(every)
+    found = items.select("item", "w", F.explode(every).alias("x"))
+    return written(found.select("item", "x.n", "x.h", F.array_join(F.slice("w", F.col("x.i"), F.col("x.n")), " ").alias("win")).distinct(), "windows")
 
 
 def sized(side: DataFrame, text: str, limit: int = BROADCAST) -> DataFrame:
@@ -64,10 +65,15 @@ def hits(docs: DataFrame, tests: DataFrame, size: int = SIZE, limit: int = BROAD
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK))
     cut = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("w", s + 1, F.lit(BLOCK + size - 1)).alias("w")))
     blocks = docs.select("key", words().alias("w")).select("key", F.explode(cut).alias("b")).select("key", "b.first", "b.w")
-    each = [windows("w", F.col("first"), F.lit(BLOCK), n) for n in lengths]
-    scanned = blocks.select("key", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("x")).select("key", "x.pos", "x.n", "x.win")
-    known = sized(tests.select("n", "win").distinct(), "win", limit)
-    return scanned.join(known, ["n", "win"], "left_semi").groupBy("key", "pos", "n", "win").agg(F.lit(1).alias("one")).drop("one")
+    each = [windows("w", F.lit(BLOCK), n) for n in lengths]
+    scanned = blocks.select("key", "first", "w", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("x"))
+    scanned = scanned.select("key", "first", "w", "x.i", "x.n", "x.h")
+    known = sized(tests.select("n", "h", "win").distinct(), "win", limit)
+    text = F.array_join(F.slice("w", F.col("i"), F.col("n")), " ")
+    # words are verified only where the hash meets: an equality would become a join key, computed for every window
+    same = F.startswith("win", text) & F.startswith(text, F.col("win"))
+    found = scanned.join(known, ["n", "h"]).where(same).select("key", (F.col("first") + F.col("i") - 1).alias("pos"), "n", "win")
+    return found.distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, limit: int = BROADCAST) -> DataFrame:
