@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import contamination, simhash, toxicity
+from shelfspark.llm import contamination, pii, simhash, toxicity
 
 QUERIES = {
+    "op4_pii": pii.query,
     "op5_simhash": simhash.query,
     "op10_decontaminate": contamination.query,
     "op7_toxicity": toxicity.query,
