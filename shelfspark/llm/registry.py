@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import contamination, pii, simhash, toxicity
+from shelfspark.llm import contamination, mixing, pii, simhash, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op4_pii": pii.query,
     "op5_simhash": simhash.query,
     "op10_decontaminate": contamination.query,
     "op7_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
     "op10_decontaminate": contamination.ORACLE,
 }
