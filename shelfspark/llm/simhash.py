@@ -185,3 +185,133 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = written(docs.select("doc_id", fingerprint().alias("fp")), "documents")
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- similarity of word shingles: wider fingerprints ---
+
+WIDE_WORDS = 5
+WIDE_BYTES = 64
+SIMILARITY = 0.8
+WIDE_SLOTS = 128  # sets of three byte positions; a pair at similarity 0.8 shares one of them with a chance of about 0.9, at 0.9 of 0.999
+LEADERS = 8
+WIDE_SHORT = 32
+
+
+def max_distance(similarity: float = SIMILARITY) -> int:
+    """Differing bits at a Jaccard similarity, plus one deviation: shingle sets of equal size have the cosine 2s / (1 + s)."""
+    bits, p = 8 * WIDE_BYTES, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + np.sqrt(bits * p * (1 - p))))
+
+
+def wide_of(texts, k: int, table_: np.ndarray) -> np.ndarray:
+    """Fingerprints of 64 bytes: signs of the sum of a random vector per shingle, by tabulation of its eight hash bytes."""
+    out = np.zeros((len(texts), WIDE_BYTES), dtype=np.uint8)
+    offset = 256 * np.arange(8)
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        seen = np.zeros((len(part), 2048), dtype=np.float32)
+        for i, data in enumerate(part):
+            h = list(shingle_hashes(data, k))
+            if h:
+                h = np.unique(np.concatenate(h))
+                seen[i] = np.bincount((h.view(np.uint8).reshape(-1, 8) + offset).ravel(), minlength=2048)
+        out[at : at + len(part)] = np.packbits(seen @ table_ > 0, axis=1)
+    return out
+
+
+def signs() -> np.ndarray:
+    """Random signs per hash byte and value, as many +1 as -1 per byte and bit: else long texts would share a direction."""
+    half = np.repeat(np.array([-1, 1], dtype=np.float32), 128)[None, :, None]
+    full = np.broadcast_to(half, (8, 256, 8 * WIDE_BYTES))
+    return np.random.default_rng(SEED).permuted(full, axis=1).reshape(2048, 8 * WIDE_BYTES)
+
+
+def wide_fingerprint(text: str = "text", k: int = WIDE_WORDS) -> Column:
+    @F.pandas_udf("array<long>")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table_ = signs()
+        for texts in batches:
+            yield pd.Series(list(wide_of(list(texts), k, table_).view("<i8")))
+
+    return wide(text_bytes(text))
+
+
+def wide_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(part, node): the fingerprint's bytes at each of the chosen sets of three positions."""
+    rng = np.random.default_rng(SEED)
+    sets = np.array([rng.choice(WIDE_BYTES, 3, replace=False) for _ in range(WIDE_SLOTS)])
+    for pdf in batches:
+        for at in range(0, len(pdf), 2000):
+            rows = pdf.iloc[at : at + 2000]
+            b = np.array(rows["fp"].tolist(), dtype="<i8").reshape(len(rows), -1).view(np.uint8)[:, sets].astype(np.int64)
+            part = (np.arange(WIDE_SLOTS) << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
+            yield pd.DataFrame({"part": part.ravel(), "node": np.repeat(rows["node"].to_numpy(), WIDE_SLOTS)})
+
+
+def wide_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of short lists (part null), members with each leader of long ones: (part, a, b)."""
+    at, leaders = None, np.array([], dtype=np.int64)
+    for rows, short in runs(batches, ["part"], WIDE_SHORT):
+        node = rows["node"].to_numpy()
+        if short:
+            i, j = pairs_of(len(node))
+            yield pd.DataFrame({"part": pd.array([None] * len(i), dtype="Int64"), "a": node[i], "b": node[j]})
+            continue
+        part = rows["part"].iloc[0]
+        if part != at:
+            at, leaders, node = part, node[:LEADERS], node[LEADERS:]
+        for leader in leaders:
+            yield pd.DataFrame({"part": pd.array([part] * len(node), dtype="Int64"), "a": leader, "b": node})
+
+
+def wide_links(fps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) links of rows (node, fp) whose estimated similarity reaches `similarity`.
+
+    Short lists give all pairs. A long list gives the pairs of its members with its first LEADERS
+    nodes; members close to a leader are represented by it, the rest meet again in the next round
+    with leaders of their own, until the rest of every list is short.
+    """
+    limit = max_distance(similarity)
+    postings = fps.mapInPandas(wide_postings, "part long, node long")
+    found = None
+    while True:
+        dealt = postings.repartition("part").sortWithinPartitions("part", "node")
+        pairs = written(dealt.mapInPandas(wide_pairs, "part long, a long, b long"), "pairs")
+        left, right = fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
+        bits = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").where(bits <= limit).select("a", "b")
+        near = written(near, "near")
+        found = near if found is None else found.union(near)
+        hot = pairs.where("part IS NOT NULL")
+        if hot.isEmpty():
+            return found
+        covered = hot.join(near, ["a", "b"]).select("part", "b").distinct()
+        rest = hot.select("part", "b").distinct().join(covered, ["part", "b"], "left_anti")
+        postings = written(rest.select("part", F.col("b").alias("node")), "rest")
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_WORDS) -> DataFrame:
+    """One row of `docs` per group of near copies, with all its columns: the one with the smallest doc_id.
+
+    Groups are connected by texts whose sets of k-word shingles (A-Z lower-cased) have an
+    estimated Jaccard similarity of at least `similarity`; the estimate comes from 512 bits and is
+    off by about 0.03. Rows with equal ids and texts count as one; a null id is the smallest. Texts
+    without words are copies of each other, null texts count as empty.
+    """
+    ship(docs.sparkSession)
+    rows = written(docs.select("doc_id", text_key().alias("key"), wide_fingerprint("text", k).alias("fp")), "wide")
+    ids = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("rows"))
+    ids = written(ids.withColumn("node", F.xxhash64("fp")), "nodes")
+    roots = components(wide_links(ids.select("node", "fp"), similarity))
+    groups_ = ids.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("least").alias("least"))
+    kept = groups_.select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key"))
+    copies = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = written(copies.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(True).alias("__more")), "repeated")
+    kept = kept.join(copies, kept["__id"].eqNullSafe(copies["__id"]) & (kept["__key"] == copies["__key"]), "left").select(kept["__id"], kept["__key"], "__more")
+    kept = written(kept, "kept")
+    out = docs.withColumn("__text_key", text_key())
+    out = out.join(kept, out["doc_id"].eqNullSafe(kept["__id"]) & (out["__text_key"] == kept["__key"]))
+    single = out.where("__more IS NULL").select(*docs.columns)
+    if copies.isEmpty():
+        return single
+    return single.unionByName(out.where("__more").dropDuplicates(["__id", "__key"]).select(*docs.columns))
