@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import contamination, mixing, pii, simhash, toxicity
+from shelfspark.llm import contamination, mixing, pii, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_warc": warc.query,
     "op4_pii": pii.query,
     "op5_simhash": simhash.query,
     "op10_decontaminate": contamination.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op10_decontaminate": contamination.ORACLE,
 }
