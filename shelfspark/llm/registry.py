@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import contamination, mixing, pii, simhash, toxicity, warc
+from shelfspark.llm import contamination, language, mixing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_warc": warc.query,
+    "op3_language": language.query,
     "op4_pii": pii.query,
     "op5_simhash": simhash.query,
+    "op8_quality": quality.query,
     "op10_decontaminate": contamination.query,
     "op7_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op8_quality": quality.ORACLE,
     "op10_decontaminate": contamination.ORACLE,
 }
