@@ -38,6 +38,9 @@ class Walk:
         self.weights = {p: w for p, w in weights.items() if not (len(p) == 6 and p.startswith("<0x"))}
         self.byte = byte
         self.longest = max(map(len, self.weights), default=1)
+        self.restart()
+
+    def restart(self) -> None:
         self.word = ""
         self.edges: list[list[tuple[int, float, str | None]]] = [[]]
 
@@ -68,6 +71,7 @@ class Walk:
 def best_counts(walk: Walk, words: Iterable[str]) -> Iterator[tuple[str, int]]:
     """Pieces in the best segmentation of every word; of equal scores the one with the fewest pieces."""
     score, count = [0.0], [0]
+    walk.restart()
     for word in sorted(set(words)):
         s = MARK + word
         same = walk.to(s)
@@ -91,6 +95,7 @@ def forward(walk: Walk, words: Iterable[str]) -> Iterator[tuple[str, list[float]
     """
     exp, log = math.exp, math.log
     alpha = [0.0]
+    walk.restart()
     for word in sorted(set(words)):
         s = MARK + word
         same = walk.to(s)

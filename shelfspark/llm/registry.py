@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import contamination, language, mixing, pii, quality, simhash, token_counts, toxicity, warc
+from shelfspark.llm import contamination, language, mixing, pii, quality, scoring, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.query,
     "op5_simhash": simhash.query,
     "op8_quality": quality.query,
+    "op9_scoring": scoring.query,
     "op10_decontaminate": contamination.query,
     "op6_token_counts": token_counts.query,
     "op7_toxicity": toxicity.query,
