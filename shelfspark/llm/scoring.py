@@ -101,7 +101,8 @@ def learn(words: DataFrame, ends: int, vocabulary: str = VOCABULARY, rounds: int
                     times = dict(zip(spelled(part["word"]), part["c"].tolist()))
                     for word, alpha in forward(walk, times):
                         expected(walk, alpha, times[word], into)
-            yield pd.DataFrame({"piece": list(into), "uses": list(into.values())}).astype({"uses": "float64"})
+            if into:
+                yield pd.DataFrame({"piece": list(into), "uses": list(into.values())})
 
         found = words.where("c > 0").select("word", "c").mapInPandas(uses, "piece string, uses double")
         got = {r["piece"]: r["uses"] for r in found.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}  # at most the vocabulary
