@@ -8,34 +8,19 @@ from pyspark.sql import functions as F
 from shelfspark.functions.expr import with_scalars
 from shelfspark.session import written
 
-SMALL = 100_000  # up to this many rows one task may hold a column
 SLACK = 0.0025  # half width of the rank bracket, five times the sketch error
 ACCURACY = 2_000
 
 
-def _percentile(c: str, p: float) -> Column:
-    return F.percentile(F.col(c).cast("double"), F.lit(float(p)))
-
-
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns: (name, prob, value).
 
-    The rows are counted first, which reads no column. Up to SMALL rows take one
-    aggregate; more go through a bracket: a mergeable sketch brackets each wanted
-    rank, then a second pass counts the values below the bracket on the map side and
-    shuffles only the distinct values inside it, which a spillable running sum ranks. The
-    share that reaches one task is at most 2 * SLACK of the distinct values, whatever the
-    size of the column.
+    A mergeable sketch brackets each wanted rank, then a second pass counts the values below the
+    bracket on the map side and shuffles only the distinct values inside it, which a spillable
+    running sum ranks. The share that reaches one task is at most 2 * SLACK of the distinct
+    values; a bracket narrower than a few ranks spans the whole column.
     """
-    if df.count() <= SMALL:
-        wanted = [(c, float(p)) for c in cols for p in probs]
-        one = df.agg(*[_percentile(c, p).alias(f"q{i}") for i, (c, p) in enumerate(wanted)])
-        cells = [F.struct(F.lit(c).alias("name"), F.lit(p).alias("prob"), F.col(f"q{i}").alias("value")) for i, (c, p) in enumerate(wanted)]
-        return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value IS NOT NULL")
-    return _bracketed(df, cols, [float(p) for p in probs])
-
-
-def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    probs = [float(p) for p in probs]
     wanted = [(j, c, i, p) for j, c in enumerate(cols) for i, p in enumerate(probs)]
     vals = df.select(*[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(cols)])
     points = [max(0.0, p - SLACK) for p in probs] + [min(1.0, p + SLACK) for p in probs]
@@ -52,7 +37,7 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     bracket = []
     for j, _, i, _ in wanted:
         at = found[f"s{j}"]
-        few = at["n"] <= SMALL  # a column that is mostly null
+        few = at["n"] * SLACK < 2
         lo, hi = (at["mn"], at["mx"]) if few else (at["q"][i], at["q"][len(probs) + i])
         bracket.append((at["n"], F.lit(lo).cast("double"), F.lit(hi).cast("double")))
     below = vals.agg(*[F.count_if(F.col(f"v{j}") < bracket[k][1]).alias(f"b{k}") for k, (j, _, _, _) in enumerate(wanted)])
@@ -82,8 +67,6 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
 
 def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """One row with a column per wanted (source column, probability)."""
-    if df.count() <= SMALL:
-        return df.agg(*[_percentile(c, p).alias(out) for out, (c, p) in wanted.items()])
     cols = sorted({c for c, _ in wanted.values()})
     probs = sorted({p for _, p in wanted.values()})
     q = quantiles(df, cols, probs)

@@ -118,9 +118,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def corr_matrix(df: DataFrame, max_cols: int = 20) -> DataFrame:
-    """Pearson matrix of the first numeric columns in long form, one pass over the data."""
-    cols = numeric_columns(df)[:max_cols]
+def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Pearson matrix of the numeric columns, or of the named ones, in long form, one pass over the data."""
+    cols = cols or numeric_columns(df)
     pairs = list(combinations(cols, 2))
     one = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = [((a, b), F.col(f"c{i}")) for i, (a, b) in enumerate(pairs)]

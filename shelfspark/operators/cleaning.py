@@ -196,20 +196,23 @@ def preprocess_series(df: DataFrame) -> DataFrame:
     return fill_context(out, "date")
 
 
-def preprocess_weekly(df: DataFrame, min_weeks: int = 8, tie: list[str] | None = None) -> DataFrame:
-    """Deduplicated, zero-handled, weekly, capped series of the products with enough weeks."""
+def preprocess_weekly(df: DataFrame, tie: list[str], min_weeks: int = 8) -> DataFrame:
+    """Deduplicated, zero-handled, weekly, capped series of the products with enough weeks.
+
+    `tie` names the columns that order the records of one date: the last of them is kept.
+    """
     return _weekly(df, tie).filter(F.col("weeks") >= min_weeks).drop("weeks")
 
 
-def weekly_rejects(df: DataFrame, min_weeks: int = 8, tie: list[str] | None = None) -> DataFrame:
+def weekly_rejects(df: DataFrame, tie: list[str], min_weeks: int = 8) -> DataFrame:
     """Products left out of `preprocess_weekly` and their week counts."""
     short = _weekly(df, tie).groupBy(KEY).agg(F.count(F.lit(1)).alias("weeks"))
     return short.filter(F.col("weeks") < min_weeks)
 
 
-def _weekly(df: DataFrame, tie: list[str] | None) -> DataFrame:
-    rows_ = df.select(KEY, "date", "sales_qty", *(tie or []))
-    rows_ = dedupe_keep_last(rows_, [KEY, "date"], tie or ["sales_qty"])
+def _weekly(df: DataFrame, tie: list[str]) -> DataFrame:
+    rows_ = df.select(KEY, "date", "sales_qty", *[c for c in tie if c not in (KEY, "date", "sales_qty")])
+    rows_ = dedupe_keep_last(rows_, [KEY, "date"], tie)
     weekly = resample_weekly(zero_policy(rows_))
     return cap_3sigma(weekly).withColumn("weeks", F.count(F.lit(1)).over(by()))
 

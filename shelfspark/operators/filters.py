@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.expr import clip_col, flag, safe_divide, with_scalars
-from shelfspark.functions.stats import quantile_row, ranked_values, sized
+from shelfspark.functions.stats import quantile_row, ranked_values
 from shelfspark.session import written
 
 # Id columns tried in order, code-like product patterns, months of each season.
@@ -129,15 +129,15 @@ def interactions(df: DataFrame) -> DataFrame:
     )
 
 
-def one_hot(df: DataFrame, cols: list[str], max_values: int = 200) -> DataFrame:
-    """One 0/1 column per distinct value. The value lists become columns, so they must be short."""
+def one_hot(df: DataFrame, values: dict[str, list]) -> DataFrame:
+    """One 0/1 column per listed value of every listed column. Other values and nulls are 0 in all of them.
+
+    The caller names the values, since they become columns; `label_encode` takes columns with any number.
+    """
     out = df
-    for c in cols:
-        found = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_values + 1).collect()]
-        if len(found) > max_values:
-            raise ValueError(f"{c} has more than {max_values} values; use label_encode")
-        out = out.withColumns({f"{c}_{v}": flag(F.coalesce(F.col(c) == v, F.lit(False))) for v in sorted(found)})
-    return out.drop(*cols)
+    for c, listed in values.items():
+        out = out.withColumns({f"{c}_{v}": flag(F.coalesce(F.col(c) == v, F.lit(False))) for v in listed})
+    return out.drop(*values)
 
 
 def clip(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
@@ -158,18 +158,21 @@ def format_report(df: DataFrame) -> DataFrame:
     )
 
 
+BROADCAST = 32 << 20  # bytes of values and codes up to which the codes of a column are broadcast
+
+
 def encode(df: DataFrame, labels: list[str], frequencies: list[str]) -> DataFrame:
     """Label codes and row counts of category columns, attached from one pass over the values."""
     cols = sorted({*labels, *frequencies})
     texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols}
     table = written(ranked_values(df.select(*[t.alias(c) for c, t in texts.items()]), cols), "codes")
-    short = sized(table) is not table  # all columns together are short enough to broadcast
+    rows = {r["name"]: r["n"] for r in table.groupBy("name").agg(F.sum(F.octet_length("value") + 48).alias("n")).collect()}  # one row per column
     out = df
     for c in cols:
         new = [F.col("code").alias(f"{c}_encoded")] if c in labels else []
         new += [F.col("n").alias(f"{c}_frequency")] if c in frequencies else []
         side = table.filter(F.col("name") == c).select(F.col("value").alias("__v"), *new)
-        out = out.join(F.broadcast(side) if short else side, texts[c] == F.col("__v"), "left").drop("__v")
+        out = out.join(F.broadcast(side) if rows.get(c, 0) <= BROADCAST else side, texts[c] == F.col("__v"), "left").drop("__v")
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -252,7 +253,8 @@ def scale_pca(df: DataFrame, k: int = 2, keep: list[str] = ()) -> DataFrame:
     vec = assembled(written(clean, "numeric"), nums, "raw")
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vec).transform(vec)
     out = PCA(k=k, inputCol="scaled", outputCol="pc").fit(scaled).transform(scaled)
-    arr = vector_to_array("pc")
+    n = vec.count()
+    arr = F.transform(vector_to_array("pc"), lambda x: x * math.sqrt(n / max(n - 1, 1)))  # population deviations, as the scaler has sample ones
     return out.select(*keep, *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
@@ -302,13 +304,10 @@ def isolation_scores(df: DataFrame, cols: list[str], keys: list[str], trees: int
     rows = written(df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]), "points")
     n = rows.count()
     space = 1 << 40
-    share = min(1.0, 1.3 * trees * SAMPLE / max(n, 1))
-    drawn = rows
-    if share < 1:
-        drawn = rows.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(space)) < int(share * space))
-        drawn = drawn.withColumn("tree", F.pmod(F.xxhash64(*keys, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:  # a small table: every tree may draw from all rows
-        drawn = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    share = min(1.0, 1.5 * SAMPLE / max(n, 1))
+    # every tree draws from all rows by a hash of its own
+    hit = lambda tree: F.pmod(F.xxhash64(*keys, tree, F.lit(seed)), F.lit(space)) < int(share * space)
+    drawn = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), hit)))
     pick = Window.partitionBy("tree").orderBy(F.xxhash64(*keys, "tree", F.lit(seed + 2)), *keys)
     drawn = drawn.withColumn("rn", F.row_number().over(pick)).filter(F.col("rn") <= SAMPLE)
 

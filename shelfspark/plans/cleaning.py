@@ -153,5 +153,15 @@ WITH w AS (SELECT product_name, date_trunc('week', date) + INTERVAL 6 DAY AS wk,
      g AS (SELECT *, AVG(q) OVER p AS m, STDDEV_SAMP(q) OVER p AS sd, COUNT(*) OVER p AS weeks FROM f WINDOW p AS (PARTITION BY product_name))
 SELECT product_name, date, CASE WHEN sd > 0 THEN LEAST(q, m + 3 * sd) ELSE q END AS sales_qty, weeks FROM g
 """
-query("preprocess_weekly", "product_name, date:d, sales_qty:6", lambda t: C.preprocess_weekly(zeroed(t)),
+
+
+def twice(t):
+    """Every record of a date preceded by a larger one that a later record replaces."""
+    rows = zeroed(t)
+    return rows.withColumn("seq", F.lit(2)).unionByName(rows.withColumn("sales_qty", F.col("sales_qty") + 1000).withColumn("seq", F.lit(1)))
+
+
+query("weekly_rejects", "product_name, weeks:i", lambda t: C.weekly_rejects(twice(t), ["seq"], 400),
+      "SELECT product_name, MAX(weeks) AS weeks FROM weekly_clean GROUP BY 1 HAVING MAX(weeks) < 400")
+query("preprocess_weekly", "product_name, date:d, sales_qty:6", lambda t: C.preprocess_weekly(twice(t), ["seq"]),
       "SELECT product_name, date, sales_qty FROM weekly_clean WHERE weeks >= 8")

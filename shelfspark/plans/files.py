@@ -55,6 +55,49 @@ query("ingest_canonical", "date:d, product, sales_qty, price, stock_on_hand, cat
          SELECT CASE WHEN (SELECT AVG(CASE WHEN md IS NULL THEN 1.0 ELSE 0.0 END) FROM d) > 0.5 THEN week_start ELSE md END AS date, product_name AS product,
                 CASE WHEN holiday_flag = 1 AND promotion = 1 THEN 0 ELSE sales_qty END AS sales_qty, price, CAST(NULL AS DOUBLE) AS stock_on_hand, category, CAST(NULL AS VARCHAR) AS store FROM d""")
 
+
+
+def quoted(t, folder):
+    """The panel as uploads: product names with quotes, commas and line breaks, written by the usual rules."""
+    name = F.concat(F.lit('"'), F.replace(F.concat(KEY, F.lit(' "fresh", 1l\nbox')), F.lit('"'), F.lit('""')), F.lit('"'))
+    day, qty = F.date_format(TIME, "yyyy-MM-dd"), F.col("sales_qty").cast("bigint").cast("string")
+    for part, cols, head in ((1, [day, name, qty], "Date,Product,Qty"), (0, [name, qty, day], "Item Name,Order Quantity,Date")):
+        lines = t.panel.where(F.col("promotion") == part).select(F.concat_ws(",", *cols).alias("value"))
+        whole = lines.groupBy(F.pmod(F.xxhash64("value"), F.lit(4)).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("v"))
+        whole.select("file", F.concat(F.lit(head + "\n"), "v").alias("value")).write.partitionBy("file").option("lineSep", "\n").text(f"{folder}/part={part}")
+    return [f"{folder}/part=1", f"{folder}/part=0"]
+
+
+def _quoted(t):
+    folder = new_path(t.spark, "quoted")
+    return S.ingest_canonical(t.spark, quoted(t, folder)[0] + "/*", lines=True)
+
+
+def _many(t):
+    folder = new_path(t.spark, "headers")
+    quoted(t, folder)
+    return S.ingest_canonical(t.spark, f"{folder}/*/*", lines=True)
+
+
+CANON = "date:d, product, sales_qty:6"
+NAME = """product_name || ' "fresh", 1l' || chr(10) || 'box' AS product"""
+query("ingest_quoted", CANON, _quoted, f"SELECT week_start AS date, {NAME}, CAST(CAST(sales_qty AS BIGINT) AS DOUBLE) AS sales_qty FROM panel WHERE promotion = 1")
+query("ingest_many_headers", CANON, _many, f"SELECT week_start AS date, {NAME}, CAST(CAST(sales_qty AS BIGINT) AS DOUBLE) AS sales_qty FROM panel")
+
+
+def _rejects(t):
+    """An upload whose holiday weeks have no date and whose promoted weeks have no product."""
+    path = new_path(t.spark, "rejects")
+    bad = t.panel.select(F.when(F.col("holiday_flag") == 1, "n/a").otherwise(F.col(TIME).cast("string")).alias("Date"),
+                         F.when(F.col("promotion") == 0, F.col(KEY)).alias("Product"), F.col("sales_qty").alias("Qty"))
+    bad.write.option("header", True).csv(path)
+    return S.ingest_rejects(S.ingest_canonical(t.spark, path))
+
+
+query("ingest_rejects", "date:d, product, sales_qty, reason", _rejects,
+      """SELECT CASE WHEN holiday_flag <> 1 THEN week_start END AS date, CASE WHEN promotion = 0 THEN product_name END AS product, sales_qty,
+                CASE WHEN holiday_flag = 1 THEN 'date' ELSE 'product' END AS reason FROM panel WHERE holiday_flag = 1 OR promotion = 1""")
+
 query("sink_csv", SMALL, lambda t: S.sink_csv(t.panel.select(*COLS), new_path(t.spark, "sink-csv")), SQL)
 query("sink_json", "product_name, urgency, current_stock, weeks_remaining:6, suggested_order:i",
       lambda t: S.sink_json(I.alerts_weeks(t.panel).select(KEY, "urgency", "current_stock", "weeks_remaining", "suggested_order"), new_path(t.spark, "sink-json")),

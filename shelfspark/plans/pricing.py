@@ -236,10 +236,10 @@ query("product_context", "product_id, current_price:6, base_cost:6, current_stoc
                 current_price * 0.95 AS competitor_price, COALESCE(dept, 'general') AS category, 0 AS market_share, 1 AS seasonality_index, 0.5 AS brand_loyalty_score, 12 AS hour_of_day FROM p""")
 
 CTES["ctx"] = """
-WITH l AS (SELECT *, DAY(week_start) AS dom FROM panel QUALIFY ROW_NUMBER() OVER (PARTITION BY product_name, MONTH(week_start) ORDER BY week_start DESC) = 1),
+WITH l AS (SELECT *, DAY(week_start) AS dom FROM panel),
      c AS (SELECT category, AVG(price) AS cp, SUM(sales_qty) AS cq FROM panel GROUP BY 1),
      p AS (SELECT product_name, AVG(sales_qty) AS mq, SUM(sales_qty) AS tq FROM panel GROUP BY 1)
-SELECT product_name || '_m' || MONTH(week_start) AS product_id, price AS current_price, 0.65 * price AS base_cost, stock_on_hand AS current_stock, sales_qty AS demand_forecast, cp AS competitor_price,
+SELECT product_name || '_' || week_start AS product_id, price AS current_price, 0.65 * price AS base_cost, stock_on_hand AS current_stock, sales_qty AS demand_forecast, cp AS competitor_price,
        CASE category WHEN 'CAT0' THEN 'luxury' WHEN 'CAT1' THEN 'necessity' WHEN 'CAT2' THEN 'general' WHEN 'CAT3' THEN 'discretionary' ELSE 'commodity' END AS category,
        LEAST(1.3, GREATEST(0.8, sales_qty / mq)) AS seasonality_index, 2 * tq / cq AS market_share, 1.0 AS price_sensitivity_score, CASE WHEN dom % 3 = 0 THEN 0.8 ELSE 0.5 END AS brand_loyalty_score,
        CASE WHEN dom % 2 = 1 THEN dom % 7 END AS days_until_expiry, promotion = 1 AS is_promotion, CASE WHEN dom % 4 = 0 THEN 2 ELSE 0 END AS cross_n, dom % 5 = 0 AS own_segments,
@@ -248,19 +248,17 @@ FROM l JOIN c USING (category) JOIN p USING (product_name) JOIN elas_simple USIN
 
 
 def contexts(t):
-    """The latest week of each product and calendar month as a pricing context."""
-    latest = t.panel.groupBy(KEY, F.month(TIME).alias("m")).agg(
-        F.max(F.struct(TIME, "category", "price", "stock_on_hand", "sales_qty", "promotion", "holiday_flag")).alias("r")
-    ).select(KEY, "m", "r.*")
+    """Every week of every product as a pricing context."""
+    weeks = t.panel.select(KEY, TIME, "category", "price", "stock_on_hand", "sales_qty", "promotion", "holiday_flag")
     cat = t.panel.groupBy("category").agg(F.avg("price").alias("cp"), F.sum("sales_qty").alias("cq"))
     prod = t.panel.groupBy(KEY).agg(F.avg("sales_qty").alias("mq"), F.sum("sales_qty").alias("tq"))
     est = E.elasticity_simple(t.panel).select(KEY, F.col("elasticity").alias("est"))
-    rows = sized_join(latest, cat, "category", "inner").join(prod, KEY).join(est, KEY)
+    rows = sized_join(weeks, cat, "category", "inner").join(prod, KEY).join(est, KEY)
     dom = F.day(TIME)
     names = F.when(F.col("category") == "CAT0", "luxury").when(F.col("category") == "CAT1", "necessity").when(
         F.col("category") == "CAT2", "general").when(F.col("category") == "CAT3", "discretionary").otherwise("commodity")
     return rows.select(
-        F.concat(KEY, F.lit("_m"), F.col("m").cast("string")).alias("product_id"),
+        F.concat_ws("_", KEY, F.col(TIME).cast("string")).alias("product_id"),
         F.col("price").alias("current_price"), (F.lit(0.65) * F.col("price")).alias("base_cost"),
         F.col("stock_on_hand").alias("current_stock"), F.col("sales_qty").alias("demand_forecast"),
         F.col("cp").alias("competitor_price"), names.alias("category"),
@@ -360,7 +358,7 @@ STRATEGIES = {
     "strategy_state_action": (lambda t: S.strategy_state_action(contexts(t), S.learned_steps(history(t)), eps=0.0), "r_state"),
     "strategy_bandit": (lambda t: S.strategy_bandit(contexts(t), S.arm_results(contexts(t), sales_history(t))), "r_bandit"),
 }
-REC = "product_id, current_price:9, recommended_price:6, expected_demand:6, expected_revenue:6, expected_profit:6, expected_market_share:6, confidence_score:2, strategy_used, risk_assessment"
+REC = "product_id, current_price:6, recommended_price:3, expected_demand:3, expected_revenue:3, expected_profit:3, expected_market_share:6, confidence_score:2, strategy_used, risk_assessment"
 for _name, (_build, _view) in STRATEGIES.items():
     query(_name, REC, _build, f"SELECT * FROM {_view}")
 

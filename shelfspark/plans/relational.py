@@ -135,7 +135,7 @@ query("interactions", "product_name, week_start:d, price_promotion_interaction,
                 price * stock_on_hand AS price_stock_interaction FROM s""")
 
 query("one_hot", "product_name, week_start:d, season_Fall:i, season_Spring:i, season_Summer:i, season_Winter:i",
-      lambda t: P.one_hot(P.season_from_month(t.panel), ["season"]),
+      lambda t: P.one_hot(P.season_from_month(t.panel), {"season": ["Fall", "Spring", "Summer", "Winter"]}),
       f"""SELECT product_name, week_start, CAST(s = 'Fall' AS INT) AS season_Fall, CAST(s = 'Spring' AS INT) AS season_Spring,
                  CAST(s = 'Summer' AS INT) AS season_Summer, CAST(s = 'Winter' AS INT) AS season_Winter
           FROM (SELECT *, {SEASON_SQL} AS s FROM panel)""")
@@ -294,9 +294,8 @@ query("table_health", "rows:i, columns:i, missing_cells:i, missing_pct:2, comple
                 CASE WHEN pc < 5 THEN 'Excellent' WHEN pc < 15 THEN 'Good' ELSE 'Needs Attention' END AS status FROM p""")
 
 query("duplicate_rows", "duplicate_rows:i",
-      lambda t: A.duplicate_rows(t.lineitem.select("l_partkey", "l_quantity", "l_discount", "l_returnflag")),
-      """SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_partkey, l_quantity, l_discount, l_returnflag FROM lineitem))
-         AS duplicate_rows FROM lineitem""")
+      lambda t: A.duplicate_rows(t.lineitem),
+      "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows FROM lineitem")
 
 query("quick_summary", "rows:i, columns:i, first_date:d, last_date:d, products:i, top_categories", lambda t: A.quick_summary(t.panel),
       """SELECT COUNT(*) AS rows, 10 AS columns, MIN(week_start) AS first_date, MAX(week_start) AS last_date,

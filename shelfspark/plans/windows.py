@@ -202,6 +202,6 @@ query("split_chronological", f"{ID}, split", lambda t: W.split_chronological(t.p
       f"""SELECT product_name, week_start, CASE WHEN ROW_NUMBER() OVER ({_w}) <= FLOOR(0.8 * COUNT(*) OVER (PARTITION BY product_name))
                  THEN 'train' ELSE 'test' END AS split FROM panel""")
 
-query("tail_per_group", f"{ID}, sales_qty", lambda t: W.tail_per_group(t.panel.filter("promotion = 1"), 2),
+query("tail_per_group", f"{ID}, sales_qty", lambda t: W.tail_per_group(t.panel, 2),
       """SELECT product_name, week_start, sales_qty FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY week_start DESC) AS r
-         FROM panel WHERE promotion = 1) WHERE r <= 2""")
+         FROM panel) WHERE r <= 2""")

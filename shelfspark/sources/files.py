@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,17 @@ REQUIRED = ["date", "product", "sales_qty"]
 NUMBERS = ["sales_qty", "price", "stock_on_hand"]
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """UTF-8 CSV with a header; types come from `schema`, or from the whole file when it is unknown."""
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+def _reader(spark: SparkSession, lines: bool):
+    """Quoted fields double their quotes; with `lines` they may also hold line breaks, and a file is one task."""
+    return spark.read.option("encoding", "UTF-8").option("quote", '"').option("escape", '"').option("multiLine", lines)
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """UTF-8 CSV with a header; types come from `schema`, or from the whole file when it is unknown.
+
+    `lines` reads quoted line breaks; files are then read whole, one task each.
+    """
+    reader = _reader(spark, lines).option("header", True)
     if schema is not None:
         return reader.schema(schema).csv(path)
     # dates stay text: only the numeric and boolean types are inferred
@@ -66,22 +75,41 @@ def guess_mapping(names: list[str]) -> dict[str, str]:
     return mapping
 
 
-def _raw_upload(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text under clean unique names; the header row is read on its own."""
-    head = spark.read.option("header", False).csv(path).first()
-    header = [h or f"column_{i}" for i, h in enumerate(head)]
-    names = deduped_names(header)
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their header line. Every task gives one line per file it starts; the driver gets the list of files."""
+    rows = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    first = rows.where("file_block_start = 0").withColumn("i", F.monotonically_increasing_id())
+    found = first.groupBy("file_path").agg(F.min_by("value", "i").alias("head")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["file_path"]):
+        out.setdefault(r["head"].lstrip("\ufeff"), []).append(r["file_path"])
+    return out
+
+
+def _raw_upload(spark: SparkSession, files: list[str], head: str, lines: bool) -> DataFrame:
+    """All columns of files with the same header as text under clean unique names."""
+    names = deduped_names([h or f"column_{i}" for i, h in enumerate(next(csv.reader([head])))])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    return _reader(spark, lines).option("header", True).option("enforceSchema", True).schema(schema).csv(files)
 
 
-def ingest_canonical(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
-    """A messy CSV upload as the canonical typed table.
+def ingest_canonical(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
+    """A messy CSV upload, a file or a folder of them, as the canonical typed table.
 
-    Raises when a required column has no source; `ingest_rejects` lists rows whose date or
-    product could not be read.
+    Files with different headers are mapped each by its own. Raises when a required column has no
+    source; `ingest_rejects` lists rows whose date or product could not be read. `lines` as in `scan_csv`.
     """
-    raw = _raw_upload(spark, path)
+    found = headers(spark, path)
+    if not found:
+        raise ValueError(f"no header in {path}")
+    parts = [_canonical(_raw_upload(spark, files, head, lines), mapping) for head, files in found.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _canonical(raw: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
     mapping = mapping or guess_mapping(raw.columns)
     missing = [c for c in REQUIRED if mapping.get(c) not in raw.columns]
     if missing:
@@ -101,7 +129,7 @@ def ingest_rejects(canonical: DataFrame) -> DataFrame:
 
 
 def sink_csv(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return scan_csv(df.sparkSession, path, df.schema)
 
 

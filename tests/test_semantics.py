@@ -53,8 +53,8 @@ def test_zero_policy_sides(spark):
 
 def test_short_products_go_to_the_rejects(spark):
     df = series(spark, [1.0] * 70, "long", 1, "date").unionByName(series(spark, [1.0] * 10, "short", 1, "date"))
-    assert {r.product_name for r in C.preprocess_weekly(df).collect()} == {"long"}
-    assert [(r.product_name, r.weeks) for r in C.weekly_rejects(df).collect()] == [("short", 2)]
+    assert {r.product_name for r in C.preprocess_weekly(df, ["sales_qty"]).collect()} == {"long"}
+    assert [(r.product_name, r.weeks) for r in C.weekly_rejects(df, ["sales_qty"]).collect()] == [("short", 2)]
 
 
 def test_dedupe_takes_last_by_tie(spark):

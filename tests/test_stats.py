@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 from shelfspark.functions import stats
 
 
-@pytest.fixture()
-def bracketed(monkeypatch):
-    """Every column takes the bracket path instead of one sorted run."""
-    monkeypatch.setattr(stats, "SMALL", 0)
-
-
 def values(spark, n, kind):
     x = F.rand(7) if kind == "uniform" else F.exp(F.randn(7) * 3) if kind == "heavy" else F.when(F.rand(7) < 0.4, 5.0).otherwise(F.rand(8))
     return spark.range(n).select("id", x.alias("x")).cache()
 
 
 @pytest.mark.parametrize("kind", ["uniform", "heavy", "hot"])
-def test_quantiles_match_numpy(spark, bracketed, kind):
-    df = values(spark, 60_000, kind)
+@pytest.mark.parametrize("n", [1, 2, 3, 799, 801, 60_000])
+def test_quantiles_match_numpy(spark, kind, n):
+    df = values(spark, n, kind)
     got = {r.prob: r.value for r in stats.quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.95, 1.0]).collect()}
     x = np.array([r.x for r in df.select("x").collect()])
     for p, v in got.items():
