@@ -72,12 +72,15 @@ def fill(nodes: DataFrame, parent: list[str], level: str, weights: dict[str, dic
 
 def budgets(leaves: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, share: tuple[int, int] = SHARE) -> DataFrame:
     """(domain, language, src, supply, docs, target) from (domain, language, src, supply, docs)."""
-    leaves = leaves.withColumn("cap", (F.col("supply") * epochs).cast("decimal(30,0)")).withColumn("root", F.lit(1))
-    total = leaves.groupBy("root").agg(F.expr(f"(sum(supply) * {share[0]}) div {share[1]}").cast("decimal(30,0)").alias("part"))
-    parent = ["root"]
+    leaves = leaves.withColumn("cap", (F.col("supply") * epochs).cast("decimal(30,0)"))
+    tokens_ = leaves.agg(F.sum("supply")).first()[0] or 0  # one number
+    total, parent = None, []
     for level in LEVELS:
         nodes = leaves.groupBy(*parent, level).agg(F.sum("cap").cast("decimal(30,0)").alias("cap"))
-        nodes = nodes.join(total.withColumnRenamed("part", "budget"), parent)
+        if total is None:
+            nodes = nodes.withColumn("budget", F.lit(int(tokens_) * share[0] // share[1]).cast("decimal(30,0)"))
+        else:
+            nodes = nodes.join(total.withColumnRenamed("part", "budget"), parent)
         total = written(fill(nodes, parent, level, weights), "budgets")
         parent = [*parent, level]
     return leaves.join(total, parent).select(*LEVELS, "supply", "docs", F.col("part").cast("long").alias("target"))
