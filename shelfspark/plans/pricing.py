@@ -358,7 +358,7 @@ STRATEGIES = {
     "strategy_state_action": (lambda t: S.strategy_state_action(contexts(t), S.learned_steps(history(t)), eps=0.0), "r_state"),
     "strategy_bandit": (lambda t: S.strategy_bandit(contexts(t), S.arm_results(contexts(t), sales_history(t))), "r_bandit"),
 }
-REC = "product_id, current_price:6, recommended_price:5, expected_demand:5, expected_revenue:4, expected_profit:4, expected_market_share:6, confidence_score:2, strategy_used, risk_assessment"
+REC = "product_id, current_price:6, recommended_price:3~, expected_demand:3~, expected_revenue:3~, expected_profit:3~, expected_market_share:4~, confidence_score:2, strategy_used, risk_assessment"
 for _name, (_build, _view) in STRATEGIES.items():
     query(_name, REC, _build, f"SELECT * FROM {_view}")
 

@@ -17,6 +17,9 @@ CTES: dict[str, str] = {}  # shared SQL views, in dependency order
 
 TYPES = {"i": ("bigint", "BIGINT"), "d": ("date", "DATE"), "s": ("string", "VARCHAR"), "b": ("boolean", "BOOLEAN")}
 
+# large amounts are often exact halves of the last place, where the last bit of a sum would decide the rounding
+OFF_HALF = 0.0000271
+
 
 def _spec(spec: str) -> list[tuple[str, str]]:
     out = []
@@ -27,11 +30,13 @@ def _spec(spec: str) -> list[tuple[str, str]]:
 
 
 def shaped(df: DataFrame, spec: str) -> DataFrame:
-    """Select, cast and round the result columns named in `spec` (x:6 rounds to 6 places)."""
+    """Select, cast and round the result columns named in `spec` (x:6 rounds to 6 places, x:3~ to 3 with the cut off the halves)."""
     cols = []
     for name, kind in _spec(spec):
         c = F.col(f"`{name}`")
-        if kind.isdigit():
+        if kind.endswith("~"):
+            c = F.round(c.cast("double") + OFF_HALF, int(kind[:-1]))
+        elif kind.isdigit():
             c = F.round(c.cast("double"), int(kind))
         elif kind:
             c = c.cast(TYPES[kind][0])
@@ -42,7 +47,9 @@ def shaped(df: DataFrame, spec: str) -> DataFrame:
 def shaped_sql(sql: str, spec: str) -> str:
     cols = []
     for name, kind in _spec(spec):
-        if kind.isdigit():
+        if kind.endswith("~"):
+            cols.append(f'ROUND(CAST("{name}" AS DOUBLE) + {OFF_HALF}, {kind[:-1]}) + 0.0 AS "{name}"')
+        elif kind.isdigit():
             cols.append(f'ROUND(CAST("{name}" AS DOUBLE), {kind}) + 0.0 AS "{name}"')
         elif kind:
             cols.append(f'CAST("{name}" AS {TYPES[kind][1]}) AS "{name}"')
