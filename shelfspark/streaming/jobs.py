@@ -59,7 +59,7 @@ def stream_bandit_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("product_id", "price").agg(F.count_if(won).alias("wins"), F.count_if(~won).alias("losses"))
 
 
-def folded(batch: DataFrame, lr: float, slice_width: str = "day") -> DataFrame:
+def folded(batch: DataFrame, lr: float, slice_width: str = "hour") -> DataFrame:
     """One batch of outcomes as (state, step, n, gain): what n updates in event-time order add.
 
     value += lr * (reward - value) makes a row count for lr * (1 - lr)^(rows after it), and such
@@ -80,14 +80,29 @@ def folded(batch: DataFrame, lr: float, slice_width: str = "day") -> DataFrame:
     )
 
 
-def stream_price_learning(stream: DataFrame, lr: float = 0.01) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    """File system and path object of a path, whatever its scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """Largest n of the finished versions v{n} in a folder, -1 without any."""
+    fs, at = _files(spark, f"{folder}/v*/_SUCCESS")
+    return max((int(s.getPath().getParent().getName()[1:]) for s in fs.globStatus(at) or []), default=-1)
+
+
+def stream_price_learning(stream: DataFrame, lr: float = 0.01, folder: str | None = None) -> DataFrame:
     """Learned value per (state, price step): value += lr * (revenue / 1000 - value) for every outcome.
 
-    The keyed state is a small table written per batch; a repeated batch rewrites its own
-    version from the one before it, so a restart neither loses nor repeats updates.
+    The keyed state is a small table written per batch under `folder`, next to the checkpoint. A
+    repeated batch rewrites its own version from the one before it, and a new call with the same
+    folder goes on where the last one ended, so a restart neither loses nor repeats updates. The two
+    newest versions are kept. Without a folder every call starts afresh.
     """
     spark = stream.sparkSession
-    out, check = new_path(spark, "learned"), new_path(spark, "stream-check")
+    folder = folder or new_path(spark, "learned")
+    out, check = f"{folder}/state", f"{folder}/checkpoint"
     schema = "state string, step int, value double, updates long"
 
     def before(epoch: int) -> DataFrame:
@@ -102,24 +117,27 @@ def stream_price_learning(stream: DataFrame, lr: float = 0.01) -> DataFrame:
         value = F.coalesce("value", F.lit(0.0)) * F.pow(F.lit(1 - lr), n) + F.coalesce("gain", F.lit(0.0))
         kept = both.select("state", "step", value.alias("value"), (F.coalesce("updates", F.lit(0)) + n).alias("updates"))
         kept.write.mode("overwrite").parquet(f"{out}/v{epoch}")
+        fs, old = _files(spark, f"{out}/v{epoch - 2}")
+        fs.delete(old, True)
 
     query = (
         stream.writeStream.foreachBatch(learn).option("checkpointLocation", check).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    return before(last + 1)
+    return before(newest_version(spark, out) + 1)
 
 
-def drain(result: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+def drain(result: DataFrame, mode: str = "append", keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
     """Run a stream over the input that is there and return what it wrote.
 
     Append mode goes to the Parquet sink. Update and complete mode write each batch to its
     own folder; the newest row per key (or the newest batch) is the result. Nothing passes
-    through the driver, and the checkpoint lies in the shared folder.
+    through the driver, and the checkpoint lies in the shared folder. A later call with the same
+    `folder` reads only what came since and returns the result of all calls.
     """
     spark = result.sparkSession
-    out, check = new_path(spark, "stream-out"), new_path(spark, "stream-check")
+    folder = folder or new_path(spark, "stream")
+    out, check = f"{folder}/out", f"{folder}/checkpoint"
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()

@@ -59,3 +59,29 @@ def test_late_rows_are_dropped_and_open_week_waits(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = {r.week_start: r.sales_qty for r in J.drain(J.stream_weekly_sales(stream)).collect()}
     assert got == {datetime.date(2024, 1, 1): 1.0, datetime.date(2024, 1, 8): 2.0}
+
+
+def test_learning_goes_on_in_a_new_call(spark):
+    df = outcomes(spark).orderBy("ts")
+    days = [r[0] for r in df.select("ts").distinct().orderBy("ts").collect()]
+    path, folder = new_path(spark, "resume"), new_path(spark, "resume-state")
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cuts = [0, 60, 110, 170, len(days)]
+    for first, last in ((0, 2), (2, 4)):
+        for i in range(first, last):
+            df.filter(F.col("ts").between(days[cuts[i]], days[cuts[i + 1] - 1])).coalesce(1).write.mode("append").parquet(path)
+        got = J.stream_price_learning(stream(), 0.05, folder)
+    again = J.stream_price_learning(stream(), 0.05, folder)  # nothing new
+    whole = J.stream_price_learning(stream_of(spark, df, 1, "ts"), 0.05)
+    rows = lambda d: sorted((r.state, r.step, round(r.value, 9), r.updates) for r in d.collect())
+    assert rows(got) == rows(again) == rows(whole)
+    assert J.newest_version(spark, f"{folder}/state") == 3
+
+
+def test_append_goes_on_in_a_new_call(spark):
+    t0, day = datetime.datetime(2024, 1, 1), datetime.timedelta(days=1)
+    path, folder, schema = new_path(spark, "more"), new_path(spark, "more-out"), "event_id long, ts timestamp, event_type string, value double"
+    for part in ([(1, t0, "a", 1.0), (2, t0 + 9 * day, "a", 2.0)], [(3, t0 + 10 * day, "a", 4.0), (4, t0 + 30 * day, "a", 8.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        out = J.drain(J.stream_weekly_sales(spark.readStream.schema(schema).parquet(path)), folder=folder)
+    assert {r.week_start: r.sales_qty for r in out.collect()} == {datetime.date(2024, 1, 1): 1.0, datetime.date(2024, 1, 8): 6.0}
