@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.lattice import VOCABULARY, Walk, byte_name, expected, forward, load
@@ -141,9 +141,12 @@ def score(docs: DataFrame, held: Column, vocabulary: str = VOCABULARY, frequent:
                 yield out[["word", "n", "known", "base", "score"]]
 
     words = written(words.mapInPandas(word_scores, "word binary, n long, known boolean, base double, score double"), "scores")
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).collect()  # at most `frequent` rows
+    # the lowest count that at most `frequent` words reach; a sorted limit would send that many rows per task
+    counts = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    run = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    least = counts.withColumn("cum", F.sum("words").over(run)).where(F.col("cum") <= frequent).agg(F.min("n")).first()[0]
+    top = [] if least is None else words.where(F.col("n") >= least).collect()  # at most `frequent` rows
     known = {bytes(r["word"]): (r["known"], r["base"], r["score"]) for r in top}
-    del top
     facts = spark.sparkContext.broadcast(Table(known, (ends > 0, base(ends), end / LOG10)))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
