@@ -37,7 +37,9 @@ class Walk:
     def __init__(self, weights: dict[str, float], byte: list[float]):
         self.weights = {p: w for p, w in weights.items() if not (len(p) == 6 and p.startswith("<0x"))}
         self.byte = byte
-        self.longest = max(map(len, self.weights), default=1)
+        # endings of pieces, so that the search for pieces that end at a position stops early
+        self.ending: dict[str, float | None] = {p[i:]: None for p in self.weights for i in range(len(p))}
+        self.ending.update(self.weights)
         self.restart()
 
     def restart(self) -> None:
@@ -45,13 +47,16 @@ class Walk:
         self.edges: list[list[tuple[int, float, str | None]]] = [[]]
 
     def edges_at(self, s: str, j: int) -> list[tuple[int, float, str | None]]:
-        get, out = self.weights.get, []
-        for i in range(max(0, j - self.longest), j):
-            w = get(s[i:j])
+        ending, out = self.ending, []
+        for i in range(j - 1, -1, -1):
+            part = s[i:j]
+            if part not in ending:
+                break
+            w = ending[part]
             if w is not None:
-                out.append((i, w, s[i:j]))
-        if not out or out[-1][0] != j - 1:
-            out.append((j - 1, sum(self.byte[b] for b in s[j - 1].encode("utf-8", "surrogatepass")), None))
+                out.append((i, w, part))
+        if not out or out[0][0] != j - 1:
+            out.append((j - 1, sum([self.byte[b] for b in s[j - 1].encode("utf-8", "surrogatepass")]), None))
         return out
 
     def to(self, s: str) -> int:
