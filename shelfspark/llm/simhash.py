@@ -99,8 +99,6 @@ def runs(batches: Iterator[pd.DataFrame], key: list[str], limit: int) -> Iterato
         for j, (s, e) in enumerate(zip(starts, ends)):
             if new[s]:
                 yield from flush()
-            elif not held and not hot:
-                pass
             if alone[j] and j < len(starts) - 1 and not held and new[s]:
                 continue  # a group of one row
             held.append(pdf.iloc[s:e])
@@ -193,8 +191,8 @@ WIDE_WORDS = 5
 WIDE_BYTES = 64
 SIMILARITY = 0.8
 WIDE_SLOTS = 128  # sets of three byte positions; a pair at similarity 0.8 shares one of them with a chance of about 0.9, at 0.9 of 0.999
-LEADERS = 8
-WIDE_SHORT = 32
+LEADERS = 2
+WIDE_SHORT = 16
 
 
 def max_distance(similarity: float = SIMILARITY) -> int:
