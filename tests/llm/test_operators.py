@@ -124,6 +124,63 @@ def test_near_dedup(spark):
     assert [i in ids for i in (500, 501, 502, 503, 504)] == [True, False, True, False, True]
 
 
+def shingle_sets(docs):
+    out = {}
+    for i, t in docs:
+        w = t.lower().split()
+        out[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+    return out
+
+
+def kept_of(docs, sim=0.8):
+    """Smallest ids of the components of all pairs at the similarity, and the pairs' similarities."""
+    sets, pairs = shingle_sets(docs), {}
+    root = {i: i for i in sets}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for a in sets:
+        for b in sets:
+            if a < b and (both := len(sets[a] & sets[b])):
+                pairs[a, b] = both / len(sets[a] | sets[b])
+                if pairs[a, b] >= sim - 1e-9 and find(a) != find(b):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {i for i in sets if find(i) == i}, pairs
+
+
+def test_links_of_long_lists_all_count(spark):
+    """Members that share most of a text: links that do not pass through the first members of its list."""
+    rng = random.Random(11)
+    base, docs = text(rng, "en", 200).split(), []
+    for i in range(60):  # 0.74 to each other: the lists of the shared words hold them all
+        w = base[:170] + text(rng, "en", 30).split()
+        docs.append((3 * i, " ".join(w)))
+        b = list(w)
+        b[172] = "one"
+        docs.append((3 * i + 1, " ".join(b)))
+        c = list(b)
+        c[60 + i] = c[20 + i] = "two"
+        docs.append((3 * i + 2, " ".join(c)))
+    want, pairs = kept_of(docs)
+    assert sum(0.6 < s < 0.8 for s in pairs.values()) > 10_000 and 50 < len(want) < 70
+    got = {r["doc_id"] for r in simhash.near_dedup(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_pairs_around_the_limit_are_decided_exactly(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(300):
+        w = text(rng, "en", 150 + i % 40).split()
+        v = list(w)
+        for k in range(2 + i % 9):
+            v[6 + 14 * k] = f"new{k}"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    want, pairs = kept_of(docs)
+    assert sum(0.7 <= s < 0.8 for s in pairs.values()) > 30 and sum(0.8 <= s < 0.9 for s in pairs.values()) > 30
+    got = {r["doc_id"] for r in simhash.near_dedup(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # --- contamination ---
 
 
