@@ -196,14 +196,29 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+def united(spans: Column) -> Column:
+    """Runs of overlapping spans as one span each, of the kind of the first, then longest: SPAN."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    span = lambda kind, start, end: F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"))
+    start = F.struct(F.array().cast(SPAN).alias("out"), span(F.lit(0), F.lit(0), F.lit(0)).alias("run"))
+    ended = lambda acc: F.when(acc["run"]["end"] > 0, F.concat(acc["out"], F.array(acc["run"]))).otherwise(acc["out"])
+
+    def step(acc: Column, s: Column) -> Column:
+        run = acc["run"]
+        longer = F.struct(acc["out"].alias("out"), span(run["kind"], run["start"], F.greatest(run["end"], -s["back"])).alias("run"))
+        return F.when(s["start"] < run["end"], longer).otherwise(F.struct(ended(acc).alias("out"), span(s["kind"], s["start"], -s["back"]).alias("run")))
+
+    return F.aggregate(order, start, step, ended)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns of `docs`, personal data in `text` replaced; null texts stay null, other texts stay as they are."""
+    """All rows and columns of `docs`, personal data in `text` replaced, overlapping spans as one; null texts stay null, other texts stay as they are."""
     seen = written(staged_of(docs.select("text")).select("key", "base", "found").where(F.size("found") > 0).dropDuplicates(["key"]), "candidates")
     more = discovered(seen).select(F.col("key").alias("__key"), F.col("more").alias("__more"))
     none = F.array().cast(SPAN)
     out = docs.withColumn("__key", text_key()).join(more, "__key", "left")
     out = out.withColumn("__spans", F.concat(base_spans(F.coalesce("text", F.lit(""))), F.coalesce("__more", none)))
-    return out.withColumn("text", F.when(F.size("__spans") > 0, redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    return out.withColumn("text", F.when(F.size("__spans") > 0, redacted(F.col("text"), united(F.col("__spans")))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -235,6 +235,13 @@ def test_running_sums_across_blocks(spark):
     assert got == [want, [5]]
 
 
+def test_redaction_of_partly_overlapping_spans(spark):
+    docs = frame(spark, [(1, "call (+1) 5551234567.john@x.com now", "a"), (2, "call +1 5551234567.john@x.com, or b@y.org", "b")], "doc_id long, text string, at string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert not any("john" in t or "x.com" in t for t in got.values())
+    assert got[1].endswith(" now") and got[2].endswith(", or <EMAIL>")
+
+
 def test_redaction_of_overlaps(spark):
     spans = pii.F.array(*[pii.F.struct(pii.F.lit(k).alias("kind"), pii.F.lit(s).alias("start"), pii.F.lit(e).alias("end")) for k, s, e in [(2, 2, 6), (3, 4, 8), (0, 8, 9)]])
     assert spark.range(1).select(pii.redacted(pii.F.lit("ab1234567é!"), spans)).first()[0] == "ab<CARD>56<EMAIL>é!"[:8] + "56<EMAIL>é!"
