@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe, contamination, language, mixing, pii, quality, scoring, simhash, token_counts, toxicity, warc
+from shelfspark.llm import bpe, contamination, language, merkle, mixing, pii, quality, scoring, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontaminate": contamination.query,
     "op6_token_counts": token_counts.query,
     "op7_toxicity": toxicity.query,
+    "op11_merkle": merkle.query,
     "op13_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op8_quality": quality.ORACLE,
     "op10_decontaminate": contamination.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
