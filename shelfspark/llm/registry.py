@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfspark.llm import bpe, contamination, language, merkle, mixing, pii, quality, scoring, simhash, token_counts, toxicity, warc
+from shelfspark.llm import bpe, contamination, language, merkle, mixing, pii, quality, scoring, search, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op6_token_counts": token_counts.query,
     "op7_toxicity": toxicity.query,
     "op11_merkle": merkle.query,
+    "op12_search": search.query,
     "op13_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op8_quality": quality.ORACLE,
     "op10_decontaminate": contamination.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_search": search.ORACLE,
 }
