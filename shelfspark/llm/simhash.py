@@ -185,240 +185,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# --- similarity of word shingles: shared rare shingles, then exact verification ---
-
-WIDE_WORDS = 5
-SIMILARITY = 0.8
-SAMPLED = 10_000  # texts whose shingles are counted to order all shingles; any order gives the same links
-USUAL = 200_000  # shingles that the order places behind all others
-SLACK = 1e-9  # for products of the similarity and a whole number
-LISTS = "token long, node long, size int, pos int"
-
-
-def distinct_shingles(data: bytes, k: int) -> np.ndarray:
-    h = list(shingle_hashes(data, k))
-    return np.unique(np.concatenate(h)) if h else np.empty(0, dtype="<u8")
-
-
-def shingle_set(text: str = "text", k: int = WIDE_WORDS) -> Column:
-    """Sorted hashes of the distinct shingles of a text."""
-
-    @F.pandas_udf("array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.sort(distinct_shingles(t, k).view("<i8")) for t in texts], dtype=object)
-
-    return sets(text_bytes(text))
-
-
-def usual_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of three and more of about SAMPLED texts, the rarest first; at most USUAL."""
-    total = docs.count()
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLED / max(1, total)) * (1 << 30)))
-    some = docs.select("text").where(share).dropDuplicates(["text"])
-    often = written(some.select(F.explode(shingle_set("text", k)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "often")
-    cut, held = None, 0
-    for r in often.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect():
-        held += r["m"]
-        if held > USUAL:
-            break
-        cut = r["n"]
-    if cut is None:
-        return np.empty(0, dtype="<u8")
-    rows = often.where(F.col("n") >= cut).toPandas()
-    h = rows["h"].to_numpy().astype("<i8").view("<u8")
-    return h[np.lexsort((h, rows["n"].to_numpy()))]
-
-
-def prefix_length(size: int, similarity: float) -> int:
-    """Sets of a similarity or more share one of their first so many members in any order that is common to all."""
-    return size - int(np.ceil(similarity * size - SLACK)) + 1
-
-
-def shingled(text: str, k: int, similarity: float, usual: np.ndarray) -> Column:
-    """(node, size, prefix): key and size of the set of shingles of a text, and its first members in the common order."""
-    by_hash = np.argsort(usual)
-    known = usual[by_hash]
-
-    @F.pandas_udf("node long, size int, prefix array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            node, size, prefix = [], [], []
-            for data in texts:
-                h = distinct_shingles(data, k)
-                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                size.append(len(h))
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    late = known[at] == h
-                    h = np.concatenate([h[~late], h[late][np.argsort(by_hash[at[late]])]])
-                prefix.append(h[: prefix_length(len(h), similarity)].view("<i8"))
-            yield pd.DataFrame({"node": np.array(node, dtype="<u8").view("<i8"), "size": np.array(size, dtype="int32"), "prefix": pd.Series(prefix, dtype=object)})
-
-    return sets(text_bytes(text))
-
-
-def shared_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows, sorted by token, of the tokens that have two or more."""
-    carry = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        token = pdf["token"].to_numpy()
-        same = token[1:] == token[:-1]
-        met = np.append(same, False)
-        met[1:] |= same
-        if carry is not None and carry_met:
-            met[0] = True
-        carry, carry_met = pdf.iloc[-1:], bool(met[-1])
-        if met[:-1].any():
-            yield pdf.iloc[:-1][met[:-1]]
-    if carry is not None and carry_met:
-        yield carry
-
-
-def possible(size_a, pos_a, size_b, pos_b, similarity: float) -> np.ndarray:
-    """Whether sets can reach the similarity if their first common member has these positions."""
-    return np.minimum(size_a - pos_a, size_b - pos_b) >= similarity / (1 + similarity) * (size_a + size_b) - SLACK
-
-
-def pairs_at(rows: dict, i: np.ndarray, j: np.ndarray, similarity: float) -> pd.DataFrame:
-    ok = rows["label"][i] != rows["label"][j]
-    i, j = i[ok], j[ok]
-    ok = possible(rows["size"][i], rows["pos"][i], rows["size"][j], rows["pos"][j], similarity)
-    a, b = rows["node"][i[ok]], rows["node"][j[ok]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def chained(similarity: float):
-    """Pairs of neighbours in every list, as far as their labels differ."""
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            carry = pdf.iloc[-1:]
-            token = pdf["token"].to_numpy()
-            i = np.flatnonzero(token[1:] == token[:-1])
-            yield pairs_at({c: pdf[c].to_numpy() for c in ("node", "size", "pos", "label")}, i, i + 1, similarity)
-
-    return pairs
-
-
-def every(similarity: float):
-    """All pairs of every list whose labels differ."""
-
-    def of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token = pdf["token"].to_numpy()
-        rows = {c: pdf[c].to_numpy() for c in ("node", "size", "pos", "label")}
-        i, d = np.arange(len(token)), 0
-        while len(i):
-            d += 1
-            i = i[i + d < len(token)]
-            i = i[token[i + d] == token[i]]
-            for at in range(0, len(i), 1 << 20):
-                out = pairs_at(rows, i[at : at + (1 << 20)], i[at : at + (1 << 20)] + d, similarity)
-                if len(out):
-                    yield out
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            token = pdf["token"].to_numpy()
-            last = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
-            if last or (held and held[-1]["token"].iloc[-1] != token[0]):
-                yield from of(pd.concat([*held, pdf.iloc[:last]], ignore_index=True))
-                held = []
-            held.append(pdf.iloc[last:])
-        if held:
-            yield from of(pd.concat(held, ignore_index=True))
-
-    return pairs
-
-
-def similar(similarity: float) -> Column:
-    """Whether the sets `fa` and `fb` have the Jaccard similarity or more."""
-
-    @F.pandas_udf("boolean")
-    def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            ok = []
-            for x, y in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
-            yield pd.Series(ok, dtype=bool)
-
-    return verified("fa", "fb")
-
-
-def shingle_links(docs: DataFrame, ids: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_WORDS) -> DataFrame:
-    """(a, b) links whose components are those of all pairs of nodes with the Jaccard similarity or more.
-
-    `ids` has (node, size, prefix, least), a row per set of shingles. Two sets of the similarity share a
-    member of their prefixes, so all pairs of the lists of the prefix members are candidates, and
-    every candidate is verified on its sets. A pair inside a component that is already known says nothing new:
-    neighbours in the lists are verified first, in two orders, then all pairs across the
-    components they leave. No other pair is left out, however long its list.
-    """
-    postings = ids.select("node", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "size", "pos")
-    lists = written(postings.repartition("token").sortWithinPartitions("token").mapInPandas(shared_lists, LISTS), "lists")
-    checked = found = sets = None
-    for order, way in ((F.col("node"), chained), (F.xxhash64("node", "token"), chained), (F.col("node"), every)):
-        if found is None:
-            labelled = lists.withColumn("label", F.col("node"))
-        else:
-            labelled = lists.join(components(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        dealt = labelled.withColumn("at", order).repartition("token").sortWithinPartitions("token", "at").drop("at")
-        pairs = dealt.mapInPandas(way(similarity), "a long, b long").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            need = need.join(sets.select("node"), "node", "left_anti")
-        need = written(ids.join(need, "node").select("node", F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key")), "needed")
-        texts = docs.select("doc_id", "text", text_key().alias("key"))
-        texts = texts.join(need, texts["doc_id"].eqNullSafe(need["__id"]) & (texts["key"] == need["__key"])).select("node", "text")
-        more = written(texts.dropDuplicates(["node"]).select("node", shingle_set("text", k).alias("set")), "sets")
-        sets = more if sets is None else sets.union(more)
-        left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("fa")), sets.select(F.col("node").alias("b"), F.col("set").alias("fb"))
-        near = written(pairs.join(left, "a").join(right, "b").where(similar(similarity)).select("a", "b"), "near")
-        found = near if found is None else found.union(near)
-    return found
-
-
-def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, k: int = WIDE_WORDS) -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 3) -> DataFrame:
     """One row of `docs` per group of near copies, with all its columns: the one with the smallest doc_id.
 
-    Groups are connected by texts whose sets of distinct k-word shingles (A-Z lower-cased, a text of fewer
-    words is one shingle) have a Jaccard similarity of at least `similarity`; no such pair is
-    missed and no other is linked, up to equal 64-bit hashes. Rows with equal ids and texts count as one; a
-    null id is the smallest. Texts without words are copies of each other, null texts count as empty.
+    Groups are connected by fingerprints of k-word shingles that differ in at most DISTANCE bits, as in `links`; the distance
+    alone decides. Rows with equal ids and texts count as one; a null id is the smallest. Null and empty texts
+    and texts without words have fingerprint zero and are copies of each other.
     """
     ship(docs.sparkSession)
-    usual = usual_shingles(docs, k)
-    rows = written(docs.select("doc_id", text_key().alias("key"), shingled("text", k, similarity, usual).alias("s")), "shingled")
-    rows = rows.select("doc_id", "key", "s.node", "s.size", "s.prefix")
-    ids = rows.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    ids = written(ids, "nodes")
-    roots = components(shingle_links(docs, ids, similarity, k))
-    groups_ = ids.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("least").alias("least"))
-    kept = groups_.select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key"))
-    copies = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = written(copies.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(True).alias("__more")), "repeated")
-    kept = kept.join(copies, kept["__id"].eqNullSafe(copies["__id"]) & (kept["__key"] == copies["__key"]), "left").select(kept["__id"], kept["__key"], "__more")
+    rows = written(docs.select("doc_id", text_key().alias("key"), fingerprint(k=k).alias("fp")), "documents")
+    fps = written(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("least")), "fingerprints")
+    roots = components(links(fps.select("fp")))
+    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = written(named.groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("least").alias("least")), "kept").select("least.*")
+    copies = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key", F.lit(True).alias("more"))
+    copies = written(copies, "repeated")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+    kept = kept.join(copies, same(kept, copies), "left").select(kept["doc_id"], kept["key"], "more")
+    out = docs.select(F.struct("*").alias("row"), "doc_id", text_key().alias("key"))
     kept = written(kept, "kept")
-    out = docs.withColumn("__text_key", text_key())
-    out = out.join(kept, out["doc_id"].eqNullSafe(kept["__id"]) & (out["__text_key"] == kept["__key"]))
-    single = out.where("__more IS NULL").select(*docs.columns)
+    out = out.join(kept, same(out, kept)).select("row", out["doc_id"], out["key"], "more")
+    single = out.where("more IS NULL").select("row.*")
     if copies.isEmpty():
         return single
-    return single.unionByName(out.where("__more").dropDuplicates(["__id", "__key"]).select(*docs.columns))
+    return single.unionByName(out.where("more").dropDuplicates(["doc_id", "key"]).select("row.*"))
