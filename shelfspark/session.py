@@ -6,11 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_SCOPES: list[list[str]] = []  # paths made inside each open `scratch`
 
 
 def build_session(app: str = "shelfspark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -45,7 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """Fresh path for a written table, a sink or a stream checkpoint."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store holds it; a missing one is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when the block ends, so what is read later must be written outside or to a path of its own."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
