@@ -11,31 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import contamination, mixing, pii, simhash, toxicity
 from shelfspark.llm.text import table
-from shelfspark.session import written
+from shelfspark.session import delete, new_path, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows below the toxicity threshold."""
+    """Rows below the toxicity threshold, repeated ones included; null and empty texts stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per group of texts whose five-word shingles are 0.8 similar or more."""
+    """One row per group of texts whose SimHash fingerprints of three-word shingles differ in at most two bits; null and empty texts are one group."""
     return simhash.near_dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without passages of the benchmark."""
+    """Rows without passages of the benchmark, repeated ones included; null and empty texts stay."""
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal data replaced by its kind."""
+    """All rows, personal data replaced by its kind; null and empty texts stay as they are."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the mixture, once per epoch."""
+    """Rows of the mixture, once per epoch, with `mix_domain` and `mix_epoch`; columns of these names in the input are replaced.
+
+    A null language or source is the leaf `unknown`; repeated rows go together; texts without words count no tokens.
+    """
     names = [c for c in docs.columns if c not in ("mix_domain", "mix_epoch")]
     return mixing.mix(docs).select(*[f"row.`{c}`" for c in names], mixing.F.col("domain").alias("mix_domain"), mixing.F.col("epoch").alias("mix_epoch"))
 
@@ -53,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage wrote on its way goes when its result is written, the result when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(result.schema).parquet(path), path
     return docs
