@@ -1,11 +1,14 @@
 """Toxicity from two class-conditional Kneser-Ney models with shared backoff counts.
 
-Both classes have their own discounted counts of words and word pairs; the mass a discount
-frees goes to counts that the classes share (in how many contexts a word follows another), so
-an expression that is rare in both classes weighs the same in both and drops out of the
-comparison. A text is scored by the difference of the two log-likelihoods divided by its
-length, together with its most telling expressions; a logistic curve fitted on labelled texts
-that gave no counts maps them to a score between 0 and 1.
+Both classes have their own discounted counts of words and word pairs (texts that hold them). The mass that a discount
+frees goes to counts that the classes share: for a word, in how many contexts it follows another; for a pair,
+its second word's class chance at a mass of PRIOR shared counts. An expression that is rare in both classes so weighs
+nearly the same in both and drops out of the comparison; none is cut away.
+
+A text is scored by the difference of the two log-likelihoods divided by its length, together with
+two more figures of the same log ratios: the mean of its telling expressions and the second largest. The words of
+toxic texts are few among many, and without these two the noise of all others hides them. A
+logistic curve fitted on labelled texts that gave no counts maps the three to a score between 0 and 1.
 """
 
 from __future__ import annotations
@@ -25,9 +28,7 @@ from shelfspark.session import ship, written
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 DISCOUNT = 0.75
 PRIOR = 10.0  # shared pseudo-count of an expression
-LEAST = 4  # texts that must hold an expression
 SAMPLE = 4000  # labelled texts per class, about; the documented bound of the fit
-GRAMS = 200_000  # expressions in the model, the most frequent ones
 FLUSH = 200_000
 CUT = 0.3  # score from which a text counts as toxic
 STRONG = 1.0  # log ratio from which an expression counts as telling
@@ -52,12 +53,12 @@ def sample_of(labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
 
 
 def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts per class that hold a word or a word pair: (gram, n0, n1)."""
+    """Texts per class that hold a word (a is empty) or a word pair: (a, b, n0, n1)."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
 
     def rows() -> pd.DataFrame:
         grams = list(seen[0].keys() | seen[1].keys())
-        out = pd.DataFrame({"gram": grams, "n0": [seen[0][g] for g in grams], "n1": [seen[1][g] for g in grams]})
+        out = pd.DataFrame({"a": [a for a, _ in grams], "b": [b for _, b in grams], "n0": [seen[0][g] for g in grams], "n1": [seen[1][g] for g in grams]})
         seen[0].clear()
         seen[1].clear()
         return out
@@ -65,24 +66,47 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for data, toxic in zip(pdf["t"], pdf["toxic"]):
             words = list(words_of(data))
-            seen[toxic].update(set(words))
-            seen[toxic].update({a + b" " + b for a, b in zip(words, words[1:])})
+            seen[toxic].update({(b"", w) for w in words})
+            seen[toxic].update(set(zip(words, words[1:])))
             if len(seen[0]) + len(seen[1]) > FLUSH:
                 yield rows()
     if seen[0] or seen[1]:
         yield rows()
 
 
+def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words (w, k, x) and pairs (k, x) from (a, b, n0, n1): logs of toxic by ordinary, k a 64-bit key of the words."""
+    words = counts.where(F.octet_length("a") == 0).select(F.col("b").alias("w"), "n0", "n1")
+    pairs = counts.where(F.octet_length("a") > 0)
+    follows = pairs.groupBy(F.col("b").alias("w")).agg(F.count(F.lit(1)).alias("follows"))
+    words = written(words.join(follows, "w", "left").fillna(0, ["follows"]), "words")
+    t = words.agg(F.count(F.lit(1)).alias("v"), *[F.sum(c).alias(c) for c in ("n0", "n1", "follows")]).first()  # one row
+    total = [max(1.0, t[f"n{c}"] or 0) for c in (0, 1)]
+    both = sum(total)
+    kept = lambda c: F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0))
+    shared = F.col("follows") * F.lit(DISCOUNT * t["v"] / both / max(1.0, t["follows"] or 0)) + F.lit(PRIOR / both)
+    words = words.withColumns({f"p{c}": kept(c) / F.lit(total[c]) + shared for c in (0, 1)}).withColumn("k", F.xxhash64("w"))
+    first = words.select(F.col("w").alias("a"), F.col("k").alias("ka"))
+    second = words.select(F.col("w").alias("b"), F.col("k").alias("kb"), "p0", "p1")
+    # the mass that the discounts free is PRIOR shared counts in both classes: it cancels where a pair is unknown
+    mass = lambda c: kept(c) * F.lit(both / (2 * total[c])) + F.lit(2 * PRIOR) * F.col(f"p{c}") / (F.col("p0") + F.col("p1"))
+    met = pairs.join(first, "a").join(second, "b").select(F.shiftleft("ka", 1).bitwiseXOR(F.col("kb")).alias("k"), F.log(mass(1) / mass(0)).alias("x"))
+    return words.select("w", "k", F.log(F.col("p1") / F.col("p0")).alias("x")), met
+
+
 class Model:
-    """Log ratios of the two classes for known expressions, and the curve of the score."""
+    """Log ratios of the two classes for the expressions of the sample, and the curve of the score."""
 
-    def __init__(self, words: dict[bytes, int], ratio: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray):
-        self.words, self.ratio, self.pairs, self.pair_ratio = words, ratio, pairs, pair_ratio
+    def __init__(self, words: list[bytes], keys: np.ndarray, ratio: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray):
+        self.words = {w: i for i, w in enumerate(words)}
+        self.keys, self.ratio = np.append(keys, 0).astype(np.int64), np.append(ratio, 0.0)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_ratio = pairs[order], pair_ratio[order].astype(np.float32)
         self.curve = np.array([0.0, 0.0, 0.0, 0.0])
 
     def features(self, data: bytes) -> tuple[float, float, float]:
         """Mean log ratio, mean of the telling ones, second largest (of a text of one word: of that word, halved)."""
-        size, unknown = len(self.words), len(self.words)
+        unknown = len(self.words)
         total = strong = 0.0
         count, top, last = 0, [], None
         for words in blocks(data):
@@ -92,9 +116,10 @@ class Model:
             arr = np.array(ids if last is None else [last, *ids], dtype=np.int64)
             x = self.ratio[arr]
             if len(self.pairs) and len(arr) > 1:
-                key = arr[:-1] * (size + 1) + arr[1:]
+                key = (self.keys[arr[:-1]] << 1) ^ self.keys[arr[1:]]
                 at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                x[1:] = np.where(self.pairs[at] == key, self.pair_ratio[at], x[1:])
+                met = (self.pairs[at] == key) & (arr[:-1] < unknown) & (arr[1:] < unknown)
+                x[1:] = np.where(met, self.pair_ratio[at], x[1:])
             if last is not None:
                 x = x[1:]
             last = ids[-1]
@@ -116,36 +141,6 @@ def shaped(f: np.ndarray) -> np.ndarray:
     return np.column_stack([np.clip(f[:, 0], -1, 1) * 4, np.clip(f[:, 1], 0, 0.2) * 20, np.clip(f[:, 2], -1, 6)])
 
 
-def model_of(rows: list, totals: tuple[float, float], shared_total: float) -> Model:
-    """`rows`: (gram, n0, n1, follows) of the kept expressions."""
-    uni = {bytes(r["gram"]): r for r in rows if b" " not in bytes(r["gram"])}
-    words = {w: i for i, w in enumerate(sorted(uni))}
-    t0, t1 = (max(1.0, t) for t in totals)
-    both = t0 + t1
-    free = DISCOUNT * len(uni) / both
-
-    def chance(r, n: float, total: float) -> float:
-        shared = (free * r["follows"] / max(1.0, shared_total)) + PRIOR / both
-        return max(n - DISCOUNT, 0.0) / total + shared
-
-    p0 = {w: chance(r, r["n0"], t0) for w, r in uni.items()}
-    p1 = {w: chance(r, r["n1"], t1) for w, r in uni.items()}
-    ratio = np.array([math.log(p1[w] / p0[w]) for w in sorted(uni)] + [0.0])
-    keys, values = [], []
-    for r in rows:
-        a, _, b = bytes(r["gram"]).partition(b" ")
-        if not b or a not in words or b not in words:
-            continue
-        # the backoff mass is PRIOR shared counts for both classes: it cancels where a pair is unknown
-        mean = (p0[b] + p1[b]) / 2
-        q0 = max(r["n0"] - DISCOUNT, 0.0) * both / (2 * t0) + PRIOR * p0[b] / mean
-        q1 = max(r["n1"] - DISCOUNT, 0.0) * both / (2 * t1) + PRIOR * p1[b] / mean
-        keys.append(words[a] * (len(words) + 1) + words[b])
-        values.append(math.log(q1 / q0))
-    order = np.argsort(np.array(keys, dtype=np.int64))
-    return Model(words, ratio, np.array(keys, dtype=np.int64)[order], np.array(values)[order])
-
-
 def fit_curve(f: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge; without both classes, a steep curve on the second largest."""
     if len(y) == 0 or y.min() == y.max():
@@ -162,28 +157,21 @@ def fit_curve(f: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, grams: int = GRAMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """Learn from at most about `bound` labelled texts per class of the folds 0, 1 and 3.
 
     Two thirds of them give the counts, one third the curve. Null labels, null ids and null
-    texts teach nothing; an id labelled twice takes its larger label. The model holds at most
-    `grams` expressions, which is what is collected and broadcast.
+    texts teach nothing; an id labelled twice takes its larger label. The model holds all
+    expressions of the texts that gave counts; they are collected and broadcast, so `bound` bounds it.
     """
     ship(docs.sparkSession)
     chosen = F.broadcast(sample_of(labels, bound))  # about 2 * bound rows
     text = docs.where("text IS NOT NULL").select("doc_id", text_bytes().alias("t")).join(chosen, "doc_id")
     text = written(text.select("t", "toxic", (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(3)) == 0).alias("curve")), "labelled")
-    counts = text.where("NOT curve").select("t", "toxic").mapInPandas(count_grams, "gram binary, n0 long, n1 long")
-    counts = written(counts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
-    second = F.substring_index(F.col("gram").cast("string"), " ", -1)
-    pair = F.col("gram").cast("string").contains(" ")
-    follows = counts.where(pair).groupBy(second.cast("binary").alias("gram")).agg(F.count(F.lit(1)).alias("follows"))
-    total = counts.agg(
-        F.sum(F.when(~pair, F.col("n0"))).alias("t0"), F.sum(F.when(~pair, F.col("n1"))).alias("t1"), F.count_if(pair).alias("pairs")
-    ).first()
-    kept = counts.where(F.col("n0") + F.col("n1") >= LEAST).orderBy(F.desc(F.col("n0") + F.col("n1")), "gram").limit(grams)
-    kept = kept.join(follows, "gram", "left").fillna(0, ["follows"])
-    model = model_of(kept.collect(), (total["t0"] or 0, total["t1"] or 0), total["pairs"] or 0)  # at most `grams` rows
+    counts = text.where("NOT curve").select("t", "toxic").mapInPandas(count_grams, "a binary, b binary, n0 long, n1 long")
+    counts = written(counts.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    words, pairs = (df.toArrow() for df in log_ratios(counts))
+    model = Model(words["w"].to_pylist(), words["k"].to_numpy(), words["x"].to_numpy(), pairs["k"].to_numpy(), pairs["x"].to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,6 +202,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFram
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document, repeated rows included; a null text is scored as the empty one, a null id is in the fold of the empty text."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     out = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), score(docs, model).alias("score"))
