@@ -12,6 +12,8 @@ plain forms match, without recursion or quadratic retries on long runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ IP_LIKE = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}"
 NUMBER = r"\(?[0-9](?:[\x20()./-]{0,2}[0-9])++"
 ANY = "|".join([EMAIL, IP, PHONE, EMAIL_LIKE, IP_LIKE, NUMBER])
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-ROUNDS = 3
+SETTLED = 0.01  # change of a confidence below which the scores have settled
 SUPPORT = 4  # different seeds that a trusted pattern has at least
+SEEDED = 0.2  # share of seeds among the instances of a trusted pattern, at least
 CONFIDENCE = 0.8
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 FOUND = "array<struct<value:string,start:int,end:int,before:string>>"
@@ -54,8 +57,14 @@ def running(a: Column, step: int = 512) -> Column:
     return let(a, of)
 
 
-def matches(text: Column, pattern: str, guard: str) -> Column:
-    """Leftmost non-overlapping matches of a text with code point offsets and the 60 characters before: FOUND."""
+def two_words(gap: Column) -> Column:
+    """The last two words of a text, lower-cased, without spaces, colons and equal signs after them; empty if it has no two."""
+    back = F.regexp_extract(F.reverse(gap), r"^[\s:=]*+(\S++\s++\S++)", 1)
+    return F.regexp_replace(F.lower(F.reverse(back)), r"\s+", " ")
+
+
+def matches(text: Column, pattern: str, guard: str, context: Callable[[Column], Column] = lambda gap: F.lit("")) -> Column:
+    """Leftmost non-overlapping matches of a text with code point offsets and the `context` of what stands before them: FOUND."""
 
     def placed(m: Column) -> Column:
         return let(F.split(text, pattern, -1), lambda gaps: let(starts(m, gaps), lambda s: F.transform(m, lambda v, i: row(v, i, s, gaps))))
@@ -66,7 +75,7 @@ def matches(text: Column, pattern: str, guard: str) -> Column:
 
     def row(v: Column, i: Column, s: Column, gaps: Column) -> Column:
         at = F.get(s, i)
-        return F.struct(v.alias("value"), at.alias("start"), (at + F.length(v)).alias("end"), F.right(F.get(gaps, i), F.lit(60)).alias("before"))
+        return F.struct(v.alias("value"), at.alias("start"), (at + F.length(v)).alias("end"), context(F.get(gaps, i)).alias("before"))
 
     none = F.array().cast(FOUND)
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
@@ -129,34 +138,39 @@ def candidates(text: Column) -> Column:
         )
         return F.struct(
             F.coalesce(seed, loose).alias("kind"), F.lower(v).alias("value"), x["start"].alias("start"), x["end"].alias("end"),
-            F.regexp_replace(F.lower(F.regexp_extract(x["before"], r"(\S++\s++\S++)[\s:=]*$", 1)), r"\s+", " ").alias("before"),
+            x["before"].alias("before"),
             F.when(seed.isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("seed"),
         )
 
-    rows = F.transform(matches(text, ANY, r"[0-9@]|[\[(]at[\])]"), row)
+    rows = F.transform(matches(text, ANY, r"[0-9@]|[\[(]at[\])]", two_words), row)
     return F.filter(rows, lambda x: x["kind"].isNotNull() & (x["before"] != ""))
 
 
-def patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, before, confidence, support) of lexical patterns, from candidates (kind, value, before, seed).
+def patterns(found: DataFrame, settled: float = SETTLED) -> DataFrame:
+    """(kind, before, confidence, support, every) of lexical patterns, from candidates (kind, value, before, seed).
 
     The graph links a pattern with every instance it extracts. In each round a pattern's confidence is the
     trust in its instances of that kind, over all instances that follow its words in any kind,
-    plus one; an instance that is no seed is trusted as much as the patterns that extract it jointly say.
+    plus one; an instance that is no seed is trusted as much as the patterns that extract it jointly say. Trust
+    only grows from round to round; the rounds end when no confidence has grown by `settled` or more, which takes at
+    most 1 / settled of them for any one pattern.
     """
     edges = written(found.groupBy("kind", "before", "value").agg(F.max("seed").alias("seed")), "edges")
     every = written(edges.groupBy("before").agg(F.count(F.lit(1)).alias("every")), "contexts")
     trust = written(edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("trust")), "trust")
     scored = None
-    for r in range(rounds):
+    while True:
         good = edges.join(trust, ["kind", "value"]).groupBy("kind", "before").agg(F.sum("trust").alias("good"), F.sum("seed").alias("support"))
-        scored = good.join(every, "before").select("kind", "before", (F.col("good") / (F.col("every") + 1)).alias("confidence"), "support")
-        scored = written(scored, "patterns")
-        if r < rounds - 1:
-            doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
-            said = edges.join(scored, ["kind", "before"]).groupBy("kind", "value").agg(F.max("seed").alias("s"), (1 - F.exp(doubt)).alias("t"))
-            trust = written(said.select("kind", "value", F.greatest(F.col("s").cast("double"), "t").alias("trust")), "trust")
-    return scored
+        step = good.join(every, "before").select("kind", "before", (F.col("good") / (F.col("every") + 1)).alias("confidence"), "support", "every")
+        step = written(step, "patterns")
+        if scored is not None:
+            before = scored.select("kind", "before", F.col("confidence").alias("last"))
+            if step.join(before, ["kind", "before"]).where(F.col("confidence") - F.col("last") >= settled).isEmpty():
+                return step
+        scored = step
+        doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
+        said = edges.join(scored, ["kind", "before"]).groupBy("kind", "value").agg(F.max("seed").alias("s"), (1 - F.exp(doubt)).alias("t"))
+        trust = written(said.select("kind", "value", F.greatest(F.col("s").cast("double"), "t").alias("trust")), "trust")
 
 
 def discovered(staged: DataFrame) -> DataFrame:
@@ -165,7 +179,8 @@ def discovered(staged: DataFrame) -> DataFrame:
     `found` lists the candidates of each different text.
     """
     rows = staged.where(F.size("found") > 0).select("key", "base", F.explode("found").alias("x")).select("key", "base", "x.*")
-    trusted = patterns(rows).where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
+    enough = (F.col("support") >= SUPPORT) & (F.col("support") >= F.lit(SEEDED) * F.col("every"))
+    trusted = patterns(rows).where((F.col("confidence") >= CONFIDENCE) & enough)
     trusted = written(trusted.select("kind", "before"), "trusted")
     new = rows.where("seed = 0").join(trusted, ["kind", "before"])
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
@@ -214,11 +229,13 @@ def united(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`, personal data in `text` replaced, overlapping spans as one; null texts stay null, other texts stay as they are."""
     seen = written(staged_of(docs.select("text")).select("key", "base", "found").where(F.size("found") > 0).dropDuplicates(["key"]), "candidates")
-    more = discovered(seen).select(F.col("key").alias("__key"), F.col("more").alias("__more"))
     none = F.array().cast(SPAN)
-    out = docs.withColumn("__key", text_key()).join(more, "__key", "left")
-    out = out.withColumn("__spans", F.concat(base_spans(F.coalesce("text", F.lit(""))), F.coalesce("__more", none)))
-    return out.withColumn("text", F.when(F.size("__spans") > 0, redacted(F.col("text"), united(F.col("__spans")))).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.select(F.struct("*").alias("row"), text_key().alias("key"), base_spans(text).alias("base")).join(discovered(seen), "key", "left")
+    spans = F.concat("base", F.coalesce("more", none))
+    return out.withColumn("spans", spans).select(
+        F.when(F.size("spans") > 0, F.col("row").withField("text", redacted(F.col("row.text"), united(F.col("spans"))))).otherwise(F.col("row")).alias("row")
+    ).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
