@@ -47,33 +47,48 @@ def test_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     return written(found.select("item", "x.n", "x.h", F.array_join(F.slice("w", F.col("x.i"), F.col("x.n")), " ").alias("win")).distinct(), "windows")
 
 
+def fits(side: DataFrame, text: str, limit: int = BROADCAST) -> bool:
+    """Whether the text and the row overhead of a written side stay below `limit` bytes."""
+    return (side.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0) <= limit
+
+
 def sized(side: DataFrame, text: str, limit: int = BROADCAST) -> DataFrame:
     """Broadcast a written side whose text and row overhead stay below `limit` bytes; join by a shuffle beyond it."""
-    need = side.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
-    return F.broadcast(side) if need <= limit else side
+    return F.broadcast(side) if fits(side, text, limit) else side
+
+
+def cut(docs: DataFrame, size: int) -> DataFrame:
+    """(key, first, w): the words of texts in blocks of BLOCK window starts that overlap, so that every window lies whole in one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("w", s + 1, F.lit(BLOCK + size - 1)).alias("w")))
+    return docs.select("key", words().alias("w")).select("key", F.explode(parts).alias("b")).select("key", "b.first", "b.w")
 
 
 def hits(docs: DataFrame, tests: DataFrame, size: int = SIZE, limit: int = BROADCAST) -> DataFrame:
     """(key, pos, n, win): windows of texts that are in the test set, once per different text.
 
-    `docs` holds (key, text). Texts are cut into blocks of BLOCK window starts whose words overlap, so
-    every window lies whole in one block.
+    `docs` holds (key, text). A set of up to `limit` bytes is broadcast. A larger one meets the hashes of the windows in a
+    shuffle, a few numbers per window; the words are fetched again, by block, for those that meet.
     """
     lengths = sorted(r["n"] for r in tests.select("n").distinct().collect())  # at most `size` values
     if not lengths:
         lengths = [size]
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(BLOCK))
-    cut = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("w", s + 1, F.lit(BLOCK + size - 1)).alias("w")))
-    blocks = docs.select("key", words().alias("w")).select("key", F.explode(cut).alias("b")).select("key", "b.first", "b.w")
+    blocks = cut(docs, size)
     each = [windows("w", F.lit(BLOCK), n) for n in lengths]
-    scanned = blocks.select("key", "first", "w", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("x"))
-    scanned = scanned.select("key", "first", "w", "x.i", "x.n", "x.h")
-    known = sized(tests.select("n", "h", "win").distinct(), "win", limit)
+    every = F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("x")
+    known = tests.select("n", "h", "win").distinct()
+    if fits(known, "win", limit):
+        scanned = blocks.select("key", "first", "w", every).select("key", "first", "w", "x.i", "x.n", "x.h")
+        met = scanned.join(F.broadcast(known), ["n", "h"])
+    else:
+        scanned = blocks.select("key", "first", every).select("key", "first", "x.i", "x.n", "x.h")
+        met = written(scanned.join(known, ["n", "h"]), "met")
+        some = docs.join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        met = met.join(cut(some, size), ["key", "first"])
     text = F.array_join(F.slice("w", F.col("i"), F.col("n")), " ")
     # words are verified only where the hash meets: an equality would become a join key, computed for every window
     same = F.startswith("win", text) & F.startswith(text, F.col("win"))
-    found = scanned.join(known, ["n", "h"]).where(same).select("key", (F.col("first") + F.col("i") - 1).alias("pos"), "n", "win")
-    return found.distinct()
+    return met.where(same).select("key", (F.col("first") + F.col("i") - 1).alias("pos"), "n", "win").distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, limit: int = BROADCAST) -> DataFrame:
@@ -91,26 +106,27 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, limit: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
-    """Rows of `docs` without benchmark passages, with all their columns.
+    """Rows of `docs` without benchmark passages, with all their columns, whatever their names.
 
     remove="documents" drops every row whose text holds a window; remove="spans" keeps it and cuts
-    the hit words together with the separators before them.
+    the hit words together with the separators before them. Null and empty texts stay; rows with equal texts fare alike, repeated
+    rows stay repeated; an empty benchmark removes nothing.
     """
-    found = report(docs, benchmark).select(F.col("key").alias("__key"), F.col("at").alias("__at"))
-    keyed = docs.withColumn("__key", text_key())
+    found = report(docs, benchmark).select("key", "at")
+    keyed = docs.select(F.struct("*").alias("row"), text_key().alias("key"))
     if remove == "documents":
-        return keyed.join(found, "__key", "left_anti").drop("__key")
-    gaps = F.split("text", WORD, -1)
+        return keyed.join(found, "key", "left_anti").select("row.*")
+    out = keyed.join(found, "key", "left").withColumn("gaps", F.when(F.col("at").isNotNull(), F.split("row.text", WORD, -1)))
     kept = F.transform(
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
-        lambda w, i: F.when(F.array_contains("__at", i), F.lit("")).otherwise(F.concat(F.get("__gaps", i), w)),
+        F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)),
+        lambda w, i: F.when(F.array_contains("at", i), F.lit("")).otherwise(F.concat(F.get("gaps", i), w)),
     )
-    whole = F.concat(F.array_join(kept, ""), F.element_at("__gaps", -1))
-    out = keyed.join(found, "__key", "left").withColumn("__gaps", F.when(F.col("__at").isNotNull(), gaps))
-    return out.withColumn("text", F.when(F.col("__at").isNull(), F.col("text")).otherwise(whole)).select(*docs.columns)
+    whole = F.concat(F.array_join(kept, ""), F.element_at("gaps", -1))
+    return out.select(F.when(F.col("at").isNull(), F.col("row")).otherwise(F.col("row").withField("text", whole)).alias("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document, repeated rows included; a null text has no words, a null item id is the empty id."""
     docs = table(spark, sf_dir, "documents")
     found = report(docs, table(spark, sf_dir, "benchmark"))
     rows = docs.select("doc_id", text_key().alias("key"), F.size(words()).cast("long").alias("n_words"))
