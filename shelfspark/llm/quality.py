@@ -13,8 +13,7 @@ from shelfspark.llm.text import let, table, text_key
 from shelfspark.session import written
 
 SPACE = r"[\x20\x09-\x0D]+"
-LEAST = 10  # documents of a host that any line may stand in
-SHARE = 0.01  # share of a host's documents that a line may stand in, if that is more
+LIMIT = 10  # documents of a host that a line may stand in
 DEPLETED = 0.5  # share of its words that a kept document keeps
 LINES = "array<struct<h:bigint,n:int>>"
 
@@ -59,12 +58,11 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent(rows: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(host, h) of lines that stand in more documents of their host than the limit; every row is a document."""
+def frequent(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(host, h) of lines that stand in more than `limit` documents of their host, written; every row is a document."""
     seen = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = written(seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > least), "lines")
-    hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("size")), "hosts")
-    return written(counts.join(hosts, "host").where(F.col("docs") > F.col("size") * share).select("host", "h"), "frequent")
+    counts = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    return written(counts.where(F.col("docs") > limit).select("host", "h"), "frequent")
 
 
 def removals(rows: DataFrame, common: DataFrame) -> DataFrame:
@@ -74,28 +72,31 @@ def removals(rows: DataFrame, common: DataFrame) -> DataFrame:
     return written(hit.groupBy("host", "key").agg(F.sum("n").alias("removed"), F.collect_set("h").alias("drop")), "removals")
 
 
-def judged(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def judged(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Base counts, base_failed, kept, and drop (hashes of lines to remove) per row of `docs`."""
     rows = written(measures(docs), "measures")
-    out = rows.drop("lines").join(removals(rows, frequent(rows, least, share)), ["host", "key"], "left")
+    out = rows.drop("lines").join(removals(rows, frequent(rows, limit)), ["host", "key"], "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     whole = F.coalesce("removed", F.lit(0)) <= F.col("n_words") * (1 - DEPLETED)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & whole)
 
 
-def clean(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """Kept rows of `docs`, with all their columns and without their frequent lines."""
-    found = judged(docs.select("doc_id", "text", "source"), least, share).where("kept")
-    found = found.select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.col("drop").alias("__drop")).dropDuplicates(["__host", "__key"])
-    out = docs.withColumn("__key", text_key()).withColumn("__host", F.coalesce("source", F.lit("unknown"))).join(found, ["__host", "__key"])
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("__drop", line_hash(x))), "\n")
-    return out.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+def clean(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Kept rows of `docs`, with all their columns, whatever their names, and without their frequent lines.
+
+    Null and empty texts fail the base rules and go; a null source is the host `unknown`; every repeated row counts as a document.
+    """
+    found = judged(docs.select("doc_id", "text", "source"), limit).where("kept").select("host", "key", "drop").dropDuplicates(["host", "key"])
+    out = docs.select(F.struct("*").alias("row"), text_key().alias("key"), F.coalesce("source", F.lit("unknown")).alias("host")).join(found, ["host", "key"])
+    left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains("drop", line_hash(x))), "\n")
+    return out.select(F.when(F.col("drop").isNull(), F.col("row")).otherwise(F.col("row").withField("text", left)).alias("row")).select("row.*")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every document, repeated rows included; null is the empty text, which fails the base rules, a null source the host `unknown`."""
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*COLUMNS)
 
 
@@ -106,8 +107,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, 'unknown
 l AS (SELECT rid, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '{_W}')) AS n
   FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM l GROUP BY rid),
-f AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT rid) AS docs FROM l GROUP BY ALL) JOIN (SELECT host, count(*) AS size FROM d GROUP BY host) USING (host)
-  WHERE docs > {LEAST} AND docs > size * CAST({SHARE} AS DOUBLE)),
+f AS (SELECT host, norm FROM l GROUP BY ALL HAVING count(DISTINCT rid) > {LIMIT}),
 r AS (SELECT rid, sum(n) AS removed FROM l JOIN f USING (host, norm) GROUP BY rid),
 x AS (SELECT rid, i, w[i:i+2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 3)),
 p AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM x) WHERE c > 1),
