@@ -1,7 +1,9 @@
 """General interfaces of the corpus operators, and the pipeline."""
 
+import collections
 import hashlib
 import io
+import math
 import random
 import re
 
@@ -10,7 +12,7 @@ import xxhash
 from conftest import put, text  # noqa: F401
 
 import corpus_pipeline
-from shelfspark.llm import components, contamination, mixing, pii, quality, simhash, warc
+from shelfspark.llm import bpe, components, contamination, merkle, mixing, pii, quality, search, simhash, warc
 from shelfspark.session import written
 
 
@@ -240,6 +242,108 @@ def test_mixture_meets_budgets(spark, corpus):
     assert max(r["epoch"] for r in mixed) <= mixing.EPOCHS
 
 
+# --- manifest, search, byte-level BPE ---
+
+
+def test_proofs_of_some_requests(spark):
+    docs = frame(spark, [(i, f"text {i}", "s" if i % 5 else None, None, i, "x") for i in range(200)], "doc_id long, text string, source string, lang string, n_chars long, kind string")
+    rows = merkle.leaves(docs)
+    manifest = merkle.Manifest(rows)
+    some = rows.where("doc_id % 37 = 0").select("doc_id", "kind", "i")
+    found = manifest.proofs(some).collect()
+    root = manifest.root.first()["digest"]
+    assert len(found) == 6
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    leaf = {r["doc_id"]: r["digest"] for r in rows.collect()}
+    for r in found:
+        digest = leaf[r["doc_id"]]
+        assert r["digest"] == digest
+        for s in reversed(r["path"]):
+            digest = h(s["l"] + digest + s["r"])
+        assert digest == root
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 27, 28, 81, 83])
+def test_levels_of_every_height(spark, n):
+    docs = frame(spark, [(i, "t", "s", None, None) for i in range(n)], "doc_id long, text string, source string, lang string, n_chars long")
+    rows = merkle.leaves(docs)
+    level = [r["digest"] for r in rows.orderBy("i").collect()]
+    found = merkle.verify(docs).collect()
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 3]).encode()).hexdigest() for i in range(0, len(level), 3)]
+    assert all(r["verified"] and r["subroot"] == r["root"] == level[0] for r in found) and len(found) == n
+
+
+def ranking(docs, items, k):
+    """Scores of every document and item in plain Python."""
+    terms = lambda t: re.findall("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = [(i, terms(t)) for i, t in docs]
+    n, length = sum(bool(w) for _, w in words), sum(len(w) for _, w in words)
+    df = collections.Counter(t for _, w in words for t in set(w))
+    out = []
+    for item, text in items:
+        scores = []
+        for i, w in words:
+            if w:
+                m, tf = 10 + (90 * len(w) * n) // length, collections.Counter(w)
+                s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * tf[t]) // (1000 * tf[t] + 8 * m)) for t in set(terms(text)) if tf[t])
+                scores.append((-s, i is not None, i))
+        best = sorted(x for x in scores if x[0] < 0)[:k]
+        out += [(item, rank + 1, i, -s) for rank, (s, _, i) in enumerate(best)]
+    return out
+
+
+def test_search_prunes_nothing_that_counts(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, text(rng, rng.choice(["en", "de"]), rng.randint(1, 60))) for i in range(700)] + [(None, text(rng, "en", 30)), (900, None), (901, "")]
+    docs += [(1000 + i, docs[3][1]) for i in range(30)] + [(2000 + i, docs[5][1]) for i in range(30)] + [docs[3], docs[3]]
+    items = [(i, docs[rng.randrange(700)][1]) for i in range(40)] + [(50, "nothing-like-this 0"), (51, None), (None, docs[3][1]), (3, docs[3][1].upper()), (3, docs[3][1].upper())]
+    d, q = frame(spark, [(*r, "x") for r in docs], "doc_id long, text string, term string"), frame(spark, [(*r, "x") for r in items], "item_id long, text string, q string")
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] is not None, r[2] or 0, r[3])
+    want = sorted(ranking(docs, items, 10), key=key)
+    for cells, size in ((4_000_000, 4 << 20), (600, 4 << 20), (4_000_000, 700)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "ITEM_BYTES", size)
+        assert sorted(map(tuple, search.search(d, q).collect()), key=key) == want, (cells, size)
+
+
+def test_bpe_of_awkward_texts(spark):
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(2)
+    ranks = bpe.load(bpe.vocabulary_path())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    signs = list("ab'st \n\t  \x1c\x85\xa0 é漢🙂12.,!LLdm") + ["\u180e", "\u200b", "\r\n", "'ll", "  "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["a" * 5000, "ab" * 70, "=" * 300 + " " * 500 + "x", "", None, "<|endoftext|> hi", "漢字かな交じり文" * 400, "word " * 3000, texts[0]]
+    rows = bpe.decode(bpe.encode(frame(spark, [(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, bytes string"))).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == enc.encode_ordinary(t) and bytes(r["bytes"]) == t.encode()
+
+
+def test_long_texts_are_cut_where_a_word_ends(monkeypatch):
+    import public_tokenizers
+
+    ranks = bpe.load(bpe.vocabulary_path())
+    c = bpe.Coder(ranks, bpe.merge_table(ranks), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab  \n.é1") for _ in range(400)) for _ in range(20)] + ["x" * 3000]
+    whole = bpe.encoded(c, texts)
+    monkeypatch.setattr(bpe, "TOGETHER", 40)
+    monkeypatch.setattr(bpe, "TOKENS", 16)
+    monkeypatch.setattr(bpe, "ROWS", 100)
+    assert bpe.encoded(c, texts) == whole and bpe.decoded(c, whole) == [t.encode() for t in texts]
+    assert [bpe.contracted(w, ranks) for w in (b"a", b"abcabcabc", b" the")] == [np_ids(c, w) for w in (b"a", b"abcabcabc", b" the")]
+
+
+def np_ids(c, word):
+    return [int.from_bytes(ids[i : i + 4], "little") for _, ids in c.merge([word]) for i in range(0, len(ids), 4)]
+
+
 # --- pipeline ---
 
 

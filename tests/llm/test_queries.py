@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from compare import connect, table_rows
 
-from shelfspark.llm import language, lattice, registry, scoring, toxicity
+from shelfspark.llm import bpe, language, lattice, registry, scoring, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_empty_tables(spark, nothing, name):
     assert registry.QUERIES[name](spark, nothing).collect() == []
 
 
-@pytest.mark.parametrize("name", [q for q in sorted(registry.QUERIES) if not q.startswith(("op1_", "op2_"))])
+@pytest.mark.parametrize("name", [q for q in sorted(registry.QUERIES) if not q.startswith(("op1_", "op2_", "op12_"))])
 def test_one_row_per_document(got, rows_of, name):
     assert bag(got(name)[1], ["doc_id"]) == bag(rows_of("documents"), ["doc_id"])
 
@@ -240,3 +240,47 @@ def test_scoring_rare_words_join(spark, corpus, got):
     key = lambda r: (str(r["doc_id"]), r["n_tokens"], round(r["score"], 3))
     for a, b in zip(sorted(rows, key=key), sorted(got("op9_scoring")[1], key=key)):
         assert a["score"] == pytest.approx(b["score"]) and a["base_score"] == pytest.approx(b["base_score"])
+
+
+def test_log_ratios(spark):
+    grams = [("", "idiot", 1, 30), ("", "the", 300, 40), ("", "rare", 1, 0), ("the", "idiot", 0, 9), ("idiot", "the", 1, 4), ("the", "rare", 1, 0)]
+    df = spark.createDataFrame([(a.encode(), b.encode(), x, y) for a, b, x, y in grams], "a binary, b binary, n0 long, n1 long")
+    words, pairs = toxicity.log_ratios(df)
+    t, both, follows = (302, 70), 372, {"idiot": 1, "the": 1, "rare": 1}
+    kept = lambda n: max(n - toxicity.DISCOUNT, 0)
+    p = {b: [kept(n) / t[c] + toxicity.DISCOUNT * 3 / both * follows[b] / 3 + toxicity.PRIOR / both for c, n in enumerate((x, y))] for a, b, x, y in grams if not a}
+    got = {bytes(r["w"]).decode(): r["x"] for r in words.collect()}
+    assert all(abs(got[b] - math.log(p[b][1] / p[b][0])) < 1e-12 for b in p)
+    want = []
+    for a, b, x, y in grams:
+        if a:
+            q = [kept(n) * both / (2 * t[c]) + 2 * toxicity.PRIOR * p[b][c] / sum(p[b]) for c, n in enumerate((x, y))]
+            want.append(math.log(q[1] / q[0]))
+    assert np.allclose(sorted(r["x"] for r in pairs.collect()), sorted(want))
+
+
+def test_bpe(got, rows_of):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.load(bpe.vocabulary_path())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = collections.Counter()
+    for d in rows_of("documents"):
+        ids = enc.encode_ordinary(d["text"] or "")
+        want[(d["doc_id"], len(ids), sha(np.array(ids, dtype="<u4").tobytes()), sha((d["text"] or "").encode()))] += 1
+    assert bag(got("op13_bpe")[1], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == want
+
+
+def test_merkle_leaves_differ_where_line_feeds_went(got, rows_of):
+    rows = got("op11_merkle")[1]
+    texts = collections.defaultdict(set)
+    for d in rows_of("documents"):
+        texts[d["doc_id"]].add(d["text"])
+    for r in rows:
+        if len(texts[r["doc_id"]]) == 1:
+            (t,) = texts[r["doc_id"]]
+            even = zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 2 == 0
+            assert r["verified"] == (not (even and t and "\n" in t)) and (r["folded_root"] == r["root"]) == r["verified"]
+    assert {r["verified"] for r in rows} == {True, False} and len({r["root"] for r in rows}) == 1
