@@ -64,6 +64,11 @@ def pct(new, old) -> Column:
     return F.try_divide(col(new) - col(old), col(old)) * 100
 
 
+def places(c, k: int) -> Column:
+    """Half up to k places in plain double arithmetic, for values below 10^(15 - k)."""
+    return F.floor(col(c) * F.lit(10.0**k) + F.lit(0.5)) / F.lit(10.0**k)
+
+
 def trunc(c) -> Column:
     """Drop the fraction, towards zero."""
     return col(c).cast("bigint")

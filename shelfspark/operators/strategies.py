@@ -1,7 +1,8 @@
 """Price strategies over product contexts.
 
 A strategy is a set of column expressions over one context row: no joins and no
-shuffle. Solvers are replaced by the best of an even price grid, evaluated inside the row.
+shuffle. Prices come from the closed optimum where there is one, else from a coarse grid that
+is narrowed around its best point, evaluated inside the row.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.functions.expr import places
+
 # Margins and bounds, category elasticities, price steps, strategy weights,
 # confidences and segment multipliers.
 MIN_MARGIN, MAX_DISCOUNT, MAX_MARKUP = 0.10, 0.40, 0.50
@@ -30,7 +33,7 @@ CONFIDENCE = {
     "ensemble": 0.9,
 }
 SEGMENTS = {"premium": 1.2, "standard": 1.0, "price_sensitive": 0.8}
-GRID = 201
+COARSE, FINE, ROUNDS = 16, 4, 4  # intervals of the first grid, of a step of a later one, later grids
 ARMS = 10
 
 C = F.col
@@ -106,17 +109,44 @@ def strategy_elasticity_prior(ctx: DataFrame) -> DataFrame:
     return ctx.withColumn("elasticity", elasticity_prior())
 
 
-def best_on_grid(score: Callable[[Column], Column], n: int = GRID) -> Column:
-    """The grid price between floor and top price with the highest score, the lowest on ties."""
-    lo, hi = _floor_price(), _top_price()
+def best_of(score: Callable[[Column], Column], prices: list[Column]) -> Column:
+    """The price with the highest score, the first one on ties."""
+    return best_on(score, len(prices), lambda i: F.get(F.array(*prices), i))
+
+
+def best_on(score: Callable[[Column], Column], n: int, price: Callable[[Column], Column]) -> Column:
+    """The best of the prices 0 to n - 1, the first one on ties."""
 
     def point(i):
-        p = lo + i * ((hi - lo) / (n - 1))
+        p = price(i)
         return F.struct(score(p).alias("s"), (-i).alias("k"), p.alias("p"))
 
     return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point))["p"]
 
 
+def narrowed(df: DataFrame, score: Callable[[Column], Column], name: str, kinks: list[Column]) -> DataFrame:
+    """`df` with the best price between floor and top price as `name`.
+
+    The best of COARSE + 1 even prices is the centre of a grid of a FINE-th of its step, and so on; the
+    vertex of the parabola through the last centre and its neighbours is the price, unless a price of `kinks`, where the
+    score may bend, scores higher. Prices have four places. About 50 scores per row.
+    """
+    lo, hi = _floor_price(), _top_price()
+    width = hi - lo
+    df = df.withColumn(name, best_on(score, COARSE + 1, lambda i: lo + width * (i / COARSE)))
+    for r in range(1, ROUNDS + 1):
+        step = width / (COARSE * FINE**r)
+        df = df.withColumn(name, best_on(score, 2 * FINE - 1, lambda i, step=step: _clip(C(name) + step * (i + 1 - FINE), lo, hi)))
+    step = width / (COARSE * FINE**ROUNDS)
+    df = df.withColumn("__y", F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: score(C(name) + step * k)))
+    left, mid, right = (C("__y")[k] for k in range(3))
+    bend = left - 2 * mid + right
+    inside = (mid >= left) & (mid >= right) & (bend < 0) & (C(name) - step >= lo) & (C(name) + step <= hi)
+    df = df.withColumn(name, F.when(inside, C(name) - step / 2 * ((right - left) / bend)).otherwise(C(name)))
+    kinks = [F.when((k > lo) & (k < hi), k).otherwise(C(name)) for k in kinks]
+    return df.withColumn(name, places(best_of(score, [C(name), *kinks]), 4)).drop("__y")
+
+
 def _at(p: Column) -> Column:
     """Demand at price p by the context's elasticity."""
     return C("demand_forecast") * F.pow(p / C("current_price"), C("elasticity"))
@@ -128,10 +158,10 @@ def _risk(change: Column, medium: float, high: float) -> Column:
 
 def _result(df: DataFrame, name: str, price: Column, demand: Callable[[Column], Column], reasoning: Column,
             drivers: Column, risk: tuple[float, float] | None = None) -> DataFrame:
-    """The recommendation columns of one strategy next to the context."""
-    out = df.withColumn("recommended_price", price)
+    """The recommendation columns of one strategy next to the context; money follows from price and demand at six places."""
+    out = df.withColumn("recommended_price", places(price, 6))
     p = C("recommended_price")
-    out = out.withColumn("expected_demand", demand(p))
+    out = out.withColumn("expected_demand", places(demand(p), 6))
     d = C("expected_demand")
     change = (p - C("current_price")) / C("current_price")
     return out.withColumns(
@@ -209,7 +239,10 @@ def strategy_rule_based(ctx: DataFrame) -> DataFrame:
 
 
 def elasticity_price() -> Column:
-    return best_on_grid(lambda p: (p - C("base_cost")) * _at(p))
+    """Where profit at constant elasticity e is highest: cost * e / (1 + e) for elastic demand, else the top price."""
+    e = C("elasticity")
+    best = F.when(e < -1, C("base_cost") * e / (1 + e)).otherwise(_top_price())
+    return _clip(best, _floor_price(), _top_price())
 
 
 def strategy_elasticity(ctx: DataFrame) -> DataFrame:
@@ -218,38 +251,44 @@ def strategy_elasticity(ctx: DataFrame) -> DataFrame:
                    _map(elasticity=F.abs("elasticity") * 100), (0.1, 0.2))
 
 
-def optimization_price() -> Column:
-    def score(p):
-        final = _at(p) * C("seasonality_index")
-        near = F.exp(-2 * F.abs(p - C("competitor_price")) / C("competitor_price"))
-        final = F.when(C("competitor_price") > 0, final * (0.7 + 0.3 * near)).otherwise(final)
-        over = F.greatest(final - C("current_stock"), F.lit(0.0))
-        under = F.greatest(_floor_price() - p, F.lit(0.0))
-        share = final / (C("demand_forecast") * 1.5 + 1e-6)
-        gain = 0.6 * ((p - C("base_cost")) * final) + 0.3 * (p * final) + 0.1 * share * 1000
-        return gain - (over * over * 10 + under * under * 100)
+def optimization_score(p: Column) -> Column:
+    """Weighted profit, revenue and share at a price, less penalties for demand over the stock and for a price under the floor."""
+    final = _at(p) * C("seasonality_index")
+    near = F.exp(-2 * F.abs(p - C("competitor_price")) / C("competitor_price"))
+    final = F.when(C("competitor_price") > 0, final * (0.7 + 0.3 * near)).otherwise(final)
+    over = F.greatest(final - C("current_stock"), F.lit(0.0))
+    under = F.greatest(_floor_price() - p, F.lit(0.0))
+    share = final / (C("demand_forecast") * 1.5 + 1e-6)
+    gain = 0.6 * ((p - C("base_cost")) * final) + 0.3 * (p * final) + 0.1 * share * 1000
+    return gain - (over * over * 10 + under * under * 100)
 
-    return best_on_grid(score)
+
+def optimization_price(df: DataFrame, name: str) -> DataFrame:
+    return narrowed(df, optimization_score, name, [C("competitor_price")])
 
 
 def strategy_optimization(ctx: DataFrame) -> DataFrame:
-    df = strategy_elasticity_prior(ctx)
-    return _result(df, "optimization", optimization_price(), lambda p: _at(p) * C("seasonality_index"),
-                   F.lit("Profit, revenue and share on a price grid"), _map(optimization_score=F.lit(90)))
+    df = optimization_price(strategy_elasticity_prior(ctx), "__best")
+    return _result(df, "optimization", C("__best"), lambda p: _at(p) * C("seasonality_index"),
+                   F.lit("Profit, revenue and share"), _map(optimization_score=F.lit(90))).drop("__best")
 
 
 def multi_objective_price() -> Column:
-    def score(p):
-        d = _at(p)
-        return 0.5 * ((p - C("base_cost")) * d) + 0.3 * (p * d) + 0.2 * (d / (C("demand_forecast") * 1.2 + 1e-6)) * 10000
+    """The best of floor, top and the price where the slope of the weighted objectives is 0.
 
-    return best_on_grid(score)
+    The objectives are d * (0.8 p - b) with b = 0.5 cost - 2000 / (1.2 forecast + 1e-6), so the slope is 0 at
+    e b / (0.8 (1 + e)).
+    """
+    e, lo, hi = C("elasticity"), _floor_price(), _top_price()
+    b = 0.5 * C("base_cost") - F.lit(2000.0) / (C("demand_forecast") * 1.2 + 1e-6)
+    flat = F.when(e != -1, e * b / (0.8 * (1 + e))).otherwise(lo)
+    return best_of(lambda p: _at(p) * (0.8 * p - b), [lo, hi, _clip(flat, lo, hi)])
 
 
 def strategy_multi_objective(ctx: DataFrame) -> DataFrame:
     df = strategy_elasticity_prior(ctx)
     drivers = _map(profit_weight=F.lit(50), revenue_weight=F.lit(30), share_weight=F.lit(20))
-    return _result(df, "multi_objective", multi_objective_price(), _at, F.lit("Weighted objectives on a price grid"), drivers)
+    return _result(df, "multi_objective", multi_objective_price(), _at, F.lit("Weighted objectives"), drivers)
 
 
 def segments_price() -> Column:
@@ -298,33 +337,27 @@ def strategy_state_action(ctx: DataFrame, qtable: DataFrame, eps: float = 0.1, s
                    _map(q_value=F.abs(value) * 10))
 
 
-def arm_price(i: Column) -> Column:
-    lo, hi = _floor_price(), _top_price()
-    return lo + i * ((hi - lo) / (ARMS - 1))
-
-
 def strategy_bandit(ctx: DataFrame, arms: DataFrame, seed: int = 42, draw: bool = False) -> DataFrame:
     """One of ten price arms by its Beta posterior: by a seeded draw, or by the posterior mean.
 
-    `arms` holds (product_id, arm, wins, losses); unseen arms keep the flat prior.
+    `arms` holds (product_id, low, high, wins, losses) as `arm_results` makes them; the arms are even steps from low to
+    high, their price is kept within the bounds of the context. A context without a row has
+    the flat prior on arms from its floor to its top price.
     """
-    idx = range(ARMS)
-
-    def per_arm(c):
-        return F.array(*[F.coalesce(F.sum(F.when(C("arm") == i, C(c))), F.lit(0)).cast("double") for i in idx])
-
-    known = arms.groupBy("product_id").agg(per_arm("wins").alias("__w"), per_arm("losses").alias("__l"))
+    known = arms.select("product_id", *[C(c).alias(f"__{c}") for c in ("low", "high", "wins", "losses")])
     zeros = F.array(*[F.lit(0.0)] * ARMS)
     df = strategy_elasticity_prior(ctx).join(known, "product_id", "left").withColumns(
-        {"__w": F.coalesce("__w", zeros), "__l": F.coalesce("__l", zeros)}
+        {"__wins": F.coalesce("__wins", zeros), "__losses": F.coalesce("__losses", zeros),
+         "__low": F.coalesce("__low", _floor_price()), "__high": F.coalesce("__high", _top_price())}
     )
     if draw:
-        df = df.withColumn("__s", beta_draws(seed)("product_id", "__w", "__l"))
+        df = df.withColumn("__s", beta_draws(seed)("product_id", "__wins", "__losses"))
     else:
-        df = df.withColumn("__s", F.zip_with("__w", "__l", lambda w, lo: (w + 1) / (w + lo + 2)))
+        df = df.withColumn("__s", F.zip_with("__wins", "__losses", lambda w, lo: (w + 1) / (w + lo + 2)))
     df = df.withColumn("arm", (F.array_position("__s", F.array_max("__s")) - 1).cast("int"))
-    return _result(df, "multi_armed_bandit", arm_price(C("arm")), _at, F.lit("Best price arm"),
-                   _map(bandit_confidence=F.array_max("__s") * 100)).drop("__w", "__l", "__s")
+    price = _clip(C("__low") + C("arm") * ((C("__high") - C("__low")) / (ARMS - 1)), _floor_price(), _top_price())
+    return _result(df, "multi_armed_bandit", price, _at, F.lit("Best price arm"),
+                   _map(bandit_confidence=F.array_max("__s") * 100)).drop("__low", "__high", "__wins", "__losses", "__s")
 
 
 def beta_draws(seed: int):
@@ -351,10 +384,10 @@ def strategy_ensemble(
     """
     weights = weights or WEIGHTS
     df = strategy_elasticity_prior(ctx)
-    df = df.withColumns({f"__p_{n}": m for n, m in members.items() if isinstance(m, Column)})
+    df = df.withColumns({f"__p_{n}": places(m, 6) for n, m in members.items() if isinstance(m, Column)})
     for name, member in members.items():
         if not isinstance(member, Column):
-            df = member(df).select(*df.columns, C("recommended_price").alias(f"__p_{name}"))
+            df = member(df).select(*df.columns, places("recommended_price", 6).alias(f"__p_{name}"))
     w = {name: weights[name] * CONFIDENCE[name] for name in members}
     votes = [C(f"__p_{n}") * x for n, x in w.items()]
     price = sum(votes[1:], votes[0]) / (sum(w.values()) + 1e-9)
@@ -415,12 +448,22 @@ def learned_steps(history: DataFrame) -> DataFrame:
     return rows.groupBy("state", "step").agg(F.avg("reward").alias("value"))
 
 
-def arm_results(ctx: DataFrame, history: DataFrame) -> DataFrame:
-    """Wins and losses per (product_id, arm): a past sale wins above 80 % of the expected revenue."""
-    rows = history.join(ctx, "product_id")
-    lo, width = _floor_price(), (_top_price() - _floor_price()) / (ARMS - 1)
-    arm = F.greatest(F.lit(0.0), F.least(F.lit(float(ARMS - 1)), F.round((C("sold_price") - lo) / width)))
-    won = C("sold_revenue") > C("current_price") * C("demand_forecast") * 0.8
-    return rows.groupBy("product_id", arm.cast("int").alias("arm")).agg(
-        F.count_if(won).alias("wins"), F.count_if(~won).alias("losses")
+def arm_results(history: DataFrame, key: str, time: str) -> DataFrame:
+    """(key, time, low, high, wins, losses): what each price arm had won and lost in the weeks before.
+
+    `history` has (key, time, sold_price, sold_revenue, expected_revenue), a row per product and week. The arms of a product
+    divide its own price range; a sale belongs to the nearest arm and wins above 80 % of the
+    revenue expected of it, a week without an expectation counts for neither. Running sums over the product's calendar: no week meets another.
+    """
+    every = Window.partitionBy(key)
+    before = every.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    df = history.withColumns({"low": F.min("sold_price").over(every), "high": F.max("sold_price").over(every)})
+    place = F.try_divide(C("sold_price") - C("low"), (C("high") - C("low")) / (ARMS - 1))
+    df = df.withColumns(
+        {"arm": F.coalesce(F.floor(place + 0.5), F.lit(0)).cast("int"), "won": C("sold_revenue") > C("expected_revenue") * 0.8}
     )
+
+    def per_arm(hit: Column) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(hit & (C("arm") == i), 1.0)).over(before), F.lit(0.0)) for i in range(ARMS)])
+
+    return df.select(key, time, "low", "high", per_arm(C("won")).alias("wins"), per_arm(~C("won")).alias("losses"))

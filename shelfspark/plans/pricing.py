@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expr import KEY, TIME, by
+from shelfspark.functions.expr import KEY, TIME, by, places, rows
 from shelfspark.functions.stats import sized_join
 from shelfspark.operators import aggregates as A
 from shelfspark.operators import pricing as E
@@ -186,7 +189,7 @@ query("price_simulation_profit", "product_name, new_price:6, demand_change_pct:6
 
 CTES["tests"] = """
 WITH a AS (SELECT product_name, MIN(price) AS lo, MAX(price) AS hi FROM panel GROUP BY 1)
-SELECT product_name AS product_id, LEAST(9, FLOOR((price - lo) / ((hi - lo) / 10))) AS price, price * sales_qty AS revenue, 0 AS control_price, sales_qty AS demand, week_start
+SELECT product_name AS product_id, LEAST(9, FLOOR((price - lo) / ((hi - lo) / 10))) AS price, CAST(floor(price * sales_qty * 100 + 0.5) AS BIGINT) AS cents, 0 AS control_price, sales_qty AS demand, week_start
 FROM panel JOIN a USING (product_name)"""
 
 
@@ -195,15 +198,16 @@ def price_tests(t):
     lo, hi = F.min("price").over(by()), F.max("price").over(by())
     rows = t.panel.withColumns({"lo": lo, "hi": hi})
     band = F.least(F.lit(9), F.floor((F.col("price") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)))
+    cents = F.floor(F.col("price") * F.col("sales_qty") * 100 + 0.5)  # exact sums, whatever their order
     return rows.select(
-        F.col(KEY).alias("product_id"), (F.col("price") * F.col("sales_qty")).alias("revenue"),
+        F.col(KEY).alias("product_id"), (cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).alias("revenue"),
         F.lit(0).cast("bigint").alias("control_price"), F.col("sales_qty").alias("demand"), TIME, band.alias("price"),
     )
 
 
 query("ab_test", "product_id, sample_size:i, control_price:i, control_revenue:6, variants:i, best_revenue:6, winner:i, status",
       lambda t: A.ab_test(price_tests(t)),
-      """WITH g AS (SELECT product_id, price, AVG(revenue) AS m, COUNT(*) AS n FROM tests GROUP BY 1, 2),
+      """WITH g AS (SELECT product_id, price, SUM(cents) / CAST(100 AS DOUBLE) / COUNT(*) AS m, COUNT(*) AS n FROM tests GROUP BY 1, 2),
               v AS (SELECT product_id, price, m, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY m DESC, price) AS rn FROM g WHERE price <> 0),
               s AS (SELECT product_id, SUM(n) AS sample_size, MAX(m) FILTER (price = 0) AS control_revenue, COUNT(*) FILTER (price <> 0) AS variants FROM g GROUP BY 1)
          SELECT s.*, 0 AS control_price, v.m AS best_revenue, CASE WHEN sample_size < 2 THEN NULL ELSE COALESCE(v.price, 0) END AS winner,
@@ -237,20 +241,21 @@ query("product_context", "product_id, current_price:6, base_cost:6, current_stoc
 
 CTES["ctx"] = """
 WITH l AS (SELECT *, DAY(week_start) AS dom FROM panel),
-     c AS (SELECT category, AVG(price) AS cp, SUM(sales_qty) AS cq FROM panel GROUP BY 1),
+     c AS (SELECT category, SUM(CAST(floor(price * 1e6 + 0.5) AS BIGINT)) / 1e6 / COUNT(*) AS cp, SUM(sales_qty) AS cq FROM panel GROUP BY 1),
      p AS (SELECT product_name, AVG(sales_qty) AS mq, SUM(sales_qty) AS tq FROM panel GROUP BY 1)
 SELECT product_name || '_' || week_start AS product_id, price AS current_price, 0.65 * price AS base_cost, stock_on_hand AS current_stock, sales_qty AS demand_forecast, cp AS competitor_price,
        CASE category WHEN 'CAT0' THEN 'luxury' WHEN 'CAT1' THEN 'necessity' WHEN 'CAT2' THEN 'general' WHEN 'CAT3' THEN 'discretionary' ELSE 'commodity' END AS category,
        LEAST(1.3, GREATEST(0.8, sales_qty / mq)) AS seasonality_index, 2 * tq / cq AS market_share, 1.0 AS price_sensitivity_score, CASE WHEN dom % 3 = 0 THEN 0.8 ELSE 0.5 END AS brand_loyalty_score,
        CASE WHEN dom % 2 = 1 THEN dom % 7 END AS days_until_expiry, promotion = 1 AS is_promotion, CASE WHEN dom % 4 = 0 THEN 2 ELSE 0 END AS cross_n, dom % 5 = 0 AS own_segments,
-       dom % 2 = 0 AS is_weekend, holiday_flag = 1 AS is_holiday, 12 + dom % 10 AS hour_of_day, CASE WHEN promotion = 0 THEN elasticity END AS elasticity_estimate
+       dom % 2 = 0 AS is_weekend, holiday_flag = 1 AS is_holiday, 12 + dom % 10 AS hour_of_day, CASE WHEN promotion = 0 THEN floor(elasticity * 1e9 + 0.5) / 1e9 END AS elasticity_estimate
 FROM l JOIN c USING (category) JOIN p USING (product_name) JOIN elas_simple USING (product_name)"""
 
 
 def contexts(t):
     """Every week of every product as a pricing context."""
     weeks = t.panel.select(KEY, TIME, "category", "price", "stock_on_hand", "sales_qty", "promotion", "holiday_flag")
-    cat = t.panel.groupBy("category").agg(F.avg("price").alias("cp"), F.sum("sales_qty").alias("cq"))
+    micro = F.sum(F.floor(F.col("price") * F.lit(1e6) + F.lit(0.5)))  # a whole number: the mean does not depend on the order of the rows
+    cat = t.panel.groupBy("category").agg((micro / F.lit(1e6) / F.count(F.lit(1))).alias("cp"), F.sum("sales_qty").alias("cq"))
     prod = t.panel.groupBy(KEY).agg(F.avg("sales_qty").alias("mq"), F.sum("sales_qty").alias("tq"))
     est = E.elasticity_simple(t.panel).select(KEY, F.col("elasticity").alias("est"))
     rows = sized_join(weeks, cat, "category", "inner").join(prod, KEY).join(est, KEY)
@@ -269,7 +274,7 @@ def contexts(t):
         F.when(dom % 4 == 0, F.array("category", KEY)).otherwise(F.array().cast("array<string>")).alias("cross_sell_products"),
         F.when(dom % 5 == 0, F.create_map(F.lit("vip"), F.lit(1.3), F.lit("basic"), F.lit(0.9))).alias("customer_segments"),
         F.weekday(TIME).alias("day_of_week"), (dom % 2 == 0).alias("is_weekend"), (F.col("holiday_flag") == 1).alias("is_holiday"),
-        (12 + dom % 10).alias("hour_of_day"), F.when(F.col("promotion") == 0, F.col("est")).alias("elasticity_estimate"),
+        (12 + dom % 10).alias("hour_of_day"), F.when(F.col("promotion") == 0, places("est", 9)).alias("elasticity_estimate"),
     )
 
 
@@ -282,19 +287,42 @@ query("strategy_elasticity_prior", "product_id, elasticity:6", lambda t: S.strat
 AT = "demand_forecast * POW({p} / current_price, elasticity)"
 
 
+def six(c):
+    return f"floor({c} * 1e6 + 0.5e0) / 1e6"
+
+
 def rec_sql(name, src, demand=AT.format(p="p"), risk=None):
     """Recommendation columns over a source that adds the price p to the contexts."""
     level = "'Medium'" if risk is None else f"CASE WHEN ABS((p - current_price) / current_price) > {risk[1]} THEN 'High' WHEN ABS((p - current_price) / current_price) > {risk[0]} THEN 'Medium' ELSE 'Low' END"
     return f"""SELECT product_id, current_price, base_cost, demand_forecast, p AS recommended_price, d AS expected_demand, p * d AS expected_revenue, (p - base_cost) * d AS expected_profit,
         LEAST(1.0, d / (demand_forecast * 1.5)) AS expected_market_share, {S.CONFIDENCE[name]} AS confidence_score, '{name}' AS strategy_used, {level} AS risk_assessment
-        FROM (SELECT *, {demand} AS d FROM ({src}))"""
+        FROM (SELECT * EXCLUDE (d0), {six('d0')} AS d FROM (SELECT *, {demand} AS d0 FROM (SELECT * REPLACE ({six('p')} AS p) FROM ({src}))))"""
+
 
+def best_sql(src, score, prices):
+    """`src` with the price of the highest score, the first on ties, as p; `prices` is a list of expressions."""
+    points = "[" + ", ".join(f"CAST({p} AS DOUBLE)" for p in prices) + "]"
+    return f"""SELECT * EXCLUDE (q, i, s) REPLACE (q AS p) FROM (SELECT *, {score} AS s FROM (SELECT *, unnest({points}) AS q, unnest(range({len(prices)})) AS i FROM ({src})))
+               QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY s DESC, i) = 1"""
 
-def grid_sql(score):
-    return f"""SELECT * FROM (SELECT *, {score} AS score FROM (SELECT ctxe.*, i, lo + i * ((hi - lo) / 200) AS p, demand_forecast * POW((lo + i * ((hi - lo) / 200)) / current_price, elasticity) AS dm FROM ctxe, range(201) r(i)))
-               QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY score DESC, i) = 1"""
 
+def narrowed_sql(score, kinks):
+    """The narrowing grids and the parabola, from their definition; `score` is an expression of q."""
+    sql = best_sql("SELECT *, 0.0e0 AS p FROM ctxe", score, [f"lo + (hi - lo) * {i / S.COARSE}e0" for i in range(S.COARSE + 1)])
+    for r in range(1, S.ROUNDS + 1):
+        step = f"(hi - lo) / {S.COARSE * S.FINE**r}"
+        sql = best_sql(sql, score, [f"LEAST(GREATEST(p + {step} * {k}, lo), hi)" for k in range(1 - S.FINE, S.FINE)])
+    step = f"((hi - lo) / {S.COARSE * S.FINE**S.ROUNDS})"
+    sql = f"SELECT *, p - {step} AS p0, p AS p1, p + {step} AS p2 FROM ({sql})"
+    for k in range(3):
+        sql = f"SELECT * EXCLUDE (q), {score} AS y{k} FROM (SELECT *, p{k} AS q FROM ({sql}))"
+    sql = f"""SELECT * EXCLUDE (p0, p1, p2, y0, y1, y2) REPLACE (CASE WHEN y1 >= y0 AND y1 >= y2 AND y0 - 2 * y1 + y2 < 0 AND p0 >= lo AND p2 <= hi
+              THEN p - {step} / 2 * ((y2 - y0) / (y0 - 2 * y1 + y2)) ELSE p END AS p) FROM ({sql})"""
+    sql = best_sql(sql, score, ["p", *[f"CASE WHEN {k} > lo AND {k} < hi THEN {k} ELSE p END" for k in kinks]])
+    return f"SELECT * REPLACE (floor(p * 1e4 + 0.5e0) / 1e4 AS p) FROM ({sql})"
 
+
+DEMAND = "demand_forecast * POW(q / current_price, elasticity)"
 CTES["r_rule"] = rec_sql("rule_based", """
   WITH a AS (SELECT *, demand_forecast / GREATEST(current_stock, 1.0) AS v, CASE WHEN competitor_price > 0 THEN (current_price - competitor_price) / competitor_price END AS gap FROM ctxe),
        b AS (SELECT *, current_price * (1 + CASE WHEN v < 0.3 THEN -LEAST(0.25, (0.3 - v) * 0.5) WHEN v > 0.8 THEN LEAST(0.20, (v - 0.8) * 0.3) ELSE 0 END)
@@ -304,13 +332,15 @@ CTES["r_rule"] = rec_sql("rule_based", """
                 * (1 - CASE WHEN days_until_expiry <= 1 THEN 0.40 WHEN days_until_expiry <= 2 THEN 0.25 WHEN days_until_expiry <= 4 THEN 0.15 ELSE 0 END) * (1 - LEAST(0.10, cross_n * 0.03)) AS p2 FROM c)
   SELECT *, LEAST(GREATEST(p2, GREATEST(lo, current_price * 0.6)), hi) AS p FROM d""",
     "demand_forecast * GREATEST(0, 1 - (p - current_price) / current_price * 0.5)", (0.1, 0.2))
-CTES["r_elas"] = rec_sql("elasticity", grid_sql("(p - base_cost) * dm"), risk=(0.1, 0.2))
-CTES["r_opt"] = rec_sql("optimization", f"""SELECT * FROM (SELECT *, 0.6 * ((p - base_cost) * f) + 0.3 * (p * f) + 0.1 * (f / (demand_forecast * 1.5 + 1e-6)) * 1000
-        - (POW(GREATEST(f - current_stock, 0), 2) * 10 + POW(GREATEST(lo - p, 0), 2) * 100) AS score
-    FROM (SELECT *, dm * seasonality_index * (0.7 + 0.3 * EXP(-2 * ABS(p - competitor_price) / competitor_price)) AS f FROM
-      (SELECT ctxe.*, i, lo + i * ((hi - lo) / 200) AS p, demand_forecast * POW((lo + i * ((hi - lo) / 200)) / current_price, elasticity) AS dm FROM ctxe, range(201) r(i))))
-    QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY score DESC, i) = 1""", AT.format(p="p") + " * seasonality_index")
-CTES["r_multi"] = rec_sql("multi_objective", grid_sql("0.5 * ((p - base_cost) * dm) + 0.3 * (p * dm) + 0.2 * (dm / (demand_forecast * 1.2 + 1e-6)) * 10000"))
+CTES["r_elas"] = rec_sql("elasticity", "SELECT *, LEAST(GREATEST(CASE WHEN elasticity < -1 THEN base_cost * elasticity / (1 + elasticity) ELSE hi END, lo), hi) AS p FROM ctxe", risk=(0.1, 0.2))
+_final = f"({DEMAND} * seasonality_index * (0.7 + 0.3 * EXP(-2 * ABS(q - competitor_price) / competitor_price)))"
+CTES["r_opt"] = rec_sql("optimization", narrowed_sql(
+    f"""0.6 * ((q - base_cost) * {_final}) + 0.3 * (q * {_final}) + 0.1 * ({_final} / (demand_forecast * 1.5 + 1e-6)) * 1000
+        - (POW(GREATEST({_final} - current_stock, 0), 2) * 10 + POW(GREATEST(lo - q, 0), 2) * 100)""", ["competitor_price"]), AT.format(p="p") + " * seasonality_index")
+_b = "(0.5 * base_cost - 2000 / (demand_forecast * 1.2 + 1e-6))"
+CTES["r_multi"] = rec_sql("multi_objective", best_sql(
+    "SELECT *, 0.0e0 AS p FROM ctxe", f"0.5 * ((q - base_cost) * {DEMAND}) + 0.3 * (q * {DEMAND}) + 0.2 * ({DEMAND} / (demand_forecast * 1.2 + 1e-6)) * 10000",
+    ["lo", "hi", f"CASE WHEN elasticity <> -1 THEN LEAST(GREATEST(elasticity * {_b} / (0.8 * (1 + elasticity)), lo), hi) ELSE lo END"]))
 CTES["r_seg"] = rec_sql("customer_segmentation", "SELECT *, CASE WHEN own_segments THEN (current_price * 1.3 + current_price * 0.9) / 2 ELSE (current_price * 1.2 + current_price + current_price * 0.8) / 3 END AS p FROM ctxe")
 
 STATE_SQL = """CASE WHEN stock > qty * 2 THEN 'high' WHEN stock > qty THEN 'medium' ELSE 'low' END || '_' || CASE WHEN qty > stock * 0.7 THEN 'high' WHEN qty > stock * 0.3 THEN 'medium' ELSE 'low' END
@@ -324,12 +354,19 @@ CTES["r_state"] = rec_sql("reinforcement_learning", f"""
        a AS (SELECT s.*, i, COALESCE(q.value, 0) AS v FROM s CROSS JOIN range(7) r(i) LEFT JOIN qtable q ON q.state = s.state AND q.step = i),
        b AS (SELECT * FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY v DESC, i) = 1)
   SELECT *, LEAST(GREATEST(current_price * (1 + (i - 3) * 0.05), lo), hi) AS p FROM b""")
+CTES["arms"] = """
+  WITH h AS (SELECT product_name, week_start, price, sales_qty, MIN(price) OVER (PARTITION BY product_name) AS low, MAX(price) OVER (PARTITION BY product_name) AS high,
+               AVG(sales_qty) OVER (PARTITION BY product_name ORDER BY week_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS expected FROM panel)
+  SELECT *, CASE WHEN high > low THEN FLOOR((price - low) / ((high - low) / 9) + 0.5) ELSE 0 END AS arm, price * sales_qty > price * expected * 0.8e0 AS won FROM h"""
 CTES["r_bandit"] = rec_sql("multi_armed_bandit", """
-  WITH h AS (SELECT product_name || '_m' || MONTH(week_start) AS product_id, price AS sp, price * sales_qty AS rev FROM panel),
-       w AS (SELECT product_id, GREATEST(0, LEAST(9, ROUND((sp - lo) / ((hi - lo) / 9)))) AS arm, COUNT(*) FILTER (rev > current_price * demand_forecast * 0.8) AS wins, COUNT(*) AS n
-             FROM h JOIN ctxe USING (product_id) GROUP BY 1, 2),
-       s AS (SELECT ctxe.*, i, (COALESCE(wins, 0) + 1) / (COALESCE(n, 0) + 2) AS v FROM ctxe CROSS JOIN range(10) r(i) LEFT JOIN w ON w.product_id = ctxe.product_id AND w.arm = i)
-  SELECT *, lo + i * ((hi - lo) / 9) AS p FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY v DESC, i) = 1""")
+  WITH s AS (SELECT a.product_name || '_' || a.week_start AS product_id, i, ANY_VALUE(a.low) AS low, ANY_VALUE(a.high) AS high,
+               (COUNT(*) FILTER (b.won) + 1) / (COUNT(*) FILTER (b.won) + COUNT(*) FILTER (NOT b.won) + 2) AS v
+             FROM arms a CROSS JOIN range(10) r(i) LEFT JOIN arms b ON b.product_name = a.product_name AND b.week_start < a.week_start AND b.arm = i GROUP BY 1, 2),
+       w AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY v DESC, i) = 1)
+  SELECT ctxe.*, LEAST(GREATEST(low + i * ((high - low) / 9), lo), hi) AS p FROM ctxe JOIN w USING (product_id)""")
+for _name in ("ctx", "ctxe", "r_rule", "r_elas", "r_opt", "r_multi", "r_seg", "qtable", "r_state", "r_bandit"):
+    # plain decimals are exact in SQL but doubles in the operators
+    CTES[_name] = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", CTES[_name])
 
 
 def history(t):
@@ -343,12 +380,19 @@ def history(t):
 
 
 def sales_history(t):
+    """Weeks with their revenue and the one expected from the mean quantity of the four weeks before."""
+    past = F.avg("sales_qty").over(rows(-4, -1))
     return t.panel.select(
-        F.concat(KEY, F.lit("_m"), F.month(TIME).cast("string")).alias("product_id"), F.col("price").alias("sold_price"),
-        (F.col("price") * F.col("sales_qty")).alias("sold_revenue"),
+        KEY, TIME, F.col("price").alias("sold_price"), (F.col("price") * F.col("sales_qty")).alias("sold_revenue"), (F.col("price") * past).alias("expected_revenue"),
     )
 
 
+def arms(t):
+    """Arm results of every week of every product, by context."""
+    found = S.arm_results(sales_history(t), KEY, TIME)
+    return found.withColumn("product_id", F.concat_ws("_", KEY, F.col(TIME).cast("string")))
+
+
 STRATEGIES = {
     "strategy_rule_based": (lambda t: S.strategy_rule_based(contexts(t)), "r_rule"),
     "strategy_elasticity": (lambda t: S.strategy_elasticity(contexts(t)), "r_elas"),
@@ -356,25 +400,25 @@ STRATEGIES = {
     "strategy_multi_objective": (lambda t: S.strategy_multi_objective(contexts(t)), "r_multi"),
     "strategy_segments": (lambda t: S.strategy_segments(contexts(t)), "r_seg"),
     "strategy_state_action": (lambda t: S.strategy_state_action(contexts(t), S.learned_steps(history(t)), eps=0.0), "r_state"),
-    "strategy_bandit": (lambda t: S.strategy_bandit(contexts(t), S.arm_results(contexts(t), sales_history(t))), "r_bandit"),
+    "strategy_bandit": (lambda t: S.strategy_bandit(contexts(t), arms(t)), "r_bandit"),
 }
-REC = "product_id, current_price:6, recommended_price:3~, expected_demand:3~, expected_revenue:3~, expected_profit:3~, expected_market_share:4~, confidence_score:2, strategy_used, risk_assessment"
+REC = "product_id, current_price:6, recommended_price:6, expected_demand:6, expected_revenue:6, expected_profit:6, expected_market_share:6, confidence_score:2, strategy_used, risk_assessment"
 for _name, (_build, _view) in STRATEGIES.items():
     query(_name, REC, _build, f"SELECT * FROM {_view}")
 
 # draws are seeded but have no SQL twin; the exploring mode likewise
-query("strategy_bandit_draw", REC, lambda t: S.strategy_bandit(contexts(t), S.arm_results(contexts(t), sales_history(t)), draw=True))
+query("strategy_bandit_draw", REC, lambda t: S.strategy_bandit(contexts(t), arms(t), draw=True))
 query("strategy_state_action_explore", REC, lambda t: S.strategy_state_action(contexts(t), S.learned_steps(history(t)), eps=0.1))
 
 
-def members(t, ctx):
+def members(t):
     """Member strategies by name: price expressions, and functions of the context rows."""
-    table, arms = S.learned_steps(history(t)), S.arm_results(ctx, sales_history(t))
+    table, results = S.learned_steps(history(t)), arms(t)
     return {
-        "rule_based": S.rule_price(), "elasticity": S.elasticity_price(), "optimization": S.optimization_price(),
+        "rule_based": S.rule_price(), "elasticity": S.elasticity_price(), "optimization": lambda df: S.optimization_price(df, "recommended_price"),
         "multi_objective": S.multi_objective_price(), "customer_segmentation": S.segments_price(),
         "reinforcement_learning": lambda df: S.strategy_state_action(df, table, eps=0.0),
-        "multi_armed_bandit": lambda df: S.strategy_bandit(df, arms),
+        "multi_armed_bandit": lambda df: S.strategy_bandit(df, results),
     }
 
 
@@ -386,7 +430,7 @@ CTES["r_ens"] = rec_sql("ensemble", f"""SELECT ctxe.*, p FROM ctxe JOIN (SELECT
 
 def ensemble(t):
     ctx = written(contexts(t), "contexts")  # read by the members and by the arm results
-    return S.strategy_ensemble(ctx, members(t, ctx))
+    return S.strategy_ensemble(ctx, members(t))
 
 
 query("strategy_ensemble", REC, ensemble, "SELECT * FROM r_ens")
@@ -394,11 +438,11 @@ query("batch_pricing", "product_id, current_price:9, recommended_price:6, change
       lambda t: S.batch_pricing(ensemble(t)),
       "SELECT *, (recommended_price - current_price) / current_price * 100 AS change_pct, 'ensemble_diversity' AS top_features FROM r_ens")
 query("pricing_report", "products:i, avg_price_change:6, revenue_lift:6, profit_lift:6, avg_confidence:6, risk_low:i, risk_medium:i, risk_high:i, top_opportunities",
-      lambda t: S.pricing_report(S.strategy_rule_based(contexts(t))),
-      """WITH g AS (SELECT product_id, expected_profit - (current_price - base_cost) * demand_forecast AS gain FROM r_rule)
+      lambda t: S.pricing_report(ensemble(t)),
+      """WITH g AS (SELECT product_id, expected_profit - (current_price - base_cost) * demand_forecast AS gain FROM r_ens)
          SELECT COUNT(*) AS products, AVG((recommended_price - current_price) / current_price) * 100 AS avg_price_change,
                 (SUM(expected_revenue) - SUM(current_price * demand_forecast)) / GREATEST(1.0, SUM(current_price * demand_forecast)) * 100 AS revenue_lift,
                 (SUM(expected_profit) - SUM((current_price - base_cost) * demand_forecast)) / GREATEST(1.0, SUM((current_price - base_cost) * demand_forecast)) * 100 AS profit_lift,
                 AVG(confidence_score) * 100 AS avg_confidence, COUNT(*) FILTER (risk_assessment = 'Low') AS risk_low, COUNT(*) FILTER (risk_assessment = 'Medium') AS risk_medium,
                 COUNT(*) FILTER (risk_assessment = 'High') AS risk_high,
-                (SELECT STRING_AGG(product_id, ', ' ORDER BY gain DESC, product_id) FROM (SELECT * FROM g ORDER BY gain DESC, product_id LIMIT 10)) AS top_opportunities FROM r_rule""")
+                (SELECT STRING_AGG(product_id, ', ' ORDER BY gain DESC, product_id) FROM (SELECT * FROM g ORDER BY gain DESC, product_id LIMIT 10)) AS top_opportunities FROM r_ens""")

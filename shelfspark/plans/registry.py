@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.sources.panel import Tables
@@ -17,8 +17,8 @@ CTES: dict[str, str] = {}  # shared SQL views, in dependency order
 
 TYPES = {"i": ("bigint", "BIGINT"), "d": ("date", "DATE"), "s": ("string", "VARCHAR"), "b": ("boolean", "BOOLEAN")}
 
-# large amounts are often exact halves of the last place, where the last bit of a sum would decide the rounding
-OFF_HALF = 0.0000271
+# scaled amounts from this size on have no fraction that a double could hold
+WHOLE = 9007199254740992.0
 
 
 def _spec(spec: str) -> list[tuple[str, str]]:
@@ -29,15 +29,24 @@ def _spec(spec: str) -> list[tuple[str, str]]:
     return out
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Half up in plain double arithmetic; the built-in round goes through decimal text, which another engine need not do."""
+    scaled = c.cast("double") * F.lit(10.0**places)
+    return F.when(F.abs(scaled) < F.lit(WHOLE), F.floor(scaled + F.lit(0.5)) / F.lit(10.0**places)).otherwise(c.cast("double"))
+
+
+def rounded_sql(c: str, places: int) -> str:
+    x, by = f"CAST({c} AS DOUBLE)", f"CAST(1e{places} AS DOUBLE)"
+    return f"CASE WHEN abs({x} * {by}) < CAST({WHOLE} AS DOUBLE) THEN floor({x} * {by} + CAST(0.5 AS DOUBLE)) / {by} ELSE {x} END"
+
+
 def shaped(df: DataFrame, spec: str) -> DataFrame:
-    """Select, cast and round the result columns named in `spec` (x:6 rounds to 6 places, x:3~ to 3 with the cut off the halves)."""
+    """Select, cast and round the result columns named in `spec` (x:6 rounds to 6 places)."""
     cols = []
     for name, kind in _spec(spec):
         c = F.col(f"`{name}`")
-        if kind.endswith("~"):
-            c = F.round(c.cast("double") + OFF_HALF, int(kind[:-1]))
-        elif kind.isdigit():
-            c = F.round(c.cast("double"), int(kind))
+        if kind.isdigit():
+            c = rounded(c, int(kind))
         elif kind:
             c = c.cast(TYPES[kind][0])
         cols.append(c.alias(name))
@@ -47,14 +56,13 @@ def shaped(df: DataFrame, spec: str) -> DataFrame:
 def shaped_sql(sql: str, spec: str) -> str:
     cols = []
     for name, kind in _spec(spec):
-        if kind.endswith("~"):
-            cols.append(f'ROUND(CAST("{name}" AS DOUBLE) + {OFF_HALF}, {kind[:-1]}) + 0.0 AS "{name}"')
-        elif kind.isdigit():
-            cols.append(f'ROUND(CAST("{name}" AS DOUBLE), {kind}) + 0.0 AS "{name}"')
+        quoted = f'"{name}"'
+        if kind.isdigit():
+            cols.append(f"{rounded_sql(quoted, int(kind))} AS {quoted}")
         elif kind:
-            cols.append(f'CAST("{name}" AS {TYPES[kind][1]}) AS "{name}"')
+            cols.append(f"CAST({quoted} AS {TYPES[kind][1]}) AS {quoted}")
         else:
-            cols.append(f'"{name}"')
+            cols.append(quoted)
     return f"SELECT {', '.join(cols)} FROM ({with_views(sql)}) result"
 
 

@@ -184,21 +184,49 @@ def test_harmonic_forecast_follows_a_season(spark, tables):
     assert np.abs(np.array([r.yhat for r in got]) - want).mean() < 4
 
 
-def test_grid_price_is_the_best_of_the_grid(spark):
-    ctx = S.product_context(
-        spark.createDataFrame([("A", "20", 13.0, 200.0, 100.0)], "id string, p string, c double, s double, d double"),
-        {"product_id": "id", "current_price": "p", "base_cost": "c", "current_stock": "s", "demand_forecast": "d"},
-    )
-    r = S.strategy_elasticity(ctx).first()
-    grid = np.linspace(13 * 1.1, 30, 201)
-    score = (grid - 13) * 100 * (grid / 20) ** -1.5
-    assert r.recommended_price == pytest.approx(grid[score.argmax()])
+def test_searched_prices_are_the_best(spark, tables):
+    """Against 100,001 even prices per context, over elastic and inelastic demand, with and without a bend at the competitor's price."""
+    ctx = PP.contexts(tables).where("pmod(xxhash64(product_id), 200) = 0")
+    some = ctx.withColumn("elasticity_estimate", F.lit(None).cast("double")).withColumn("category", F.lit("luxury"))
+    ctx = ctx.union(some.withColumn("price_sensitivity_score", F.lit(0.4))).union(some.withColumn("price_sensitivity_score", F.lit(4.0)))
+    x = np.linspace(0, 1, 100_001)
+    for strategy, score in (
+        (S.strategy_elasticity, lambda r, p, d: (p - r.base_cost) * d),
+        (S.strategy_multi_objective, lambda r, p, d: 0.5 * (p - r.base_cost) * d + 0.3 * p * d + 0.2 * d / (r.demand_forecast * 1.2 + 1e-6) * 10000),
+        (S.strategy_optimization, lambda r, p, d: opt_score(r, p, d)),
+    ):
+        found = strategy(ctx).collect()
+        assert len(found) > 40
+        for r in found:
+            lo, hi = r.base_cost * 1.1, r.current_price * 1.5
+            at = lambda p, r=r: score(r, p, r.demand_forecast * (p / r.current_price) ** r.elasticity)
+            grid = at(lo + (hi - lo) * x)
+            assert at(r.recommended_price) >= grid.max() - 1e-5 * abs(grid.max()), (strategy.__name__, r)  # prices have four places
+
+
+def opt_score(r, p, d):
+    f = d * r.seasonality_index * (0.7 + 0.3 * np.exp(-2 * np.abs(p - r.competitor_price) / r.competitor_price))
+    over, under = np.maximum(f - r.current_stock, 0), np.maximum(r.base_cost * 1.1 - p, 0)
+    return 0.6 * (p - r.base_cost) * f + 0.3 * p * f + 0.1 * f / (r.demand_forecast * 1.5 + 1e-6) * 1000 - (over**2 * 10 + under**2 * 100)
+
+
+def test_bandit_learns_from_weeks_before(spark, tables):
+    found = S.strategy_bandit(PP.contexts(tables), PP.arms(tables)).select("product_id", "arm", "recommended_price", "current_price").collect()
+    assert len({r.arm for r in found}) >= 3 and len({round(r.recommended_price / r.current_price, 6) for r in found}) > 1000
+    weeks = [(1, 10.0, 100.0, 100.0), (2, 20.0, 10.0, 100.0), (3, 10.0, 100.0, 100.0), (4, 20.0, 10.0, None), (5, 15.0, 90.0, 100.0), (6, 15.0, 1.0, 1.0)]
+    df = spark.createDataFrame([("A", *w) for w in weeks], "product string, week int, sold_price double, sold_revenue double, expected_revenue double")
+    rows = {r.week: r for r in S.arm_results(df, "product", "week").collect()}
+    assert rows[1].wins == rows[1].losses == [0.0] * 10 and (rows[1].low, rows[1].high) == (10.0, 20.0)
+    assert rows[6].wins == [2.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0] and rows[6].losses == [0.0] * 9 + [1.0]
+    ctx = S.product_context(spark.createDataFrame([("A", "15"), ("B", "15")], "product string, price string"), {"product_id": "product", "current_price": "price"})
+    picked = {r.product_id: r for r in S.strategy_bandit(ctx, S.arm_results(df, "product", "week").where("week = 6").withColumnRenamed("product", "product_id")).collect()}
+    assert picked["A"].arm == 0 and picked["A"].recommended_price == pytest.approx(15 * 0.65 * 1.1) and picked["B"].arm == 0
 
 
 def test_bandit_draws_repeat(spark, tables):
-    ctx, hist = PP.contexts(tables), PP.sales_history(tables)
-    a, b = [sorted((r.product_id, r.arm) for r in S.strategy_bandit(ctx, S.arm_results(ctx, hist), draw=True).collect()) for _ in range(2)]
-    assert a == b
+    ctx, arms = PP.contexts(tables), PP.arms(tables)
+    a, b = [sorted((r.product_id, r.arm) for r in S.strategy_bandit(ctx, arms, draw=True).collect()) for _ in range(2)]
+    assert a == b and len({arm for _, arm in a}) == 10
 
 
 def test_exploration_share(spark, tables):
