@@ -7,15 +7,16 @@ step 1.., date, yhat, bounds) rows. Every group is one product's calendar.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME, by, clip_col, each, newest_first, ordered, stacked, with_scalars
+from shelfspark.functions.linear import dot, least_squares
 from shelfspark.operators.cleaning import resample_weekly
 from shelfspark.operators.windows import half_trend, last_n_mean
+from shelfspark.session import written
 
 EPS = 1e-6
 SCALE = 1_000_000  # integer units of one period in the variable-width frames
@@ -182,14 +183,14 @@ def trend_value(date: str, monthly: bool) -> Column:
     return F.greatest(F.lit(0.0), y)
 
 
-def forecast_trend_season(panel: DataFrame, horizon: int = 60, mode: str = "monthly") -> DataFrame:
+def forecast_trend_season(panel: DataFrame, horizon: int = 60, mode: str = "monthly", holiday: Callable[[Column], Column] | None = None) -> DataFrame:
     """Forecast with 80 % and 95 % intervals from the population deviation of the residuals.
 
     "trend" is a line, "monthly" a line times month shares (both plain aggregates),
-    "harmonic" a ridge regression on trend, Fourier terms, holiday and promotion.
+    "harmonic" is `forecast_regression` with all terms, where `holiday` tells the holidays of future dates.
     """
     if mode == "harmonic":
-        return _harmonic(panel, horizon)
+        return forecast_regression(panel, horizon, holiday)
     monthly = mode == "monthly"
     fit = trend_fit(panel, monthly)
     resid = panel.select(KEY, TIME, "sales_qty").join(fit, KEY).withColumn("r", F.col("sales_qty") - trend_value(TIME, monthly))
@@ -206,47 +207,64 @@ def bounds(y: str, sd: str) -> list[Column]:
     ]
 
 
-def _design(dates: pd.Series, start, holiday, promotion, n: int) -> np.ndarray:
-    days = (dates - start).dt.days.to_numpy(dtype=float)
-    cols = [np.ones(len(days)), days / 365.25]
-    for period, order, min_n in TERMS.values():
-        if n > min_n:
-            for k in range(1, order + 1):
-                angle = 2 * math.pi * k * days / period
-                cols += [np.sin(angle), np.cos(angle)]
-    cols += [np.asarray(holiday, dtype=float), np.asarray(promotion, dtype=float)]
-    return np.column_stack(cols)
-
-
-def _harmonic(panel: DataFrame, horizon: int) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        dates = pd.to_datetime(pdf[TIME])
-        y = pdf["sales_qty"].to_numpy(dtype=float)
-        n = len(y)
-        logs = n > 1 and y.mean() > 0 and y.std(ddof=1) / y.mean() > 0.3 and y.max() > 100
-        target = np.log1p(y) if logs else y
-        x = _design(dates, dates.iloc[0], pdf["holiday_flag"], pdf["promotion"], n)
-        penalty = np.full(x.shape[1], 0.1)
-        penalty[:2] = 1e-6
-        coef = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ target)
-        future = pd.Series(pd.date_range(dates.iloc[-1] + pd.Timedelta(days=7), periods=horizon, freq="7D"))
-        xf = _design(future, dates.iloc[0], future.dt.month.isin([11, 12]), np.zeros(horizon), n)
-        sd = (target - x @ coef).std()
-        point = xf @ coef
-        back = np.expm1 if logs else (lambda v: v)
-        out = {"step": np.arange(1, horizon + 1), "date": future.dt.date, "yhat": back(point)}
-        for name, z in (("yhat_lower", -Z80), ("yhat_upper", Z80), ("yhat_lower_95", -Z95), ("yhat_upper_95", Z95)):
-            out[name] = back(point + z * sd)
-        frame = pd.DataFrame(out)
-        values = frame.columns.drop(["step", "date"])
-        frame[values] = frame[values].clip(lower=0)
-        frame.insert(0, KEY, pdf[KEY].iloc[0])
-        return frame
-
-    schema = f"{KEY} string, step int, date date, yhat double, yhat_lower double, yhat_upper double, yhat_lower_95 double, yhat_upper_95 double"
-    cols = panel.select(KEY, TIME, "sales_qty", "holiday_flag", "promotion")
-    return cols.groupBy(KEY).applyInPandas(fit, schema)
+def _terms(terms: dict[str, tuple[float, int, int]]) -> int:
+    return sum(2 * order for _, order, _ in terms.values())
+
+
+def _design(day: Column, span: Column, n: Column, holiday: Column, promotion: Column, terms: dict, bends: int, effects: bool) -> Column:
+    """Features of a day counted from a product's first: line, bends of the line, harmonics (0 where the history is too short), effects."""
+    years = day / 365.25
+    cols = [F.lit(1.0), years]
+    for k in range(1, bends + 1):
+        cols.append(F.greatest(years - span * (0.8 * k / (bends + 1)) / 365.25, F.lit(0.0)))
+    for period, order, least in terms.values():
+        for k in range(1, order + 1):
+            angle = day * (2 * math.pi * k / period)
+            cols += [F.when(n > least, f(angle)).otherwise(0.0) for f in (F.sin, F.cos)]
+    if effects:
+        cols += [holiday.cast("double"), promotion.cast("double")]
+    return F.array(*[c.cast("double") for c in cols])
+
+
+def forecast_regression(
+    panel: DataFrame, horizon: int, holiday: Callable[[Column], Column] | None = None, terms: dict | None = None,
+    bends: int = 5, effects: bool = True, least: int = 10, logs: bool = True,
+) -> DataFrame:
+    """Ridge regression per product on a line that may bend, Fourier terms, holiday and promotion, for all products in one plan.
+
+    The normal equations are sums per product, solved in column expressions; a product's rows are not gathered. `holiday` gives
+    1 or 0 for a future date (no holidays without it), future weeks have no promotion. Products with fewer than `least` weeks are left out.
+    Uneven series of large amounts are fitted in logs if `logs`.
+    """
+    terms = TERMS if terms is None else terms
+    size = 2 + bends + _terms(terms) + (2 if effects else 0)
+    penalty = [1e-6, 1e-6] + [0.1] * (size - 2)
+    rows_ = panel.select(KEY, TIME, "sales_qty", "holiday_flag", "promotion").where(F.col("sales_qty").isNotNull())
+    y, mean = F.col("sales_qty").cast("double"), F.avg("sales_qty").over(by())
+    uneven = (F.count("sales_qty").over(by()) > 1) & (mean > 0) & (F.stddev("sales_qty").over(by()) / mean > 0.3) & (F.max("sales_qty").over(by()) > 100)
+    rows_ = rows_.withColumns(
+        {"start": F.min(TIME).over(by()), "last": F.max(TIME).over(by()), "n": F.count(F.lit(1)).over(by()),
+         "logs": F.coalesce(uneven, F.lit(False)) if logs else F.lit(False)}
+    ).where(F.col("n") >= least)
+    span = F.datediff("last", "start").cast("double")
+    x = _design(F.datediff(F.col(TIME), "start").cast("double"), span, F.col("n"), F.col("holiday_flag"), F.col("promotion"), terms, bends, effects)
+    rows_ = rows_.withColumns({"x": x, "target": F.when(F.col("logs"), F.log1p(y)).otherwise(y)})
+    rows_ = written(rows_.select(KEY, "start", "last", "n", "logs", "x", "target"), "design")
+    coef = written(least_squares(rows_, [KEY], F.col("x"), F.col("target"), size, penalty), "coefficients")
+    fitted = rows_.join(coef, KEY).withColumn("r", F.col("target") - dot(F.col("x"), F.col("coef")))
+    fit = fitted.groupBy(KEY).agg(
+        F.stddev_pop("r").alias("sd"), F.max("start").alias("start"), F.max("last").alias("last"), F.max("n").alias("n"), F.max("logs").alias("logs")
+    ).join(coef, KEY)
+    out = ahead(fit, horizon)
+    date = F.col("date")
+    future = _design(F.datediff(date, "start").cast("double"), span, F.col("n"), holiday(date) if holiday else F.lit(0), F.lit(0), terms, bends, effects)
+    out = out.withColumn("point", dot(future, F.col("coef")))
+    back = lambda c: F.greatest(F.lit(0.0), F.when(F.col("logs"), F.expm1(c)).otherwise(c))
+    at = lambda z: back(F.col("point") + F.lit(z) * F.col("sd"))
+    return out.select(
+        KEY, "step", "date", at(0.0).alias("yhat"), at(-Z80).alias("yhat_lower"), at(Z80).alias("yhat_upper"),
+        at(-Z95).alias("yhat_lower_95"), at(Z95).alias("yhat_upper_95"),
+    )
 
 
 def forecast_intervals(preds: DataFrame, resid: DataFrame) -> DataFrame:

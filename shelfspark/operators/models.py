@@ -22,7 +22,7 @@ from shelfspark.operators.forecast import (
     BASE_WEIGHTS, Z80, Z95, ensemble_weights, fold_rows, fold_summary, metrics, trend_fit, trend_value,
 )
 from shelfspark.operators.windows import cyclic, full, rolling_pair_smooth, split_chronological, weekly_features
-from shelfspark.session import written
+from shelfspark.session import ship, written
 
 TREES, DEPTH, SEED = 20, 5, 42
 
@@ -317,6 +317,7 @@ def isolation_scores(df: DataFrame, cols: list[str], keys: list[str], trees: int
         nodes = _build_tree(x, np.random.default_rng([seed, t]))
         return pd.DataFrame([(t, *n_) for n_ in nodes], columns=["tree", "node", "feature", "cut", "left", "right", "size"])
 
+    ship(drawn.sparkSession)
     forest = drawn.select("tree", "rn", *cols).groupBy("tree").applyInPandas(build, NODES).toPandas()
     grown = [g.sort_values("node") for _, g in forest.groupby("tree")]
     arrays = [tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "size")) for g in grown]
@@ -343,6 +344,7 @@ def isolation_scores(df: DataFrame, cols: list[str], keys: list[str], trees: int
             yield pdf[[*keys, "score"]]
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ship(rows.sparkSession)
     return written(rows.mapInPandas(score, ", ".join(f"{k} {types[k]}" for k in keys) + ", score double"), "scores")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.expr import places
+from shelfspark.session import ship
 
 # Margins and bounds, category elasticities, price steps, strategy weights,
 # confidences and segment multipliers.
@@ -338,30 +339,33 @@ def strategy_state_action(ctx: DataFrame, qtable: DataFrame, eps: float = 0.1, s
 
 
 def strategy_bandit(ctx: DataFrame, arms: DataFrame, seed: int = 42, draw: bool = False) -> DataFrame:
-    """One of ten price arms by its Beta posterior: by a seeded draw, or by the posterior mean.
+    """One of ten price arms by its Beta posterior: by a seeded draw, or by the posterior mean, the first on ties.
 
-    `arms` holds (product_id, low, high, wins, losses) as `arm_results` makes them; the arms are even steps from low to
-    high, their price is kept within the bounds of the context. A context without a row has
-    the flat prior on arms from its floor to its top price.
+    `arms` holds (product_id, prices, wins, losses) as `arm_results` makes them. Arms outside the context's floor and top price
+    are not drawn; a context of which no arm is inside keeps its price, within the bounds. A context without a row has
+    the flat prior on even steps from floor to top.
     """
-    known = arms.select("product_id", *[C(c).alias(f"__{c}") for c in ("low", "high", "wins", "losses")])
-    zeros = F.array(*[F.lit(0.0)] * ARMS)
+    known = arms.select("product_id", *[C(c).alias(f"__{c}") for c in ("prices", "wins", "losses")])
+    zeros, lo, hi = F.array(*[F.lit(0.0)] * ARMS), _floor_price(), _top_price()
+    even = F.array(*[lo + (hi - lo) * (i / (ARMS - 1)) for i in range(ARMS)])
     df = strategy_elasticity_prior(ctx).join(known, "product_id", "left").withColumns(
-        {"__wins": F.coalesce("__wins", zeros), "__losses": F.coalesce("__losses", zeros),
-         "__low": F.coalesce("__low", _floor_price()), "__high": F.coalesce("__high", _top_price())}
+        {"__prices": F.coalesce("__prices", even), "__wins": F.coalesce("__wins", zeros), "__losses": F.coalesce("__losses", zeros)}
     )
     if draw:
-        df = df.withColumn("__s", beta_draws(seed)("product_id", "__wins", "__losses"))
+        df = df.withColumn("__s", beta_draws(df.sparkSession, seed)("product_id", "__wins", "__losses"))
     else:
         df = df.withColumn("__s", F.zip_with("__wins", "__losses", lambda w, lo: (w + 1) / (w + lo + 2)))
-    df = df.withColumn("arm", (F.array_position("__s", F.array_max("__s")) - 1).cast("int"))
-    price = _clip(C("__low") + C("arm") * ((C("__high") - C("__low")) / (ARMS - 1)), _floor_price(), _top_price())
+    inside = F.zip_with("__s", "__prices", lambda s, p: F.when((p >= lo) & (p <= hi), s).otherwise(F.lit(-1.0)))
+    df = df.withColumn("__s", inside).withColumn("arm", F.when(F.array_max("__s") >= 0, F.array_position("__s", F.array_max("__s")) - 1).cast("int"))
+    price = _clip(F.coalesce(F.get("__prices", C("arm")), C("current_price")), lo, hi)
     return _result(df, "multi_armed_bandit", price, _at, F.lit("Best price arm"),
-                   _map(bandit_confidence=F.array_max("__s") * 100)).drop("__low", "__high", "__wins", "__losses", "__s")
+                   _map(bandit_confidence=F.greatest(F.array_max("__s"), F.lit(0.0)) * 100)).drop("__prices", "__wins", "__losses", "__s")
 
 
-def beta_draws(seed: int):
+def beta_draws(spark, seed: int):
     """Vectorised Beta draws; each row's generator is keyed by its id, so a rerun repeats them."""
+    ship(spark)
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def draws(ids: pd.Series, wins: pd.Series, losses: pd.Series) -> pd.Series:
         out = []
@@ -449,21 +453,20 @@ def learned_steps(history: DataFrame) -> DataFrame:
 
 
 def arm_results(history: DataFrame, key: str, time: str) -> DataFrame:
-    """(key, time, low, high, wins, losses): what each price arm had won and lost in the weeks before.
+    """(key, time, prices, wins, losses): price arms of a product, and what each had won and lost in the weeks before.
 
-    `history` has (key, time, sold_price, sold_revenue, expected_revenue), a row per product and week. The arms of a product
-    divide its own price range; a sale belongs to the nearest arm and wins above 80 % of the
-    revenue expected of it, a week without an expectation counts for neither. Running sums over the product's calendar: no week meets another.
+    `history` has (key, time, sold_price, sold_revenue, expected_revenue), a row per product and week. The arms are the tenths of a
+    product's prices, each at its lowest one; a product of fewer than ten weeks has arms without a price. A sale wins above 80 % of the
+    revenue expected of it, a week without an expectation counts for neither. Windows over the product's calendar: no week meets another.
     """
     every = Window.partitionBy(key)
     before = every.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    df = history.withColumns({"low": F.min("sold_price").over(every), "high": F.max("sold_price").over(every)})
-    place = F.try_divide(C("sold_price") - C("low"), (C("high") - C("low")) / (ARMS - 1))
-    df = df.withColumns(
-        {"arm": F.coalesce(F.floor(place + 0.5), F.lit(0)).cast("int"), "won": C("sold_revenue") > C("expected_revenue") * 0.8}
+    df = history.withColumns(
+        {"arm": F.ntile(ARMS).over(every.orderBy("sold_price", time)) - 1, "won": C("sold_revenue") > C("expected_revenue") * 0.8}
     )
+    lowest = F.array(*[F.min(F.when(C("arm") == i, C("sold_price"))).over(every) for i in range(ARMS)])
 
     def per_arm(hit: Column) -> Column:
         return F.array(*[F.coalesce(F.sum(F.when(hit & (C("arm") == i), 1.0)).over(before), F.lit(0.0)) for i in range(ARMS)])
 
-    return df.select(key, time, "low", "high", per_arm(C("won")).alias("wins"), per_arm(~C("won")).alias("losses"))
+    return df.select(key, time, lowest.alias("prices"), per_arm(C("won")).alias("wins"), per_arm(~C("won")).alias("losses"))

@@ -102,7 +102,31 @@ def stored(t):
 
 query("forecast_trend", FC, lambda t: O.forecast_trend_season(t.panel, 60, "trend"), "SELECT * FROM fct")
 query("forecast_trend_monthly", FC, fc, "SELECT * FROM fc")
-query("forecast_trend_season", FC, lambda t: O.forecast_trend_season(t.panel, 52, "harmonic"))
+
+
+def year_end(date):
+    """The holidays of the panel: weeks that begin in November or December."""
+    return F.month(date).isin(11, 12).cast("int")
+
+
+query("forecast_trend_season", FC, lambda t: O.forecast_trend_season(t.panel, 52, "harmonic", year_end))
+
+# four terms, solved by elimination over arrays
+_x4 = "[1.0e0, {d} / 365.25e0, sin({d} * (2 * pi() / 365.25e0)), cos({d} * (2 * pi() / 365.25e0))]"
+query("forecast_regression", FC, lambda t: O.forecast_regression(t.panel, 52, terms={"yearly": (365.25, 1, 0)}, bends=0, effects=False, logs=False),
+      f"""WITH RECURSIVE d AS (SELECT product_name, sales_qty AS y, MIN(week_start) OVER w AS start, MAX(week_start) OVER w AS last, COUNT(*) OVER w AS n, week_start FROM panel WINDOW w AS (PARTITION BY product_name)),
+      x AS (SELECT *, {_x4.format(d="date_diff('day', start, week_start)")} AS x FROM d WHERE n >= 10),
+      g AS (SELECT product_name, i, j, SUM(x[i] * CASE WHEN j <= 4 THEN x[j] ELSE y END) AS v FROM x, range(1, 5) a(i), range(1, 6) b(j) GROUP BY ALL),
+      r AS (SELECT product_name, i, list(v + CASE WHEN i <> j THEN 0 WHEN i <= 2 THEN 1e-6 ELSE 0.1e0 END ORDER BY j) AS r FROM g GROUP BY ALL),
+      e AS (SELECT product_name, CAST(1 AS BIGINT) AS k, list(r ORDER BY i) AS m FROM r GROUP BY 1
+        UNION ALL SELECT product_name, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k THEN v / m[k][k] ELSE v - r[k] * (m[k][j] / m[k][k]) END)) FROM e WHERE k <= 4),
+      c AS (SELECT product_name, list_transform(m, lambda r: r[5]) AS c FROM e WHERE k = 5),
+      s AS (SELECT product_name, any_value(c) AS c, any_value(start) AS start, any_value(last) AS last, stddev_pop(y - (c[1] * x[1] + c[2] * x[2] + c[3] * x[3] + c[4] * x[4])) AS sd FROM x JOIN c USING (product_name) GROUP BY 1),
+      f AS (SELECT *, last + CAST(7 * step AS INTEGER) AS date FROM s, range(1, 53) q(step)),
+      p AS (SELECT *, {_x4.format(d="date_diff('day', start, date)")} AS x FROM f),
+      v AS (SELECT *, c[1] * x[1] + c[2] * x[2] + c[3] * x[3] + c[4] * x[4] AS v FROM p)
+      SELECT product_name, step, date, GREATEST(0, v) AS yhat, GREATEST(0, v - 1.28e0 * sd) AS yhat_lower, GREATEST(0, v + 1.28e0 * sd) AS yhat_upper,
+        GREATEST(0, v - 1.96e0 * sd) AS yhat_lower_95, GREATEST(0, v + 1.96e0 * sd) AS yhat_upper_95 FROM v""")
 
 # ---- blending and scoring
 

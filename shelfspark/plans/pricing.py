@@ -355,15 +355,17 @@ CTES["r_state"] = rec_sql("reinforcement_learning", f"""
        b AS (SELECT * FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY v DESC, i) = 1)
   SELECT *, LEAST(GREATEST(current_price * (1 + (i - 3) * 0.05), lo), hi) AS p FROM b""")
 CTES["arms"] = """
-  WITH h AS (SELECT product_name, week_start, price, sales_qty, MIN(price) OVER (PARTITION BY product_name) AS low, MAX(price) OVER (PARTITION BY product_name) AS high,
+  WITH h AS (SELECT product_name, week_start, price, sales_qty, NTILE(10) OVER (PARTITION BY product_name ORDER BY price, week_start) - 1 AS arm,
                AVG(sales_qty) OVER (PARTITION BY product_name ORDER BY week_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS expected FROM panel)
-  SELECT *, CASE WHEN high > low THEN FLOOR((price - low) / ((high - low) / 9) + 0.5) ELSE 0 END AS arm, price * sales_qty > price * expected * 0.8e0 AS won FROM h"""
+  SELECT *, MIN(price) OVER (PARTITION BY product_name, arm) AS arm_price, price * sales_qty > price * expected * 0.8e0 AS won FROM h"""
 CTES["r_bandit"] = rec_sql("multi_armed_bandit", """
-  WITH s AS (SELECT a.product_name || '_' || a.week_start AS product_id, i, ANY_VALUE(a.low) AS low, ANY_VALUE(a.high) AS high,
-               (COUNT(*) FILTER (b.won) + 1) / (COUNT(*) FILTER (b.won) + COUNT(*) FILTER (NOT b.won) + 2) AS v
-             FROM arms a CROSS JOIN range(10) r(i) LEFT JOIN arms b ON b.product_name = a.product_name AND b.week_start < a.week_start AND b.arm = i GROUP BY 1, 2),
-       w AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY v DESC, i) = 1)
-  SELECT ctxe.*, LEAST(GREATEST(low + i * ((high - low) / 9), lo), hi) AS p FROM ctxe JOIN w USING (product_id)""")
+  WITH t AS (SELECT DISTINCT product_name, arm AS i, arm_price AS ip FROM arms),
+       c AS (SELECT a.product_name, week_start, i, ip, CASE WHEN arm = i AND won THEN 1 ELSE 0 END AS win, CASE WHEN arm = i AND NOT won THEN 1 ELSE 0 END AS loss FROM arms a JOIN t USING (product_name)),
+       s AS (SELECT product_name || '_' || week_start AS product_id, i AS arm, ip AS arm_price, COALESCE(SUM(win) OVER past, 0) AS wins, COALESCE(SUM(loss) OVER past, 0) AS losses FROM c
+             WINDOW past AS (PARTITION BY product_name, i ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+       w AS (SELECT product_id, arm_price FROM s JOIN ctxe USING (product_id) WHERE arm_price BETWEEN lo AND hi
+             QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY (wins + 1) / (wins + losses + 2) DESC, arm) = 1)
+  SELECT ctxe.*, LEAST(GREATEST(COALESCE(arm_price, current_price), lo), hi) AS p FROM ctxe LEFT JOIN w USING (product_id)""")
 for _name in ("ctx", "ctxe", "r_rule", "r_elas", "r_opt", "r_multi", "r_seg", "qtable", "r_state", "r_bandit"):
     # plain decimals are exact in SQL but doubles in the operators
     CTES[_name] = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", CTES[_name])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME
 from shelfspark.operators import filters as P
+from shelfspark.functions.linear import correlations
 from shelfspark.operators import windows as W
 from shelfspark.plans.registry import CTES, query
 from shelfspark.plans.relational import SEASON_SQL, holey
@@ -198,6 +199,13 @@ query("feature_table", ", ".join(_spec), lambda t: W.feature_table(t.panel),
       "WITH raw AS (SELECT product_name, week_start, " + ", ".join(f"{e} AS {n}" for n, e in {**_med, **_plain}.items()) + " FROM seasoned) "
       "SELECT product_name, week_start, " + ", ".join(f"COALESCE({n}, (SELECT MEDIAN({n}) FROM raw)) AS {n}" for n in _med) + ", " + ", ".join(_plain) + " FROM raw")
 
+_names = list(RICH)
+query("corr_features", "a, b, n:i, corr:6", lambda t: correlations(W.rich_features(t.panel), _names),
+      "WITH f AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in RICH.items()) + " FROM panel), "
+      "one AS (SELECT [" + ", ".join(
+          f"{{'a': '{a}', 'b': '{b}', 'n': COUNT(CAST({a} AS DOUBLE) + CAST({b} AS DOUBLE)), 'corr': CORR({a}, {b})}}"
+          for a in _names for b in _names) + "] AS l FROM f) SELECT x.a, x.b, x.n, CASE WHEN NOT isnan(x.corr) THEN x.corr END AS corr FROM (SELECT unnest(l) AS x FROM one)")
+
 query("split_chronological", f"{ID}, split", lambda t: W.split_chronological(t.panel, 0.8),
       f"""SELECT product_name, week_start, CASE WHEN ROW_NUMBER() OVER ({_w}) <= FLOOR(0.8 * COUNT(*) OVER (PARTITION BY product_name))
                  THEN 'train' ELSE 'test' END AS split FROM panel""")
