@@ -11,6 +11,7 @@ from shelfspark.operators import inventory as I
 from shelfspark.plans.registry import query
 from shelfspark.session import new_path
 from shelfspark.sources import files as S
+from shelfspark.sources.panel import refresh_panel, stored_panel
 
 SMALL = "product_name, week_start:d, sales_qty, price, promotion:i"
 COLS = [KEY, TIME, "sales_qty", "price", "promotion"]
@@ -115,3 +116,24 @@ def _fresh(t):
 
 
 query("fresh_files", SMALL, _fresh, SQL + " WHERE promotion = 0")
+
+
+# ---- a rollup that follows its source files
+
+
+def followed(t):
+    """The weekly panel after its source got a new file and a corrected one, refreshed from a first state that lacked both."""
+    source, target = new_path(t.spark, "lines"), new_path(t.spark, "followed")
+    lines = t.lineitem.withColumn("year", F.year("l_shipdate"))
+    late = (F.col("year") >= 2000) & (F.col("l_orderkey") % 4 == 0)
+    put = lambda rows, name: rows.drop("year").coalesce(1).write.mode("overwrite").parquet(f"{source}/{name}")
+    put(lines.where(F.col("year") < 1999), "first")
+    put(lines.where((F.col("year") >= 1999) & ~late).withColumn("l_quantity", F.col("l_quantity") + 1), "wrong")
+    refresh_panel(t.spark, source, t.part, target)
+    put(lines.where((F.col("year") >= 1999) & ~late), "wrong")
+    put(lines.where(late), "more")
+    refresh_panel(t.spark, source, t.part, target)
+    return stored_panel(t.spark, target)
+
+
+query("panel_refreshed", "product_name, category, week_start:d, sales_qty, price:6, stock_on_hand, promotion:i, holiday_flag:i, weather, availability:i", followed, "SELECT * FROM panel")

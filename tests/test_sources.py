@@ -90,3 +90,38 @@ def test_written_survives_and_prunes(spark):
     df = session.written(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.select("x").agg(F.sum("x")).first()[0] == 90
     assert "ReadSchema: struct<x:bigint>" in df.select("x")._jdf.queryExecution().toString()
+
+
+def test_panel_follows_its_files(spark, tables, tmp_path):
+    from shelfspark.session import delete
+    from shelfspark.sources.panel import refresh_panel, rollup, stored_panel
+
+    source, target = str(tmp_path / "lines"), str(tmp_path / "panel")
+    lines = tables.lineitem.withColumn("y", F.year("l_shipdate"))
+    put = lambda rows, name: rows.drop("y").coalesce(1).write.mode("overwrite").parquet(f"{source}/{name}")
+    put(lines.where("y < 1996"), "a")
+    put(lines.where("y >= 1996 AND y < 1998"), "b")
+    same = lambda want: sorted(map(tuple, stored_panel(spark, target).collect())) == sorted(map(tuple, rollup(want, tables.part).collect()))
+    first = refresh_panel(spark, source, tables.part, target)
+    assert first["files"] == first["read"] == 2 and same(lines.where("y < 1998"))
+    assert refresh_panel(spark, source, tables.part, target) == {"files": 0, "periods": [], "read": 0}
+    put(lines.where("y >= 1998"), "c")  # a new file: its weeks alone, and the file that shares the week of new year
+    added = refresh_panel(spark, source, tables.part, target)
+    assert added["files"] == 1 and added["read"] == 2 and min(added["periods"]) == datetime.date(1997, 12, 29) and same(lines)
+    put(lines.where("y >= 1996 AND y < 1998 AND l_orderkey % 2 = 0"), "b")  # a changed file
+    changed = refresh_panel(spark, source, tables.part, target)
+    assert changed["files"] == 1 and {p.year for p in changed["periods"]} <= {1995, 1996, 1997, 1998}
+    assert same(lines.where("y < 1996 OR y >= 1998 OR l_orderkey % 2 = 0"))
+    delete(spark, f"{source}/a")  # a file that went takes its weeks along
+    gone = refresh_panel(spark, source, tables.part, target)
+    assert gone["files"] == 0 and same(lines.where("y >= 1998 OR y >= 1996 AND l_orderkey % 2 = 0"))
+
+
+def test_rollup_is_built_anew_when_a_source_changes(spark, tables, tmp_path):
+    from shelfspark.sources.panel import weekly_panel
+
+    tables.part.write.parquet(str(tmp_path / "part.parquet"))
+    tables.lineitem.where("l_orderkey % 2 = 0").write.parquet(str(tmp_path / "lineitem.parquet"))
+    half = weekly_panel(spark, str(tmp_path)).agg(F.sum("sales_qty")).first()[0]
+    tables.lineitem.write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    assert weekly_panel(spark, str(tmp_path)).agg(F.sum("sales_qty")).first()[0] > 1.5 * half
