@@ -69,6 +69,11 @@ def places(c, k: int) -> Column:
     return F.floor(col(c) * F.lit(10.0**k) + F.lit(0.5)) / F.lit(10.0**k)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where a lambda would compute it for every mention."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trunc(c) -> Column:
     """Drop the fraction, towards zero."""
     return col(c).cast("bigint")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.expr import places
+from shelfspark.functions.expr import let, places
 from shelfspark.session import ship
 
 # Margins and bounds, category elasticities, price steps, strategy weights,
@@ -254,14 +254,17 @@ def strategy_elasticity(ctx: DataFrame) -> DataFrame:
 
 def optimization_score(p: Column) -> Column:
     """Weighted profit, revenue and share at a price, less penalties for demand over the stock and for a price under the floor."""
-    final = _at(p) * C("seasonality_index")
     near = F.exp(-2 * F.abs(p - C("competitor_price")) / C("competitor_price"))
+    final = _at(p) * C("seasonality_index")
     final = F.when(C("competitor_price") > 0, final * (0.7 + 0.3 * near)).otherwise(final)
-    over = F.greatest(final - C("current_stock"), F.lit(0.0))
-    under = F.greatest(_floor_price() - p, F.lit(0.0))
-    share = final / (C("demand_forecast") * 1.5 + 1e-6)
-    gain = 0.6 * ((p - C("base_cost")) * final) + 0.3 * (p * final) + 0.1 * share * 1000
-    return gain - (over * over * 10 + under * under * 100)
+
+    def gain(f: Column) -> Column:
+        over = F.greatest(f - C("current_stock"), F.lit(0.0))
+        under = F.greatest(_floor_price() - p, F.lit(0.0))
+        share = f / (C("demand_forecast") * 1.5 + 1e-6)
+        return 0.6 * ((p - C("base_cost")) * f) + 0.3 * (p * f) + 0.1 * share * 1000 - (over * over * 10 + under * under * 100)
+
+    return let(final, gain)
 
 
 def optimization_price(df: DataFrame, name: str) -> DataFrame:
