@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.expr import KEY, TIME, by, clip_col, each, newest_first, ordered, stacked, with_scalars
 from shelfspark.functions.linear import dot, least_squares
+from shelfspark.functions.local import bisquare, line_at, near_moments, one_period, tricube
 from shelfspark.operators.cleaning import resample_weekly
 from shelfspark.operators.windows import half_trend, last_n_mean
 from shelfspark.session import written
 
 EPS = 1e-6
 SCALE = 1_000_000  # integer units of one period in the variable-width frames
+RIDGE = 1e-6  # penalty that keeps the two regressions of the moving-average model solvable
+TREND, LEAST_WEIGHT = 0.955, 1e-4  # periods on each side of a local trend; weight of a residual of six medians
 # Interval widths, blend prior, harmonic periods in days with their orders,
 # scenario multipliers and named growth scenarios.
 Z80, Z95 = 1.28, 1.96
@@ -49,11 +52,47 @@ def decompose_classical(df: DataFrame, period: int = 52, model: str = "multiplic
     return _decompose(weekly, period, model, min_n)
 
 
-def decompose_robust(df: DataFrame, period: int = 7) -> DataFrame:
+def decompose_additive(df: DataFrame, period: int = 7) -> DataFrame:
     """Additive decomposition of a regular (product_name, date, sales_qty) series."""
     return _decompose(df, period, "additive", 2 * period)
 
 
+def decompose_robust(series: DataFrame, period: int = 7, inner: int = 2, robust: int = 1, cycles: int = 3, min_n: int | None = None) -> DataFrame:
+    """Trend, seasonal and residual by local regression that outliers hardly move.
+
+    `series` is a regular (product_name, date, sales_qty). A pass smooths each slot of the period over `cycles` cycles on
+    both sides, takes the running mean of one period off it, and smooths what is left of the sales over `TREND` periods
+    on both sides; `inner` passes refine the trend. Then rows are weighted down by their residual (bisquare of six
+    medians, beyond it `LEAST_WEIGHT` and less) and the passes repeated, `robust` times. The period is min(period, n // 2);
+    products with fewer than `min_n` rows (two periods unless given) are left out. All steps share one shuffle.
+    """
+    i, p, y = F.col("i"), F.col("period"), F.col("sales_qty")
+    s = series.select(KEY, "date", F.col("sales_qty").cast("double").alias("sales_qty")).withColumns(
+        {"n": F.count(F.lit(1)).over(by()), "i": F.row_number().over(ordered(KEY, "date")) - 1}
+    )
+    s = s.filter(F.col("n") >= (2 * period if min_n is None else min_n))
+    s = s.withColumn("period", F.least(F.lit(period), F.floor(F.col("n") / 2)).cast("int"))
+    s = s.withColumns({"slot": i % p, "cycle": F.floor(i / p).cast("int"), "trend": F.lit(0.0), "weight": F.lit(1.0)})
+    half, widest, sums = F.floor(p * F.lit(TREND)) + 1, int(period * TREND) + 1, ("s0", "s1", "s2", "t0", "t1")
+    for outer in range(robust + 1):
+        for _ in range(inner):
+            s = near_moments(s, [KEY, "slot"], "cycle", y - F.col("trend"), F.col("weight"), tricube(F.lit(cycles)), cycles)
+            s = s.withColumn("cyclic", line_at()).drop(*sums, "trend", "seasonal")
+            s = near_moments(s, [KEY], "i", F.col("cyclic"), F.lit(1.0), one_period(p), period // 2)
+            s = s.withColumn("level", F.when(F.col("s0") == p, F.col("t0") / p))  # null where a period does not fit
+            placed = F.when(F.col("level").isNotNull(), i)
+            s = s.withColumns({"first": F.min_by("level", placed).over(by()), "last": F.max_by("level", placed).over(by())})
+            level = F.coalesce("level", F.when(2 * i < F.col("n"), F.col("first")).otherwise(F.col("last")))
+            s = s.withColumn("seasonal", F.col("cyclic") - level).drop(*sums, "cyclic", "level", "first", "last")
+            s = near_moments(s, [KEY], "i", y - F.col("seasonal"), F.col("weight"), tricube(half), widest)
+            s = s.withColumn("trend", line_at()).drop(*sums)
+        s = s.withColumn("resid", y - F.col("seasonal") - F.col("trend"))
+        if outer < robust:
+            scale = 6 * F.median(F.abs("resid")).over(by())
+            s = s.withColumn("scale", scale).withColumn("weight", bisquare(F.col("resid"), F.col("scale"), LEAST_WEIGHT)).drop("scale", "resid")
+    return s.select(KEY, "date", "sales_qty", "trend", "seasonal", "resid", "weight")
+
+
 def _decompose(series: DataFrame, period: int, model: str, min_n: int) -> DataFrame:
     mult = model == "multiplicative"
     p, y = F.col("period"), F.col("sales_qty")
@@ -160,6 +199,57 @@ def forecast_ar(panel: DataFrame, horizon: int = 4) -> DataFrame:
     return out.select(KEY, "step", "date", (F.col("y") + total).alias("yhat"), "mae", "rmse")
 
 
+def forecast_arma(panel: DataFrame, horizon: int = 4, long: int = 4, least: int = 20) -> DataFrame:
+    """ARIMA(1,1,1) per product in two regressions, with errors on the last `horizon` weeks and the information criterion.
+
+    First weekly changes are regressed on their `long` predecessors; then on the last change and that regression's last
+    residual, which stands for the shock. Both are normal equations summed per product. Products with fewer than `least`
+    changes, or whose second regression is not stationary or not invertible, get AR(1) on the levels instead
+    (`model` tells which); products with fewer than three pairs of weeks, or constant ones, are left out.
+    """
+    w = ordered()
+    rows = panel.select(KEY, TIME, F.col("sales_qty").cast("double").alias("y")).where(F.col("y").isNotNull())
+    rows = rows.withColumns({"prev": F.lag("y").over(w), "age": F.row_number().over(newest_first())})
+    rows = rows.withColumn("d", F.col("y") - F.col("prev"))
+    rows = written(rows.withColumn("past", F.array(F.lit(1.0), *[F.lag("d", k).over(w) for k in range(1, long + 1)])), "changes")
+    full = F.col("past")[long].isNotNull()
+    first = least_squares(rows.where(full), [KEY], F.col("past"), F.col("d"), long + 1, [0.0] + [RIDGE] * long).withColumnRenamed("coef", "first")
+    shocks = rows.join(first, KEY, "left").withColumn("e", F.when(full, F.col("d") - dot(F.col("past"), F.col("first"))))
+    pair = F.array(F.lit(1.0), F.lag("d").over(w), F.lag("e").over(w))
+    shocks = written(shocks.select(KEY, TIME, "y", "prev", "d", "e", "age", pair.alias("pair")), "shocks")
+    both = F.col("pair")[2].isNotNull()
+    second = least_squares(shocks.where(both), [KEY], F.col("pair"), F.col("d"), 3, [0.0, RIDGE, RIDGE])
+    level = shocks.groupBy(KEY).agg(
+        F.regr_slope("y", "prev").alias("slope"), F.regr_intercept("y", "prev").alias("base"), F.count("prev").alias("pairs"), F.count(F.when(both, 1)).alias("changes"),
+        F.max(TIME).alias("last"), F.max_by("y", TIME).alias("y"), F.max_by("d", TIME).alias("d"), F.max_by("e", TIME).alias("e"),
+    )
+    fit = level.join(second, KEY, "left")
+    sound = (F.col("changes") >= least) & (F.abs(F.col("coef")[1]) < 1) & (F.abs(F.col("coef")[2]) < 1)
+    fit = fit.withColumn("moving", F.coalesce(sound, F.lit(False))).where("moving OR (pairs >= 3 AND slope IS NOT NULL)")
+    fit = written(fit, "arma")
+
+    ahead_of = F.when(F.col("moving"), F.col("prev") + dot(F.col("pair"), F.col("coef"))).otherwise(F.col("base") + F.col("slope") * F.col("prev"))
+    miss = F.col("y") - ahead_of
+    scored = shocks.join(fit.select(KEY, "coef", "moving", "base", "slope"), KEY).withColumn("r", miss)
+    recent, n = F.when(F.col("age") <= horizon, F.col("r")), F.count("r")
+    errors = scored.groupBy(KEY).agg(
+        F.avg(F.abs(recent)).alias("mae"), F.sqrt(F.avg(recent * recent)).alias("rmse"),
+        (n * F.log(F.sum(F.col("r") * F.col("r")) / n) + 2 * F.when(F.max("moving"), 3).otherwise(2)).alias("aic"),
+    )
+    # change by change: the shock is known for the first step only
+    c, phi, theta = (F.col("coef")[k] for k in range(3))
+    h, start = F.col("step"), F.col("coef")[0] + F.col("coef")[1] * F.col("d") + F.col("coef")[2] * F.col("e")
+    mu = c / (1 - phi)
+    changes = F.col("y") + h * mu + (start - mu) * (1 - F.pow(phi, h)) / (1 - phi)
+    steps = F.aggregate(F.sequence(F.lit(1), h), F.col("y"), lambda v, _: F.col("base") + F.col("slope") * v)
+    out = ahead(fit.join(errors, KEY), horizon)
+    return out.select(
+        KEY, "step", "date", F.when(F.col("moving"), "ARIMA(1,1,1)").otherwise("ARIMA(1,0,0)").alias("model"),
+        F.when(F.col("moving"), changes).otherwise(steps).alias("yhat"), "mae", "rmse", "aic",
+        F.when(F.col("moving"), phi).otherwise(F.col("slope")).alias("phi"), F.when(F.col("moving"), theta).alias("theta"),
+    )
+
+
 def trend_fit(panel: DataFrame, monthly: bool) -> DataFrame:
     """Straight line over weeks per product, times the month's share of the mean when `monthly`."""
     start = F.min(TIME).over(by())

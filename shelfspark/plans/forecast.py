@@ -36,10 +36,57 @@ DEC = "product_name, date:d, sales_qty, trend:6, seasonal:6, resid:6"
 _week_y = "SELECT s.product_name, s.week_start + 6 AS date, COALESCE(p.sales_qty, 0) AS y FROM spine s LEFT JOIN panel p USING (product_name, week_start)"
 query("decompose_classical", DEC, lambda t: O.decompose_classical(t.panel), _decomp(_week_y, 52, True))
 
-query("decompose_robust", DEC,
-      lambda t: O.decompose_robust(C.ffill_bfill(C.spine_daily(t.daily.select(KEY, "date", "sales_qty")), KEY, ["sales_qty"], "date"), 7),
-      _decomp(f"""SELECT product_name, date, COALESCE(LAST_VALUE(sales_qty IGNORE NULLS) OVER ({_d} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS y
-                  FROM (SELECT s.product_name, s.date, sales_qty FROM day_spine s LEFT JOIN daily USING (product_name, date))""", 7, False))
+_day_y = f"""SELECT product_name, date, COALESCE(LAST_VALUE(sales_qty IGNORE NULLS) OVER ({_d} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS y
+                  FROM (SELECT s.product_name, s.date, sales_qty FROM day_spine s LEFT JOIN daily USING (product_name, date))"""
+
+
+def filled_days(t):
+    return C.ffill_bfill(C.spine_daily(t.daily.select(KEY, "date", "sales_qty")), KEY, ["sales_qty"], "date")
+
+
+query("decompose_additive", DEC, lambda t: O.decompose_additive(filled_days(t), 7), _decomp(_day_y, 7, False))
+
+
+def _local(step, src, part, at, value, half, out):
+    """Local line of `value` over the rows of the same `part` by a join of near positions."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in part)
+    return f"""{step}p AS (SELECT a.product_name, a.i, b.{at} - a.{at} AS d, {value} AS v, POW(1 - POW(ABS(b.{at} - a.{at}) / ({half} + 1e0), 3), 3) * b.weight AS w
+            FROM {src} a JOIN {src} b ON {same} AND b.{at} BETWEEN a.{at} - {half} AND a.{at} + {half}),
+        {step}m AS (SELECT product_name, i, SUM(w) AS s0, SUM(w * d) AS s1, SUM(w * d * d) AS s2, SUM(w * v) AS t0, SUM(w * d * v) AS t1 FROM {step}p GROUP BY 1, 2),
+        {step} AS (SELECT s.*, CASE WHEN s0 * s2 - s1 * s1 > 1e-9 * s0 * s2 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS {out} FROM {src} s JOIN {step}m USING (product_name, i))"""
+
+
+def _robust(src, p, inner, robust):
+    """Local regression twin: passes over positions joined with their neighbours."""
+    half, k = int(0.955 * p) + 1, p // 2
+    fr = f"(PARTITION BY product_name ORDER BY i ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+    mean = f"(SUM(cyclic) OVER {fr} {f'- 0.5e0 * (FIRST_VALUE(cyclic) OVER {fr} + LAST_VALUE(cyclic) OVER {fr})' if p % 2 == 0 else ''}) / {p}"
+    steps = [f"""z0 AS (SELECT product_name, date, y, i, n, i % {p} AS slot, i // {p} AS cycle, 0e0 AS trend, 0e0 AS seasonal, 1e0 AS weight
+        FROM (SELECT product_name, date, CAST(y AS DOUBLE) AS y, ROW_NUMBER() OVER ({_d}) - 1 AS i, COUNT(*) OVER (PARTITION BY product_name) AS n FROM ({src})) WHERE n >= {2 * p})"""]
+    last = "z0"
+    for outer in range(robust + 1):
+        for step in range(inner):
+            at = f"q{outer}{step}"
+            steps += [
+                _local(f"{at}c", last, ["product_name", "slot"], "cycle", "b.y - b.trend", 3, "cyclic"),
+                f"{at}l AS (SELECT *, CASE WHEN COUNT(*) OVER {fr} = {2 * k + 1} THEN {mean} END AS level FROM {at}c)",
+                f"{at}e AS (SELECT product_name, ARG_MIN(level, i) AS first, ARG_MAX(level, i) AS last FROM {at}l WHERE level IS NOT NULL GROUP BY 1)",
+                f"""{at}s AS (SELECT product_name, date, y, i, n, slot, cycle, weight, cyclic - COALESCE(level, CASE WHEN 2 * i < n THEN first ELSE last END) AS seasonal
+                    FROM {at}l JOIN {at}e USING (product_name))""",
+                _local(f"{at}t", f"{at}s", ["product_name"], "i", "b.y - b.seasonal", half, "trend"),
+            ]
+            last = f"{at}t"
+        if outer < robust:
+            steps.append(f"""w{outer} AS (SELECT product_name, date, y, i, n, slot, cycle, trend, seasonal, CASE WHEN c <= 1e-9 THEN 1e0 WHEN r >= c THEN 1e-4 / POW(r / c, 2) ELSE GREATEST(1e-4, POW(1 - POW(r / c, 2), 2)) END AS weight
+                FROM (SELECT *, 6 * MEDIAN(r) OVER (PARTITION BY product_name) AS c FROM (SELECT *, ABS(y - seasonal - trend) AS r FROM {last})))""")
+            last = f"w{outer}"
+    return f"WITH {', '.join(steps)} SELECT product_name, date, y AS sales_qty, trend, seasonal, y - seasonal - trend AS resid, weight FROM {last}"
+
+
+ROBUST = f"{DEC}, weight:6"
+query("decompose_robust", ROBUST, lambda t: O.decompose_robust(filled_days(t), 7), _robust(_day_y, 7, 2, 1))
+query("decompose_robust_weekly", ROBUST, lambda t: O.decompose_robust(C.resample_weekly(t.panel.select(KEY, F.col("week_start").alias("date"), "sales_qty")), 52),
+      _robust(_week_y, 52, 2, 1))
 
 query("seasonality_mode", "product_name, mean:6, std:6, cv:6, mode", lambda t: O.seasonality_mode(t.panel),
       """SELECT product_name, AVG(sales_qty) AS mean, STDDEV_SAMP(sales_qty) AS std, STDDEV_SAMP(sales_qty) / AVG(sales_qty) AS cv,
@@ -72,6 +119,35 @@ query("forecast_ar", "product_name, step:i, date:d, yhat:6, mae:6, rmse:6", lamb
           SELECT product_name, step, last + 7 * step AS date, yhat, mae, rmse FROM r JOIN x USING (product_name)""")
 
 
+def _solved(name, src, x, y, ridge):
+    """Views that end in `name`: coefficients c per product by elimination over arrays (the first feature has no penalty)."""
+    k = len(x)
+    return f"""{name}x AS (SELECT product_name, [{', '.join(x)}] AS x, {y} AS y FROM {src}),
+      {name}g AS (SELECT product_name, i, j, SUM(x[i] * CASE WHEN j <= {k} THEN x[j] ELSE y END) AS v FROM {name}x, range(1, {k + 1}) a(i), range(1, {k + 2}) b(j) GROUP BY ALL),
+      {name}r AS (SELECT product_name, i, list(v + CASE WHEN i <> j OR i = 1 THEN 0 ELSE {ridge} END ORDER BY j) AS r FROM {name}g GROUP BY ALL),
+      {name}e AS (SELECT product_name, CAST(1 AS BIGINT) AS k, list(r ORDER BY i) AS m FROM {name}r GROUP BY 1
+        UNION ALL SELECT product_name, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k THEN v / m[k][k] ELSE v - r[k] * (m[k][j] / m[k][k]) END)) FROM {name}e WHERE k <= {k}),
+      {name} AS (SELECT product_name, list_transform(m, lambda r: r[{k + 1}]) AS c FROM {name}e WHERE k = {k + 1})"""
+
+
+_past = ["1e0", "d1", "d2", "d3", "d4"]
+query("forecast_arma", "product_name, step:i, date:d, model, yhat:5, mae:5, rmse:5, aic:5, phi:5, theta:5", lambda t: O.forecast_arma(t.panel),
+      f"""WITH RECURSIVE d AS (SELECT product_name, week_start, sales_qty AS y, LAG(sales_qty) OVER ({_w}) AS prev, sales_qty - LAG(sales_qty) OVER ({_w}) AS d, ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY week_start DESC) AS age FROM panel),
+      l AS (SELECT *, {', '.join(f'LAG(d, {k}) OVER ({_w}) AS d{k}' for k in range(1, 5))} FROM d),
+      {_solved('one', 'l WHERE d4 IS NOT NULL', _past, 'd', '1e-6')},
+      e AS (SELECT l.*, CASE WHEN d4 IS NOT NULL THEN d - (c[1] + c[2] * d1 + c[3] * d2 + c[4] * d3 + c[5] * d4) END AS e FROM l LEFT JOIN one USING (product_name)),
+      s AS (SELECT *, LAG(e) OVER ({_w}) AS e1 FROM e),
+      {_solved('two', 's WHERE e1 IS NOT NULL', ['1e0', 'd1', 'e1'], 'd', '1e-6')},
+      v AS (SELECT product_name, REGR_SLOPE(y, prev) AS slope, REGR_INTERCEPT(y, prev) AS base, COUNT(e1) AS changes, MAX(week_start) AS last, ARG_MAX(y, week_start) AS y, ARG_MAX(d, week_start) AS d, ARG_MAX(e, week_start) AS e FROM s GROUP BY 1),
+      f AS (SELECT v.*, c, changes >= 20 AND ABS(c[2]) < 1 AND ABS(c[3]) < 1 AS moving FROM v JOIN two USING (product_name)),
+      r AS (SELECT s.product_name, s.age, f.moving, s.y - CASE WHEN f.moving THEN s.prev + c[1] + c[2] * s.d1 + c[3] * s.e1 ELSE f.base + f.slope * s.prev END AS r FROM s JOIN f USING (product_name)),
+      x AS (SELECT product_name, AVG(ABS(r)) FILTER (age <= 4) AS mae, SQRT(AVG(r * r) FILTER (age <= 4)) AS rmse, COUNT(r) * LN(SUM(r * r) / COUNT(r)) + CASE WHEN ANY_VALUE(moving) THEN 6 ELSE 4 END AS aic FROM r GROUP BY 1),
+      h AS (SELECT product_name, 1 AS step, c[1] + c[2] * d + c[3] * e AS ch, CASE WHEN moving THEN y + c[1] + c[2] * d + c[3] * e ELSE base + slope * y END AS yhat FROM f
+            UNION ALL SELECT product_name, step + 1, c[1] + c[2] * ch, CASE WHEN moving THEN yhat + c[1] + c[2] * ch ELSE base + slope * yhat END FROM h JOIN f USING (product_name) WHERE step < 4)
+      SELECT product_name, step, last + 7 * step AS date, CASE WHEN moving THEN 'ARIMA(1,1,1)' ELSE 'ARIMA(1,0,0)' END AS model, yhat, mae, rmse, aic,
+        CASE WHEN moving THEN c[2] ELSE slope END AS phi, CASE WHEN moving THEN c[3] END AS theta FROM h JOIN f USING (product_name) JOIN x USING (product_name)""")
+
+
 def _trend_views(name, factor):
     CTES[f"{name}_fit"] = """
 SELECT product_name, REGR_SLOPE(sales_qty, t) AS slope, REGR_INTERCEPT(sales_qty, t) AS base, AVG(sales_qty) AS mean, MIN(week_start) AS start, MAX(week_start) AS last

@@ -1,5 +1,7 @@
 """Least squares and Gram matrices against numpy."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,26 @@ def test_future_holidays_are_an_argument(spark):
     on = O.forecast_regression(df, 4, lambda d: (F.datediff(d, F.lit("2015-01-05")) % 70 == 0).cast("int"), terms={}, logs=False).orderBy("step").collect()
     off = O.forecast_regression(df, 4, terms={}, logs=False).orderBy("step").collect()
     assert on[0].yhat > 90 and all(r.yhat < 30 for r in [*on[1:], *off])
+
+
+def test_arma_finds_its_coefficients_and_falls_back(spark):
+    rng = np.random.default_rng(5)
+    shock = rng.normal(0, 1, 3000)
+    d = np.zeros(3000)
+    for t in range(1, 3000):
+        d[t] = 0.2 + 0.6 * d[t - 1] + shock[t] + 0.4 * shock[t - 1]
+    y = 100 + np.cumsum(d)
+    day = datetime.date(1950, 1, 2)
+    rows = [("moving", day + datetime.timedelta(weeks=t), float(v)) for t, v in enumerate(y)]
+    rows += [("short", day + datetime.timedelta(weeks=t), float(10 + t % 3)) for t in range(10)]
+    rows += [("flat", day + datetime.timedelta(weeks=t), 5.0) for t in range(10)] + [("one", day, 5.0), ("void", day, None)]
+    panel = spark.createDataFrame(rows, "product_name string, week_start date, sales_qty double")
+    out = {(r.product_name, r.step): r for r in O.forecast_arma(panel, 3).collect()}
+    assert set(out) == {(p, h) for p in ("moving", "short") for h in (1, 2, 3)}
+    first = out["moving", 1]
+    assert first.model == "ARIMA(1,1,1)" and abs(first.phi - 0.6) < 0.08 and abs(first.theta - 0.4) < 0.12
+    assert abs(first.yhat - (y[-1] + 0.2 + 0.6 * d[-1] + 0.4 * shock[-1])) < 0.6
+    # later steps follow the change by its coefficient, towards a mean change of 0.5
+    steps = [out["moving", h].yhat for h in (1, 2, 3)]
+    assert abs((steps[2] - steps[1]) - (0.2 + 0.6 * (steps[1] - steps[0]))) < 0.1
+    assert out["short", 1].model == "ARIMA(1,0,0)" and out["short", 1].theta is None
