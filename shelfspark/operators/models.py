@@ -19,7 +19,7 @@ from shelfspark.functions.stats import fill_median, quantile_row
 from shelfspark.operators import strategies as S
 from shelfspark.operators.filters import label_encode, project_numeric
 from shelfspark.operators.forecast import (
-    BASE_WEIGHTS, Z80, Z95, ensemble_weights, fold_rows, fold_summary, metrics, trend_fit, trend_value,
+    BASE_WEIGHTS, Z80, Z95, bounds, ensemble_weights, fold_rows, fold_summary, metrics, trend_fit, trend_value,
 )
 from shelfspark.operators.windows import cyclic, full, rolling_pair_smooth, split_chronological, weekly_features
 from shelfspark.session import ship, written
@@ -204,6 +204,69 @@ def forecast_recursive(panel: DataFrame, horizon: int = 12, trees: int = TREES,
     return rolling_pair_smooth(out).drop("sd")
 
 
+ORIGIN = ["now", *[c for c in WEEKLY if c.startswith(("lag", "rolling"))]]
+DIRECT = ["horizon", *ORIGIN, *[c for c in WEEKLY if c not in ORIGIN]]
+
+
+def _toward(df: DataFrame) -> DataFrame:
+    """Date that lies `horizon` weeks after `origin`, and its calendar features."""
+    day = F.col("date")
+    df = df.withColumn("date", F.date_add("origin", (F.col("horizon") * 7).cast("int")))
+    df = df.withColumns({"month": F.month(day), "quarter": F.quarter(day), "year": F.year(day), "weekofyear": F.weekofyear(day)})
+    return df.withColumns({**cyclic("month", F.month(day), 12), **cyclic("week", F.weekofyear(day), 52)})
+
+
+def _drawn_horizons(horizon: int, draws: int) -> Column:
+    """`draws` horizons of an origin, one from each equal part of 1 to `horizon`, by a hash of the row's key."""
+    edges = [k * horizon // draws for k in range(draws + 1)]
+    return F.array(*[
+        (F.lit(lo + 1) + F.pmod(F.xxhash64(KEY, "origin", F.lit(k)), F.lit(hi - lo))).cast("int") for k, (lo, hi) in enumerate(zip(edges, edges[1:]))
+    ])
+
+
+def direct_pairs(panel: DataFrame, origins: DataFrame, horizon: int, draws: int, f: float) -> DataFrame:
+    """Origins with the sales some weeks later and their split: targets in the last 1 - f of a product's weeks are held out.
+
+    Every origin is paired with `draws` of its horizons, so pairs grow with the weeks and not with their square.
+    """
+    share = F.row_number().over(ordered()) / F.count(F.lit(1)).over(by())
+    targets = panel.select(KEY, F.col(TIME).alias("date"), F.col("sales_qty").alias("actual"), F.when(share <= f, "train").otherwise("test").alias("split"))
+    pairs = _toward(origins.withColumn("horizon", F.explode(_drawn_horizons(horizon, min(draws, horizon)))))
+    return pairs.join(targets.where(F.col("actual").isNotNull()), [KEY, "date"])
+
+
+def forecast_direct(panel: DataFrame, horizon: int = 156, trees: int = TREES, draws: int = 8) -> DataFrame:
+    """Forecast of all products and weeks in one scoring pass: the horizon is a feature, and no prediction feeds another.
+
+    A pooled boosted model learns sales from the state at an origin, the weeks ahead and the calendar of the target;
+    it is blended with the seasonal line per product by held-out errors, as the recursion does. The line of that comparison is
+    fitted on the weeks before the held-out ones. Jobs do not grow with the horizon.
+    """
+    if not 1 <= horizon <= 156:
+        raise ValueError("horizon must be between 1 and 156 weeks")
+    f = 0.85
+    feats = weekly_features(panel.select(KEY, TIME, "sales_qty")).withColumns({"origin": F.col(TIME), "now": F.col("sales_qty")})
+    origins = written(feats.select(KEY, "origin", *ORIGIN), "origins")
+    pairs = written(direct_pairs(panel, origins, horizon, draws, f), "pairs")
+    model = fit_boosted(pairs.filter("split = 'train'"), DIRECT, "actual", trees)
+    known = trend_fit(panel.withColumn("__share", F.row_number().over(ordered()) / F.count(F.lit(1)).over(by())).where(F.col("__share") <= f), True)
+    held = _scored(model, pairs.filter("split = 'test'"), DIRECT, "boosted").join(known, KEY).withColumn("line", trend_value("date", True))
+    held = written(held.select(KEY, "actual", F.greatest(F.lit(0.0), "boosted").alias("boosted"), "line"), "held")
+    base = {"line": BASE_WEIGHTS["prophet"], "boosted": BASE_WEIGHTS["xgb"] + BASE_WEIGHTS["lgbm"]}
+    rmse = held.select(KEY, "actual", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in base])).alias("p"))
+    scores = metrics(rmse.select(KEY, "actual", "p.*")).select(KEY, "model", "rmse")
+    weights = ensemble_weights(scores, base).filter("model = 'line'").select(KEY, F.col("weight").alias("line_share"))
+    share = F.coalesce("line_share", F.lit(base["line"]))
+    mixed = lambda line, trees_: share * line + (1 - share) * trees_
+    sd = held.join(weights, KEY).groupBy(KEY).agg(F.stddev_pop(F.col("actual") - mixed(F.col("line"), F.col("boosted"))).alias("sd"))
+    newest = origins.withColumn("age", F.row_number().over(newest_first(KEY, "origin"))).filter("age = 1")
+    fit = trend_fit(panel, True).join(weights, KEY, "left").join(sd, KEY, "left")
+    steps = _toward(newest.join(fit, KEY).withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizon)))))
+    y = mixed(trend_value("date", True), F.greatest(F.lit(0.0), "boosted"))
+    out = _scored(model, steps, DIRECT, "boosted").select(KEY, F.col("horizon").alias("step"), "date", F.greatest(F.lit(0.0), y).alias("yhat"), "sd")
+    return rolling_pair_smooth(out.select(KEY, "step", "date", "yhat", *bounds("yhat", "sd")))
+
+
 def cross_validation_boosted(panel: DataFrame, folds: int = 5, horizon: int = 12, trees: int = 5) -> DataFrame:
     """Errors of a pooled boosted model over the expanding-window folds, one fit per fold."""
     feats = lagged_features(panel).drop("n")

@@ -19,6 +19,8 @@ query("alerts_predicted_model", "product_name, stock:i, predicted_demand:6, stat
       lambda t: I.alerts_predicted(t.panel, mode="model"))
 query("forecast_recursive", "product_name, step:i, date:d, yhat:6, yhat_lower:6, yhat_upper:6, yhat_lower_95:6, yhat_upper_95:6",
       lambda t: M.forecast_recursive(t.panel, 12))
+query("forecast_direct", "product_name, step:i, date:d, yhat:6, yhat_lower:6, yhat_upper:6, yhat_lower_95:6, yhat_upper_95:6",
+      lambda t: M.forecast_direct(t.panel, 156))
 query("cross_validation_boosted", "product_name, model, folds:i, avg_rmse:6, std_rmse:6, avg_mae:6, avg_mape:6, avg_r2:6", lambda t: M.cross_validation_boosted(t.panel))
 
 
