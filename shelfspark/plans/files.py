@@ -59,25 +59,25 @@ query("ingest_canonical", "date:d, product, sales_qty, price, stock_on_hand, cat
 
 
 def quoted(t, folder):
-    """The panel as uploads: product names with quotes, commas and line breaks, written by the usual rules."""
-    name = F.concat(F.lit('"'), F.replace(F.concat(KEY, F.lit(' "fresh", 1l\nbox')), F.lit('"'), F.lit('""')), F.lit('"'))
+    """The panel as uploads of two layouts, several files each: product names with quotes, commas and line breaks, written by the usual rules."""
+    name = F.concat(KEY, F.lit(' "fresh", 1l\nbox'))
     day, qty = F.date_format(TIME, "yyyy-MM-dd"), F.col("sales_qty").cast("bigint").cast("string")
-    for part, cols, head in ((1, [day, name, qty], "Date,Product,Qty"), (0, [name, qty, day], "Item Name,Order Quantity,Date")):
-        lines = t.panel.where(F.col("promotion") == part).select(F.concat_ws(",", *cols).alias("value"))
-        whole = lines.groupBy(F.pmod(F.xxhash64("value"), F.lit(4)).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("v"))
-        whole.select("file", F.concat(F.lit(head + "\n"), "v").alias("value")).write.partitionBy("file").option("lineSep", "\n").text(f"{folder}/part={part}")
-    return [f"{folder}/part=1", f"{folder}/part=0"]
+    layouts = {1: [day.alias("Date"), name.alias("Product"), qty.alias("Qty")], 0: [name.alias("Item Name"), qty.alias("Order Quantity"), day.alias("Date")]}
+    for part, cols in layouts.items():
+        lines = t.panel.where(F.col("promotion") == part).repartition(4, KEY, TIME).select(*cols)
+        lines.write.option("header", True).option("escape", '"').csv(f"{folder}/part={part}")
+    return [f"{folder}/part={part}" for part in layouts]
 
 
 def _quoted(t):
     folder = new_path(t.spark, "quoted")
-    return S.ingest_canonical(t.spark, quoted(t, folder)[0] + "/*", lines=True)
+    return S.ingest_canonical(t.spark, quoted(t, folder)[0], lines=True)
 
 
 def _many(t):
     folder = new_path(t.spark, "headers")
     quoted(t, folder)
-    return S.ingest_canonical(t.spark, f"{folder}/*/*", lines=True)
+    return S.ingest_canonical(t.spark, f"{folder}/*", lines=True)
 
 
 CANON = "date:d, product, sales_qty:6"
