@@ -537,6 +537,19 @@ def forecast_kpis(hist: DataFrame, fc: DataFrame, stock: DataFrame, scores: Data
     return out
 
 
+def forecast_daily(weekly: DataFrame, daily: DataFrame, days: int = 30) -> DataFrame:
+    """The first days of a weekly forecast: each week is spread over its days by the product's share of sales on that weekday.
+
+    Weekdays on which a product never sold have no row; products without sales have none at all.
+    """
+    sold = daily.groupBy(KEY, F.weekday("date").alias("weekday")).agg(F.sum("sales_qty").alias("qty"))
+    share = sold.withColumn("share", F.try_divide(F.col("qty"), F.sum("qty").over(by()))).select(KEY, "weekday", "share")  # seven rows of a product
+    out = weekly.filter((F.col("step") - 1) * 7 < days).join(share.where(F.col("share").isNotNull()), KEY)
+    out = out.select(KEY, ((F.col("step") - 1) * 7 + F.col("weekday") + 1).alias("step"), F.date_add("date", F.col("weekday")).alias("date"),
+                     (F.col("yhat") * F.col("share")).alias("yhat"))
+    return out.filter(F.col("step") <= days)
+
+
 def forecast_kpis_daily(hist: DataFrame, fc: DataFrame) -> DataFrame:
     """Next 7 days, stock-out risk against the mean stock of the last 4 days, best and worst day."""
     recent = last_n_mean(hist.withColumnRenamed("date", TIME), 4, "stock_on_hand").withColumnRenamed("mean_last_4", "avg_stock")

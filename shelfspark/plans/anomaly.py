@@ -95,11 +95,6 @@ query("residual_flags", "product_name, week_start:d, sales_qty, fitted:6, z:6",
 query("residual_flags_population", "product_name, week_start:d, sales_qty, fitted:6, z:6", lambda t: N.residual_flags(fitted4(t), 2.5, True),
       """WITH z AS (SELECT *, (sales_qty - fitted) / STDDEV_POP(sales_qty - fitted) OVER (PARTITION BY product_name) AS z FROM fitted4) SELECT * FROM z WHERE ABS(z) > 2.5""")
 
-query("forecast_high_flags", "product_name, date:d, value:6, type, severity",
-      lambda t: N.forecast_high_flags(t.panel.select(KEY, F.col(TIME).alias("date"), F.col("sales_qty").alias("yhat"))),
-      """WITH f AS (SELECT *, AVG(sales_qty) OVER p + 2 * STDDEV_SAMP(sales_qty) OVER p AS lim, COUNT(*) OVER p AS n FROM panel WINDOW p AS (PARTITION BY product_name))
-         SELECT product_name, week_start AS date, sales_qty AS value, 'high_forecast' AS type, 'moderate' AS severity FROM f WHERE n >= 4 AND sales_qty > lim""")
-
 query("anomaly_sensitivity", AN, lambda t: N.anomaly_sensitivity(anoms(t), 50),
       """SELECT * FROM (SELECT *, 0.5 * QUANTILE_CONT(ABS(deviation_pct), 0.95) OVER (PARTITION BY product_name) AS cut FROM anoms)
          WHERE ABS(deviation_pct) >= cut AND severity IN ('Moderate', 'Severe')""")

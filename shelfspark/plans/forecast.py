@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expr import KEY, newest_first
+from shelfspark.functions.expr import KEY
 from shelfspark.operators import anomaly as N
 from shelfspark.operators import cleaning as C
 from shelfspark.operators import forecast as O
 from shelfspark.operators import inventory as I
 from shelfspark.operators import pricing as E
 from shelfspark.operators.windows import latest_row
+from shelfspark.plans.inventory import _days, _traj, _traj_sql, kpis
 from shelfspark.plans.registry import CTES, query
 from shelfspark.session import written
 
@@ -323,22 +324,32 @@ query("forecast_kpis", "product_name, growth_pct:6, next_month:6, next_quarter:6
       lambda t: O.forecast_kpis(t.panel, stored(t), latest_row(t.panel), trend_scores(t)), "SELECT * FROM fkpis")
 
 
-def _daily_fc(t):
-    """The last 30 days of each product, moved 30 days ahead, as a daily forecast."""
-    age = F.row_number().over(newest_first(KEY, "date"))
-    return t.daily.withColumn("age", age).filter("age <= 30").select(KEY, (31 - F.col("age")).alias("step"), F.date_add("date", 30).alias("date"), F.col("sales_qty").alias("yhat"))
+CTES["fc_daily"] = """
+WITH q AS (SELECT product_name, ISODOW(date) - 1 AS wd, SUM(sales_qty) AS qty FROM daily GROUP BY 1, 2), h AS (SELECT product_name, wd, qty / SUM(qty) OVER (PARTITION BY product_name) AS share FROM q)
+SELECT product_name, (step - 1) * 7 + wd + 1 AS step, date + CAST(wd AS INT) AS date, yhat * share AS yhat FROM fc JOIN h USING (product_name) WHERE (step - 1) * 7 + wd + 1 <= 30"""
 
 
-query("forecast_kpis_daily", "product_name, next_week_sales:6, stockout_risk:6, best_day:d, best_day_sales, worst_day:d, worst_day_sales",
-      lambda t: O.forecast_kpis_daily(t.daily, _daily_fc(t)),
-      """WITH a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY date DESC) AS age FROM daily),
-              f AS (SELECT product_name, 31 - age AS step, date + 30 AS date, sales_qty AS yhat FROM a WHERE age <= 30),
-              s AS (SELECT product_name, AVG(stock_on_hand) AS st FROM a WHERE age <= 4 GROUP BY 1),
-              g AS (SELECT product_name, SUM(GREATEST(0, yhat)) FILTER (step <= 7) AS next_week_sales, AVG(yhat) FILTER (step <= 7) AS af, MAX(yhat) AS best_day_sales, MIN(yhat) AS worst_day_sales FROM f GROUP BY 1),
+def fc_daily(t):
+    return written(O.forecast_daily(fc(t), t.daily, 30), "daily-forecast")
+
+
+query("forecast_daily", "product_name, step:i, date:d, yhat:6", fc_daily, "SELECT * FROM fc_daily")
+query("forecast_kpis_daily", "product_name, next_week_sales:6, stockout_risk:6, best_day:d, best_day_sales:6, worst_day:d, worst_day_sales:6",
+      lambda t: O.forecast_kpis_daily(t.daily, fc_daily(t)),
+      """WITH s AS (SELECT product_name, AVG(stock_on_hand) AS st FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY date DESC) AS age FROM daily) WHERE age <= 4 GROUP BY 1),
+              g AS (SELECT product_name, SUM(GREATEST(0, yhat)) FILTER (step <= 7) AS next_week_sales, AVG(yhat) FILTER (step <= 7) AS af, MAX(yhat) AS best_day_sales, MIN(yhat) AS worst_day_sales FROM fc_daily GROUP BY 1),
               b AS (SELECT product_name, MIN(date) FILTER (hi = 1) AS best_day, MIN(date) FILTER (lo = 1) AS worst_day FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY yhat DESC, date) AS hi,
-                           ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY yhat, date) AS lo FROM f) GROUP BY 1)
+                           ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY yhat, date) AS lo FROM fc_daily) GROUP BY 1)
          SELECT *, CASE WHEN st > 0 THEN LEAST(1, GREATEST(0, (af - st) / GREATEST(st, 1))) END AS stockout_risk FROM g JOIN s USING (product_name) JOIN b USING (product_name)""")
 
+query("forecast_high_flags", "product_name, date:d, value:6, type, severity", lambda t: N.forecast_high_flags(fc(t)),
+      """WITH f AS (SELECT *, AVG(yhat) OVER p + 2 * STDDEV_SAMP(yhat) OVER p AS lim, COUNT(*) OVER p AS n FROM fc WINDOW p AS (PARTITION BY product_name))
+         SELECT product_name, date, yhat AS value, 'high_forecast' AS type, 'moderate' AS severity FROM f WHERE n >= 4 AND yhat > lim""")
+
+CTES["fc5"] = "SELECT product_name, step - 1 AS week, yhat FROM fc WHERE step <= 5"
+query("stock_trajectory_forecast", _traj, lambda t: _days(I.stock_trajectory(kpis(t), fc(t).select(KEY, (F.col("step") - 1).alias("week"), "yhat"))),
+      _traj_sql("COALESCE((SELECT yhat FROM fc5 f WHERE f.product_name = kpis.product_name AND f.week = {i} // 7) / 7 * (1 + growth / 100), weekly_demand / 7)"))
+
 query("topk_weeks", "product_name, date:d, rank:i, yhat:6, ci_range:6, growth_pct:6, confidence_pct:6", lambda t: O.topk_weeks(fc(t), t.panel),
       """WITH r AS (SELECT fc.*, recent, ROW_NUMBER() OVER (PARTITION BY product_name ORDER BY yhat DESC, date) AS rank, yhat_upper - yhat_lower AS ci_range FROM fc JOIN stock_now USING (product_name))
          SELECT *, (yhat - recent) / (recent + 1e-6) * 100 AS growth_pct, LEAST(100, GREATEST(0, 100 - ci_range / (yhat + 1e-6) * 100)) AS confidence_pct FROM r WHERE rank <= 5""")
