@@ -13,13 +13,12 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.expr import KEY, TIME, by, clip_col, newest_first, ordered
-from shelfspark.functions.expr import with_scalars
+from shelfspark.functions.expr import KEY, TIME, by, clip_col, newest_first, ordered, stacked, with_scalars
 from shelfspark.functions.stats import fill_median, quantile_row
 from shelfspark.operators import strategies as S
 from shelfspark.operators.filters import label_encode, project_numeric
 from shelfspark.operators.forecast import (
-    BASE_WEIGHTS, Z80, Z95, bounds, ensemble_weights, fold_rows, fold_summary, metrics, trend_fit, trend_value,
+    BASE_WEIGHTS, Z80, Z95, bounds, ensemble_blend, ensemble_weights, fold_rows, fold_summary, metrics, trend_fit, trend_value,
 )
 from shelfspark.operators.windows import cyclic, full, rolling_pair_smooth, split_chronological, weekly_features
 from shelfspark.session import ship, written
@@ -280,6 +279,54 @@ def cross_validation_boosted(panel: DataFrame, folds: int = 5, horizon: int = 12
     return fold_summary(metrics(out.withColumn("model", F.lit("boosted")), (KEY, "fold", "model")))
 
 
+# ---- scores of the blend
+
+MEMBERS = {"line": BASE_WEIGHTS["prophet"], "boosted": BASE_WEIGHTS["xgb"], "forest": BASE_WEIGHTS["lgbm"]}
+
+
+def trained_ensemble(panel: DataFrame, fit: float = 0.7, valid: float = 0.85, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(predictions, weights, importances) of the seasonal line, boosted trees, a forest and their blend, all fitted on the first weeks.
+
+    Each product's weeks are split in order: the models learn from the first `fit` share, their weights per product come from
+    errors up to the `valid` share, and predictions (product, week, model, predicted, actual) are of the weeks after it, so that no score
+    has seen its own weeks. A product without weeks for weights keeps the base weights.
+    """
+    share = F.row_number().over(ordered()) / F.count(F.lit(1)).over(by())
+    part = F.when(share <= fit, "fit").when(share <= valid, "valid").otherwise("test")
+    feats = written(lagged_features(panel).withColumn("part", part).where(F.col("sales_qty").isNotNull()).select(KEY, TIME, "sales_qty", "part", *WEEKLY), "weekly")
+    known = feats.filter("part = 'fit'")
+    boosted = fit_boosted(known, WEEKLY, "sales_qty", trees)
+    table = written(known.select(*[F.col(c).cast("double").alias(c) for c in WEEKLY], F.col("sales_qty").cast("double").alias("__y")), "forest")
+    forest = RandomForestRegressor(featuresCol="features", labelCol="__y", numTrees=trees, maxDepth=2 * DEPTH, seed=SEED).fit(assembled(table, WEEKLY))
+    held = _scored(forest, _scored(boosted, feats.filter("part <> 'fit'"), WEEKLY, "boosted"), WEEKLY, "forest").join(trend_fit(known, True), KEY)
+    held = held.select(KEY, TIME, "part", F.col("sales_qty").alias("actual"), trend_value(TIME, True).alias("line"), F.greatest(F.lit(0.0), "boosted").alias("boosted"),
+                       F.greatest(F.lit(0.0), "forest").alias("forest"))
+    long = written(stacked(held, "model", "predicted", [(m, F.col(m)) for m in MEMBERS], keep=[KEY, TIME, "part", "actual"]), "held")
+    test = long.filter("part = 'test'").drop("part")
+    scores = metrics(long.filter("part = 'valid'")).select(KEY, "model", "rmse")
+    named = test.select(KEY, "model").distinct().join(scores, [KEY, "model"], "left")
+    weights = written(ensemble_weights(named, MEMBERS).withColumn("weight", F.when(F.col("rmse").isNull() & (F.sum("weight").over(by()) == 0), _base_weight()).otherwise(F.col("weight"))), "weights")
+    blend = ensemble_blend(test.withColumnRenamed("predicted", "yhat"), weights).select(KEY, TIME, F.lit("ensemble").alias("model"), F.col("yhat").alias("predicted"))
+    blend = blend.join(test.filter("model = 'line'").select(KEY, TIME, "actual"), [KEY, TIME]).select(*test.columns)
+    tables = [importances(m, WEEKLY, panel.sparkSession).withColumn("model", F.lit(n)) for n, m in (("boosted", boosted), ("forest", forest))]
+    return written(test.unionByName(blend), "predictions"), weights, tables[0].unionByName(tables[1])
+
+
+def _base_weight() -> Column:
+    out = F.lit(0.0)
+    for name, weight in MEMBERS.items():
+        out = F.when(F.col("model") == name, weight).otherwise(out)
+    return out
+
+
+def ensemble_importances(weights: DataFrame, imps: DataFrame) -> DataFrame:
+    """Importances of the trained members by their mean weight over products, shares of 1 among them."""
+    mean = weights.join(imps.select("model").distinct(), "model", "left_semi").groupBy("model").agg(F.avg("weight").alias("weight"))
+    total = mean.agg(F.sum("weight").alias("total")).select("total").scalar()
+    rows = imps.join(mean.withColumn("weight", F.col("weight") / total), "model")
+    return rows.groupBy("feature").agg(F.sum(F.col("importance") * F.col("weight")).alias("importance"))
+
+
 # ---- price model
 
 

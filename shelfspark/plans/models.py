@@ -9,8 +9,11 @@ from shelfspark.functions.stats import sized_join
 from shelfspark.operators import anomaly as N
 from shelfspark.operators import inventory as I
 from shelfspark.operators import models as M
-from shelfspark.plans.pricing import REC, contexts
+from shelfspark.operators import strategies as S
+from shelfspark.operators.forecast import metrics, model_leaderboard
+from shelfspark.plans.pricing import REC, contexts, members
 from shelfspark.plans.registry import query
+from shelfspark.session import written
 
 query("train_boosted", "feature, importance:6", lambda t: M.train_boosted(M.lagged_features(t.panel))[0])
 query("train_boosted_scores", "model, n:i, rmse:6, mae:6, mape:6, r2:6", lambda t: M.train_boosted(M.lagged_features(t.panel), f=0.85)[1])
@@ -21,6 +24,10 @@ query("forecast_recursive", "product_name, step:i, date:d, yhat:6, yhat_lower:6,
       lambda t: M.forecast_recursive(t.panel, 12))
 query("forecast_direct", "product_name, step:i, date:d, yhat:6, yhat_lower:6, yhat_upper:6, yhat_lower_95:6, yhat_upper_95:6",
       lambda t: M.forecast_direct(t.panel, 156))
+query("ensemble_scores", "product_name, model, n:i, rmse:6, mae:6, mape:6, r2:6", lambda t: metrics(M.trained_ensemble(t.panel)[0]))
+query("ensemble_leaderboard", "product_name, model, rmse:6, rank:i, improvement_pct:6, rmse_score:6, mae_score:6, mse_score:6, mape_score:6",
+      lambda t: model_leaderboard(metrics(M.trained_ensemble(t.panel)[0])))
+query("ensemble_importances", "feature, importance:6", lambda t: M.ensemble_importances(*M.trained_ensemble(t.panel)[1:]))
 query("cross_validation_boosted", "product_name, model, folds:i, avg_rmse:6, std_rmse:6, avg_mae:6, avg_mape:6, avg_r2:6", lambda t: M.cross_validation_boosted(t.panel))
 
 
@@ -42,6 +49,15 @@ def past(t):
 
 
 query("strategy_model", REC, lambda t: M.strategy_model(contexts(t), past(t)))
+
+
+def learned_ensemble(t):
+    """All eight members, the learned price model among them."""
+    learned = past(t)
+    return S.strategy_ensemble(written(contexts(t), "contexts"), members(t) | {"deep_learning": lambda df: M.strategy_model(df, learned)})
+
+
+query("strategy_ensemble_learned", f"{REC}, low_price:6, high_price:6", learned_ensemble)
 query("scale_pca", "product_name, week_start:d, pc1:6, pc2:6", lambda t: M.scale_pca(t.panel, 2, [KEY, TIME]))
 query("anomaly_isolation", "product_name, week_start:d, score:6, flag:i",
       lambda t: M.anomaly_isolation(M.scale_pca(t.panel, 2, [KEY, TIME]), ["pc1", "pc2"], [KEY, TIME]))
