@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,54 @@ from shelfspark.session import written
 
 SLACK = 0.0025  # half width of the rank bracket, five times the sketch error
 ACCURACY = 2_000
+WIDTH = 2 * SLACK + 2 / ACCURACY  # share of the rows that can lie between the ends of a bracket
+MOST = 1_000_000  # rows between the ends of a bracket that are ranked without narrowing it again
+
 
+def _narrow(vals: DataFrame, brackets: list[dict], most: int) -> None:
+    """Moves the ends of each bracket in rounds, until at most `most` rows lie strictly between them.
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    A round counts the rows up to and inside the open brackets, then sketches the inside alone, so the inside shrinks to
+    under a hundredth whatever the ties: copies of an end do not count as inside. Two passes and a few numbers per round.
+    """
+    most = max(most, int(2 / SLACK))
+    while True:
+        wide = [b for b in brackets if b["room"] > most]
+        if not wide:
+            return
+        inside = [(F.col(b["col"]) > b["lo"]) & (F.col(b["col"]) < b["hi"]) for b in wide]
+        counted = [F.struct(F.count_if(F.col(b["col"]) <= b["lo"]).alias("upto"), F.count_if(c).alias("m")) for b, c in zip(wide, inside)]
+        counts = vals.agg(*[c.alias(f"c{i}") for i, c in enumerate(counted)]).first()
+        todo = []
+        for i, (b, within) in enumerate(zip(wide, inside)):
+            m, pos = counts[i]["m"], b["prob"] * (b["n"] - 1)
+            b["room"] = m
+            first, last = (f(pos) + 1 - counts[i]["upto"] for f in (math.floor, math.ceil))  # ranks among the inside
+            if last < 1:
+                b["hi"], b["room"] = b["lo"], 0
+            elif first > m:
+                b["lo"], b["room"] = b["hi"], 0
+            elif m > most:
+                todo.append((b, within, first, last, m))
+        if todo:
+            ends = [[max(0.0, first / m - SLACK), min(1.0, last / m + SLACK)] for _, _, first, last, m in todo]
+            found = vals.agg(*[
+                F.percentile_approx(F.when(within, F.col(b["col"])), e, ACCURACY).alias(f"q{i}") for i, ((b, within, *_), e) in enumerate(zip(todo, ends))
+            ]).first()
+            for i, (b, _, first, last, m) in enumerate(todo):
+                lo, hi = found[i]
+                b["lo"] = lo if first >= 1 else b["lo"]
+                b["hi"] = hi if last <= m else b["hi"]
+                b["room"] = math.ceil(m * WIDTH) + 2
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], most: int = MOST) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns: (name, prob, value).
 
-    A mergeable sketch brackets each wanted rank, then a second pass counts the values below the
-    bracket on the map side and shuffles only the distinct values inside it, which a spillable
-    running sum ranks. The share that reaches one task is at most 2 * SLACK of the distinct
-    values; a bracket narrower than a few ranks spans the whole column.
+    A mergeable sketch brackets each wanted rank; brackets that may hold more than `most` rows between their ends are
+    narrowed in rounds. A last pass counts the values below a bracket on the map side and shuffles
+    only the distinct values inside it, which a spillable running sum ranks: at most `most` (800 at least) and the two ends
+    reach one task, whatever the size of the column. A bracket narrower than a few ranks spans the whole column.
     """
     probs = [float(p) for p in probs]
     wanted = [(j, c, i, p) for j, c in enumerate(cols) for i, p in enumerate(probs)]
@@ -34,12 +75,14 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
         ]
     )
     found = sketch.first()  # one row: a few numbers per column
-    bracket = []
-    for j, _, i, _ in wanted:
+    ends = []
+    for j, _, i, p in wanted:
         at = found[f"s{j}"]
         few = at["n"] * SLACK < 2
         lo, hi = (at["mn"], at["mx"]) if few else (at["q"][i], at["q"][len(probs) + i])
-        bracket.append((at["n"], F.lit(lo).cast("double"), F.lit(hi).cast("double")))
+        ends.append({"col": f"v{j}", "prob": p, "n": at["n"], "lo": lo, "hi": hi, "room": 0 if few else math.ceil(at["n"] * WIDTH)})
+    _narrow(vals, ends, most)
+    bracket = [(b["n"], F.lit(b["lo"]).cast("double"), F.lit(b["hi"]).cast("double")) for b in ends]
     below = vals.agg(*[F.count_if(F.col(f"v{j}") < bracket[k][1]).alias(f"b{k}") for k, (j, _, _, _) in enumerate(wanted)])
     # one row per wanted quantile: bounded by the call
     cells = [

@@ -58,3 +58,31 @@ def test_corr_constant_column_is_null(spark):
 def test_mode_takes_smallest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "v string")
     assert df.limit(1).select(stats.mode_of(df, "v")).first()[0] == "a"
+
+
+@pytest.mark.parametrize("shape", ["spread", "ties", "two heaps", "one value"])
+def test_narrowed_brackets_are_exact(spark, shape):
+    n = 300_000
+    value = {
+        "spread": F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double"),
+        "ties": F.pmod(F.xxhash64("id"), F.lit(37)).cast("double"),
+        # nearly all rows are 1 or 2, the rest lies between them: the median's bracket has many values and few rows
+        "two heaps": F.when(F.col("id") < n * 0.495, 1.0).when(F.col("id") >= n * 0.505, 2.0).otherwise(1 + F.col("id") / n),
+        "one value": F.lit(4.0),
+    }[shape]
+    df = spark.range(n).select(value.alias("v"), F.when(F.col("id") < 5, F.col("id").cast("double")).alias("w")).cache()
+    probs = [0.0, 0.1, 0.4951, 0.5, 0.9999, 1.0]
+    got = {(r.name, r.prob): r.value for r in stats.quantiles(df, ["v", "w"], probs, most=1).collect()}
+    whole = df.agg(*[F.percentile("v", F.lit(p)) for p in probs], *[F.percentile("w", F.lit(p)) for p in probs]).first()
+    assert [got["v", p] for p in probs] == pytest.approx(list(whole[:6]), rel=1e-12)
+    assert [got["w", p] for p in probs] == pytest.approx(list(whole[6:]), rel=1e-12)
+
+
+def test_ten_million_values_leave_few_to_rank(spark):
+    vals = spark.range(10_000_000).select(F.pmod(F.col("id") * 7919, F.lit(10_000_019)).cast("double").alias("v0"))
+    b = {"col": "v0", "prob": 0.5, "n": 10_000_000, "lo": 0.0, "hi": 1e7 + 19, "room": 10_000_000}
+    stats._narrow(vals, [b], 1000)
+    inside = vals.where((F.col("v0") > b["lo"]) & (F.col("v0") < b["hi"])).count()
+    assert inside <= 1000
+    exact = vals.agg(F.count_if(F.col("v0") < b["lo"]).alias("below"), F.count_if(F.col("v0") <= b["hi"]).alias("upto")).first()
+    assert exact.below <= 4_999_999 and exact.upto >= 5_000_001
