@@ -73,6 +73,36 @@ def train_boosted(features: DataFrame, cols: list[str] | None = None, f: float =
     return importances(model, cols, features.sparkSession), scores
 
 
+def train_validated(
+    features: DataFrame, cols: list[str] | None = None, label: str = "sales_qty", fit: float = 0.7, valid: float = 0.85, trees: int = 80, depth: int = DEPTH, gain: float = 0.001,
+) -> tuple[DataFrame, DataFrame]:
+    """(importances, scores) of boosted trees that stop early and of a forest, on all numeric columns unless `cols` names some.
+
+    Each product's weeks are split in order: models learn from the first `fit` share, boosting stops when the errors of the weeks up to
+    `valid` no longer fall by the share `gain`, and scores are of the weeks after it. `size` is the number of trees kept, `trees` the most there can be.
+    The mean of the four weeks before stands beside the learners.
+    """
+    cols = cols or [c for c in project_numeric(features.drop(KEY, TIME)).columns if c != label]
+    share = F.row_number().over(ordered()) / F.count(F.lit(1)).over(by())
+    part = F.when(share <= fit, "fit").when(share <= valid, "valid").otherwise("test")
+    mean4 = F.avg(label).over(ordered().rowsBetween(-4, -1))
+    rows = features.withColumns({"part": part, "__mean4": mean4}).where(F.col(label).isNotNull())
+    rows = written(rows.select("part", "__mean4", *[F.col(c).cast("double").alias(c) for c in cols], F.col(label).cast("double").alias("__y")), "parts")
+    known = assembled(rows.filter("part <> 'test'").withColumn("__held", F.col("part") == "valid"), cols)
+    models = {
+        "boosted": GBTRegressor(featuresCol="features", labelCol="__y", maxIter=trees, maxDepth=depth, seed=SEED, validationIndicatorCol="__held", validationTol=gain).fit(known),
+        "forest": RandomForestRegressor(featuresCol="features", labelCol="__y", numTrees=trees, maxDepth=2 * depth, seed=SEED).fit(known.filter("NOT __held")),
+    }
+    test = rows.filter("part = 'test'")
+    for name, model in models.items():
+        test = _scored(model, test, cols, f"__{name}")
+    long = stacked(test.withColumn("actual", F.col("__y")), "model", "predicted", [(m, F.col(f"__{m}")) for m in (*models, "mean4")], keep=["actual"])
+    sizes = F.create_map(*[F.lit(v) for name, model in models.items() for v in (name, model.getNumTrees)])
+    spark = features.sparkSession
+    tables = [importances(model, cols, spark).withColumn("model", F.lit(name)) for name, model in models.items()]
+    return tables[0].unionByName(tables[1]), metrics(long, ("model",)).withColumn("size", F.try_element_at(sizes, F.col("model")))
+
+
 def demand_model(panel: DataFrame, test: float = 0.2, min_rows: int = 8) -> DataFrame:
     """R2, RMSE, MAE and importances of quantity on price, flags, stock, category and relative price.
 

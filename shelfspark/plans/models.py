@@ -17,6 +17,15 @@ from shelfspark.session import written
 
 query("train_boosted", "feature, importance:6", lambda t: M.train_boosted(M.lagged_features(t.panel))[0])
 query("train_boosted_scores", "model, n:i, rmse:6, mae:6, mape:6, r2:6", lambda t: M.train_boosted(M.lagged_features(t.panel), f=0.85)[1])
+
+
+def known_ahead(t):
+    """Lagged features of a week with its calendar and what is planned for it."""
+    return M.lagged_features(t.panel).join(t.panel.select(KEY, TIME, "price", "promotion", "holiday_flag"), [KEY, TIME])
+
+
+query("train_validated", "model, feature, importance:6", lambda t: M.train_validated(known_ahead(t))[0])
+query("train_validated_scores", "model, size:i, n:i, rmse:6, mae:6, mape:6, r2:6", lambda t: M.train_validated(known_ahead(t))[1])
 query("demand_model", "kind, name, value:6", lambda t: M.demand_model(t.panel))
 query("alerts_predicted_model", "product_name, stock:i, predicted_demand:6, status, days_to_stockout:i, suggested_reorder_qty:i",
       lambda t: I.alerts_predicted(t.panel, mode="model"))

@@ -41,3 +41,15 @@ def test_learned_member_moves_the_price(spark, tables):
         F.count_if((F.col("recommended_price") < F.col("low_price") - 1e-4) | (F.col("recommended_price") > F.col("high_price") + 1e-4)).alias("outside"),
     ).first()
     assert both.n == tables.panel.count() and both.moved > both.n / 2 and both.outside == 0
+
+
+def test_validated_boosting_stops_early_and_beats_the_mean(spark, tables):
+    features = P.known_ahead(tables)
+    imps, scores = M.train_validated(features, trees=15)
+    total = {r.model: r.s for r in imps.groupBy("model").agg(F.sum("importance").alias("s")).collect()}
+    assert all(abs(s - 1) < 1e-6 for s in total.values()) and set(total) == {"boosted", "forest"}
+    by_model = {r.model: r for r in scores.collect()}
+    assert 1 <= by_model["boosted"]["size"] < 15 and by_model["forest"]["size"] == 15
+    assert max(by_model[m].rmse for m in total) < by_model["mean4"].rmse
+    few = M.train_validated(features, cols=["lag_1", "rolling_mean_4"], trees=2)[0]
+    assert {r.feature for r in few.collect()} == {"lag_1", "rolling_mean_4"}
