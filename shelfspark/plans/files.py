@@ -122,11 +122,11 @@ query("fresh_files", SMALL, _fresh, SQL + " WHERE promotion = 0")
 
 
 def followed(t):
-    """The weekly panel after its source got a new file and a corrected one, refreshed from a first state that lacked both."""
+    """The weekly panel after its source got new files and corrected ones, a file per task that reads lines; refreshed from a first state that lacked both."""
     source, target = new_path(t.spark, "lines"), new_path(t.spark, "followed")
     lines = t.lineitem.withColumn("year", F.year("l_shipdate"))
     late = (F.col("year") >= 2000) & (F.col("l_orderkey") % 4 == 0)
-    put = lambda rows, name: rows.drop("year").coalesce(1).write.mode("overwrite").parquet(f"{source}/{name}")
+    put = lambda rows, name: rows.drop("year").write.mode("overwrite").parquet(f"{source}/{name}")
     put(lines.where(F.col("year") < 1999), "first")
     put(lines.where((F.col("year") >= 1999) & ~late).withColumn("l_quantity", F.col("l_quantity") + 1), "wrong")
     refresh_panel(t.spark, source, t.part, target)

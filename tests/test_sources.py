@@ -117,6 +117,31 @@ def test_panel_follows_its_files(spark, tables, tmp_path):
     assert gone["files"] == 0 and same(lines.where("y >= 1998 OR y >= 1996 AND l_orderkey % 2 = 0"))
 
 
+def test_source_of_the_followed_panel_is_split_as_its_lines(spark, tmp_path, monkeypatch):
+    from shelfspark.plans import files as plans
+
+    monkeypatch.setattr(plans, "new_path", lambda spark, name: str(tmp_path / name))
+    day = lambda i: datetime.datetime(1997, 12, 1) + datetime.timedelta(days=i % 1100)
+    line = lambda i: (i, i % 7, 1.0 + i % 5, 10.0 * (1 + i % 9), 0.01 * (i % 11), "ANR"[i % 3], "FO"[i % 2], day(37 * i))
+    schema = "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    lines = [line(i) for i in range(600)] + [line(5), line(5)]  # a line that comes three times
+    spark.createDataFrame(lines, schema).repartition(6).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = [(i, f"Brand#{11 + i}", 1 + i) for i in range(6)]  # part 6 is missing
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # the cost of opening a file: every file is a task
+    try:
+        t = P.Tables(spark, str(tmp_path))
+        got = plans.followed(t)
+        assert rows(got) == rows(P.rollup(t.lineitem, t.part))
+        copies = spark.read.parquet(*[f"{tmp_path}/lines/{name}" for name in ("first", "wrong", "more")])
+        assert rows(copies) == rows(t.lineitem)
+        most = lambda df: df.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+        assert most(copies) <= most(t.lineitem) < 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_rollup_is_built_anew_when_a_source_changes(spark, tables, tmp_path):
     from shelfspark.sources.panel import weekly_panel
 
